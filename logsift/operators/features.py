@@ -40,7 +40,10 @@ def term_freq(df: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, term, tf) raw counts, computed per row."""
     terms = with_ngrams(df.select(key, text), text, "_terms", max_n)
     counted = term_counts(terms, F.col("_terms"), "_counts")
-    return counted.select(key, F.inline("_counts"))
+    # The outer generator: the optimizer infers no ``size(...) > 0`` filter
+    # for it, which it would otherwise push below the projections with the
+    # whole counting expression inlined.
+    return counted.select(key, F.inline_outer("_counts")).where(F.col("term").isNotNull())
 
 
 def doc_freq(tf: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -81,8 +81,9 @@ def rolling_mean(df: DataFrame, ts: str = "event_time", value: str = "confidence
                .groupBy(slot.alias("slot"))
                .agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c")))
     k = window_minutes // slide_minutes
-    spread = partial.select("s", "c", (F.col("slot") - F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-                            .alias("start_slot"))
+    spread = (partial.select("slot", "s", "c", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+                             .alias("back"))
+              .select((F.col("slot") - F.col("back")).alias("start_slot"), "s", "c"))
     win = spread.groupBy("start_slot").agg(F.sum("s").alias("s"), F.sum("c").alias("n"))
     start = F.timestamp_seconds(F.col("start_slot") * F.lit(slide_s))
     return win.select(start.cast("timestamp_ntz").alias("window_start"),

@@ -54,10 +54,12 @@ def term_hits(df: DataFrame, model: TextModel, text: str, outer: bool = False) -
     the class weights.  Counting happens inside each row; the join against
     the bounded term table is a broadcast hash join.  ``outer`` keeps records
     without any known term (weights null)."""
-    explode = F.explode_outer if outer else F.explode
     counted = term_counts(df, text_terms(F.col(text), model.ngram_max), "_counts")
-    occ = counted.select("*", explode("_counts").alias("_tc")).select(
+    # Always the outer generator (see ``features.term_freq``).
+    occ = counted.select("*", F.explode_outer("_counts").alias("_tc")).select(
         *df.columns, F.col("_tc.term").alias("term"), F.col("_tc.tf").alias("tf"))
+    if not outer:
+        occ = occ.where(F.col("term").isNotNull())
     return occ.join(bounded_broadcast(model.terms, model.n_terms), "term",
                     "left" if outer else "inner")
 
