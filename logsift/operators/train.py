@@ -65,8 +65,12 @@ def train_text_model(train: DataFrame, key: str = "rid", text: str = "message",
                      label: str = "true_label", alpha: float = ALPHA,
                      k: int = MAX_FEATURES, ngram_max: int = NGRAM_MAX,
                      max_iter: int = 100, version: str | None = None) -> TextModel:
-    """M4: fit vocabulary, IDF and K binary logistic regressions."""
-    train = train.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    """M4: fit vocabulary, IDF and K binary logistic regressions.
+
+    ``train`` must hold complete rows: file inputs go through
+    ``sources.logcsv.trainable`` first.  (A null filter here would be pushed
+    below a derived view's projections and re-evaluate them.)
+    """
     terms, idf, n = fit_vocabulary(train, key, text, k, ngram_max)
     counts = balanced_weights(train, label)
     classes = sorted(counts)                                    # M1

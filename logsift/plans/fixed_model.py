@@ -16,8 +16,8 @@ FIXED_CLASSES = ["error", "noise", "security", "warning"]
 FIXED_INTERCEPTS = [-1.1, 0.4, -1.6, -1.3]
 FIXED_VERSION = "fixed-1"
 
-# term, idf, weight for error, noise, security, warning
-FIXED_TERMS = [
+# term, idf, weight for error, noise, security, warning (before scaling)
+_TERMS = [
     ("returned", 1.9, -1.2, 3.1, -1.0, -1.1),
     ("completed", 2.3, -1.0, 2.9, -1.1, -0.9),
     ("scheduled task", 2.4, -0.8, 2.2, -0.9, -0.8),
@@ -50,6 +50,9 @@ FIXED_TERMS = [
     ("for", 1.1, -0.1, 0.1, -0.1, 0.1),
     ("on", 1.1, 0.0, 0.1, 0.0, 0.1),
 ]
+# All class weights are multiplied by this factor.
+WEIGHT_SCALE = 2.5
+FIXED_TERMS = [(t, idf, *[round(w * WEIGHT_SCALE, 6) for w in ws]) for t, idf, *ws in _TERMS]
 
 
 def fixed_model(spark: SparkSession) -> TextModel:

@@ -187,6 +187,14 @@ def q_class_weights(spark, sf):
     return rounded(out.select("task", "class", "n", "weight"))
 
 
+def q_train_classifier(spark, sf):
+    """M3 / M4 on the training split of the log view (rows-only check)."""
+    from logsift.operators.train import summary_frame, train_text_model
+    train = views.logs(spark, sf).where(F.col("split") == "train")
+    model = train_text_model(train, key="rid", text="message", label="true_label")
+    return rounded(summary_frame(model))
+
+
 # --- scoring (fixed model) ------------------------------------------------------------
 
 def _scored(spark, sf, internals=False, split=None):
