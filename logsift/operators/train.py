@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -64,7 +65,8 @@ def balanced_weights(train: DataFrame, label: str) -> dict[str, int]:
 def train_text_model(train: DataFrame, key: str = "rid", text: str = "message",
                      label: str = "true_label", alpha: float = ALPHA,
                      k: int = MAX_FEATURES, ngram_max: int = NGRAM_MAX,
-                     max_iter: int = 100, version: str | None = None) -> TextModel:
+                     max_iter: int = 100, tol: float = 1e-6,
+                     version: str | None = None) -> TextModel:
     """M4: fit vocabulary, IDF and K binary logistic regressions.
 
     ``train`` must hold complete rows: file inputs go through
@@ -77,27 +79,32 @@ def train_text_model(train: DataFrame, key: str = "rid", text: str = "message",
     n_classes = len(classes)
     feats = (featurize(train.select(label, text), text, terms, idf, ngram_max)
              .select(label, "features").persist(StorageLevel.MEMORY_AND_DISK))
-    weights, intercepts, summary = [], [], []
+    def fit_one(c):
+        pos_w = n / (n_classes * counts[c])                     # M2
+        sum_w = counts[c] * pos_w + (n - counts[c])
+        reg = alpha * n / sum_w
+        data = feats.select(
+            "features",
+            (F.col(label) == F.lit(c)).cast("double").alias("label"),
+            F.when(F.col(label) == F.lit(c), F.lit(pos_w)).otherwise(F.lit(1.0)).alias("w"))
+        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
+                                regParam=reg, elasticNetParam=0.0, standardization=False,
+                                fitIntercept=True, maxIter=max_iter, tol=tol)
+        m = lr.fit(data)                                        # M3
+        coef = m.coefficients.toArray()
+        return coef, float(m.intercept), (c, counts[c], pos_w, reg, float(m.intercept),
+                                          int((coef != 0).sum()), int(m.summary.totalIterations))
+
     try:
-        for c in classes:
-            pos_w = n / (n_classes * counts[c])                 # M2
-            sum_w = counts[c] * pos_w + (n - counts[c])
-            reg = alpha * n / sum_w
-            data = feats.select(
-                "features",
-                (F.col(label) == F.lit(c)).cast("double").alias("label"),
-                F.when(F.col(label) == F.lit(c), F.lit(pos_w)).otherwise(F.lit(1.0)).alias("w"))
-            lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
-                                    regParam=reg, elasticNetParam=0.0, standardization=False,
-                                    fitIntercept=True, maxIter=max_iter, tol=1e-8)
-            m = lr.fit(data)                                    # M3
-            weights.append(m.coefficients.toArray())
-            intercepts.append(float(m.intercept))
-            summary.append((c, counts[c], pos_w, reg, float(m.intercept),
-                            int((m.coefficients.toArray() != 0).sum()),
-                            int(m.summary.totalIterations)))
+        # The K binary fits are independent: they run as concurrent Spark
+        # jobs over the same persisted features.
+        with ThreadPoolExecutor(max_workers=max(1, n_classes)) as pool:
+            fitted = list(pool.map(fit_one, classes))
     finally:
         feats.unpersist()
+    weights = [f[0] for f in fitted]
+    intercepts = [f[1] for f in fitted]
+    summary = [f[2] for f in fitted]
     rows = [(t, float(idf[j]), *[float(w[j]) for w in weights]) for j, t in enumerate(terms)]
     spark = train.sparkSession
     schema = "term string, idf double, " + ", ".join(f"w_{i} double" for i in range(n_classes))

@@ -112,9 +112,15 @@ def rolling_mean_stream(results: DataFrame, watermark: str = "10 minutes") -> Da
 
 def start_rolling_mean(spark: SparkSession, results_path: str, out: str, checkpoint: str,
                        watermark: str = "10 minutes", available_now: bool = True,
-                       max_files: int = 1) -> StreamingQuery:
-    stream = (spark.readStream.schema(RESULT_SCHEMA).option("maxFilesPerTrigger", max_files)
-              .parquet(results_path))
+                       max_files: int | None = None) -> StreamingQuery:
+    """A6 over the results table.  By default a trigger takes every new file:
+    one classification batch is written as several files that each span the
+    batch's whole time range, so reading them one by one would make rows
+    late.  Feed backfills in event-time order (or use the batch form)."""
+    reader = spark.readStream.schema(RESULT_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(results_path)
     w = (rolling_mean_stream(stream, watermark).writeStream.outputMode("append")
          .format("parquet").option("path", out).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
