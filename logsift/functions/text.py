@@ -43,9 +43,34 @@ def ngrams(toks: Column, max_n: int = 2) -> Column:
 
 
 def terms(text: Column | str, max_n: int = 2) -> Column:
+    """Unigrams + bigrams of a text in one expression.  It refers to the
+    token list more than once, so prefer ``with_terms`` on a DataFrame (the
+    tokens then become a column and the regex runs once per row)."""
     return ngrams(tokens(text), max_n)
 
 
+def with_terms(df: DataFrame, text: str, out: str, max_n: int = 2) -> DataFrame:
+    return (df.withColumn("_tokens", tokens(F.col(text)))
+            .withColumn(out, ngrams(F.col("_tokens"), max_n)).drop("_tokens"))
+
+
+def _sql_literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def terms_sql_statement(text: str, out: str, max_n: int = 2) -> str:
+    """The same terms as a ``SQLTransformer`` statement (for ML pipelines);
+    it also leaves the token list in ``_tokens``."""
+    toks = (f"coalesce(regexp_extract_all(lower({text}), {_sql_literal(TOKEN_PATTERN)}, 0), "
+            "cast(array() AS array<string>))")
+    inner = f"SELECT *, {toks} AS _tokens FROM __THIS__"
+    if max_n == 1:
+        return f"SELECT *, _tokens AS {out} FROM ({inner})"
+    n = "greatest(size(_tokens) - 1, 0)"
+    pairs = f"zip_with(slice(_tokens, 1, {n}), slice(_tokens, 2, {n}), (a, b) -> concat(a, ' ', b))"
+    return f"SELECT *, concat(_tokens, {pairs}) AS {out} FROM ({inner})"
+
+
 def term_counts(df: DataFrame, terms_col: Column, out: str = "term_counts") -> DataFrame:
     """``df`` plus ``out``: the distinct terms of each row with their counts,
     ``array<struct<term string, tf int>>`` ordered by term, computed inside

@@ -65,11 +65,13 @@ def smoothed_idf(df_col: Column, n_docs: Column) -> Column:
     return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df_col)) + F.lit(1.0)
 
 
-def idf_table(dfreq: DataFrame, n_docs: int, k: int = MAX_FEATURES) -> DataFrame:
+def idf_table(dfreq: DataFrame, n_docs: int | Column, k: int = MAX_FEATURES) -> DataFrame:
     """(term, df, idf) for the vocabulary; ``n_docs`` is the number of
-    training documents (a count taken once)."""
+    training documents, a number or a scalar-subquery column
+    (``docs.select(count(1)).scalar()``), which keeps the plan lazy."""
+    n = n_docs if isinstance(n_docs, Column) else F.lit(float(n_docs))
     vocab = vocabulary(dfreq, k)
-    return vocab.select("term", "df", smoothed_idf(F.col("df"), F.lit(float(n_docs))).alias("idf"))
+    return vocab.select("term", "df", smoothed_idf(F.col("df"), n.cast("double")).alias("idf"))
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, key: str = "doc_id",

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.constants import MAX_FEATURES, REVIEW_THRESHOLD, UNKNOWN_VERSION
-from logsift.functions.text import term_counts, terms as text_terms
+from logsift.functions.text import term_counts, with_terms
 
 
 @dataclass
@@ -54,7 +54,8 @@ def term_hits(df: DataFrame, model: TextModel, text: str, outer: bool = False) -
     the class weights.  Counting happens inside each row; the join against
     the bounded term table is a broadcast hash join.  ``outer`` keeps records
     without any known term (weights null)."""
-    counted = term_counts(df, text_terms(F.col(text), model.ngram_max), "_counts")
+    counted = term_counts(with_terms(df, text, "_terms", model.ngram_max), F.col("_terms"),
+                          "_counts").drop("_terms")
     # Always the outer generator (see ``features.term_freq``).
     occ = counted.select("*", F.explode_outer("_counts").alias("_tc")).select(
         *df.columns, F.col("_tc.term").alias("term"), F.col("_tc.tf").alias("tf"))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from logsift.constants import ALPHA, MAX_FEATURES, NGRAM_MAX, UNKNOWN_VERSION
 from logsift.functions.text import terms as text_terms
 from logsift.operators import features
+from logsift.operators.pipeline_score import build_pipeline
 from logsift.operators.score import TextModel
 
 
@@ -93,7 +94,8 @@ def train_text_model(train: DataFrame, key: str = "rid", text: str = "message",
         m = lr.fit(data)                                        # M3
         coef = m.coefficients.toArray()
         return coef, float(m.intercept), (c, counts[c], pos_w, reg, float(m.intercept),
-                                          int((coef != 0).sum()), int(m.summary.totalIterations))
+                                          int((coef != 0).sum()),
+                                          int(m.summary.totalIterations)), m
 
     try:
         # The K binary fits are independent: they run as concurrent Spark
@@ -105,13 +107,14 @@ def train_text_model(train: DataFrame, key: str = "rid", text: str = "message",
     weights = [f[0] for f in fitted]
     intercepts = [f[1] for f in fitted]
     summary = [f[2] for f in fitted]
+    pipeline = build_pipeline(terms, idf, [f[3] for f in fitted], text, ngram_max)
     rows = [(t, float(idf[j]), *[float(w[j]) for w in weights]) for j, t in enumerate(terms)]
     spark = train.sparkSession
     schema = "term string, idf double, " + ", ".join(f"w_{i} double" for i in range(n_classes))
     term_df = spark.createDataFrame(rows, schema) if rows else spark.createDataFrame([], schema)
     return TextModel(classes=classes, terms=term_df, intercepts=intercepts, n_terms=len(rows),
                      version=version or UNKNOWN_VERSION, ngram_max=ngram_max,
-                     extra={"summary": summary, "n_train": n})
+                     extra={"summary": summary, "n_train": n, "pipeline": pipeline})
 
 
 def summary_frame(model: TextModel) -> DataFrame:

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.constants import MAX_FEATURES, REVIEW_THRESHOLD
 from logsift.operators import alerts, evaluate, feedback, features, metrics, validate
 from logsift.operators.corpus import (LABELLED_COLUMNS, class_mix_resample)
 from logsift.plans import views
@@ -64,7 +63,6 @@ def q_weighted_mix(spark, sf):
     lv = views.logs(spark, sf)
     c = lv.groupBy("true_label").agg(F.count(F.lit(1)).alias("n"))
     # Share over the per-class table only.
-    from pyspark.sql import Window
     return rounded(c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())))
 
 
@@ -149,7 +147,7 @@ def q_vocabulary_topk(spark, sf):
 
 def _idf(spark, sf, docs):
     tf = features.term_freq(docs)
-    n_docs = docs.count()
+    n_docs = docs.select(F.count(F.lit(1))).scalar()      # scalar subquery, lazy
     return tf, features.idf_table(features.doc_freq(tf), n_docs)
 
 
@@ -358,4 +356,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     if name.startswith("q_") and callable(fn)
 }
 
-__all__ = ["QUERIES", "rounded", "MAX_FEATURES", "REVIEW_THRESHOLD"]
+__all__ = ["QUERIES", "rounded"]

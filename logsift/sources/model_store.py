@@ -13,6 +13,7 @@ the model is missing or unreadable (S9); a missing version is reported as
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,9 @@ def save_model(model: TextModel, path: str) -> None:
         "classes array<string>, intercepts array<double>, ngram_max int, n_terms long, "
         "version string")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    pipeline = model.extra.get("pipeline")
+    if pipeline is not None:
+        pipeline.write().overwrite().save(f"{path}/pipeline")
 
 
 def version_or_unknown(version: str | None) -> str:
@@ -57,9 +61,15 @@ def load_model(spark: SparkSession, path: str) -> TextModel:
     expected = ["term", "idf"] + [f"w_{i}" for i in range(k)]
     if terms.columns != expected:
         raise ModelLoadError(f"model terms at {path} have columns {terms.columns}")
+    extra = {}
+    try:
+        extra["pipeline"] = PipelineModel.load(f"{path}/pipeline")
+    except Exception:  # models without a fitted pipeline (e.g. a fixed one)
+        pass
     return TextModel(classes=list(m["classes"]), terms=terms,
                      intercepts=list(m["intercepts"]), n_terms=int(m["n_terms"]),
-                     version=version_or_unknown(m["version"]), ngram_max=int(m["ngram_max"]))
+                     version=version_or_unknown(m["version"]), ngram_max=int(m["ngram_max"]),
+                     extra=extra)
 
 
 def version_column(version: str | None):

@@ -29,6 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logsift.constants import DRIFT_SLIDE, DRIFT_WINDOW
 from logsift.operators import alerts
+from logsift.operators.pipeline_score import score_pipeline
 from logsift.operators.score import TextModel, score
 from logsift.operators.validate import split_valid
 from logsift.schemas import LOG_LINE
@@ -62,7 +63,11 @@ def classify_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str)
     """One micro-batch: results, alerts and quarantined records."""
     batch = with_event_time(batch)
     valid, bad = split_valid(batch)
-    scored = score(valid, model, key="log_id", text="message").persist()
+    pipeline = model.extra.get("pipeline")
+    if pipeline is not None:      # row-local: no shuffle in the micro-batch
+        scored = score_pipeline(valid, pipeline, model.classes, model.version).persist()
+    else:
+        scored = score(valid, model, key="log_id", text="message").persist()
     try:
         bid = F.lit(int(batch_id)).cast("long").alias("batch_id")
         _write(scored.select(*RESULT_COLUMNS, bid), f"{out}/results")

@@ -49,3 +49,25 @@ def test_objective_is_stationary(spark):
         p = 1 / (1 + np.exp(-z))
         g = X.T @ (w * (p - y)) / n + ALPHA * coef
         assert math.sqrt((g ** 2).sum()) < 1e-3, c
+
+
+def test_pipeline_scorer_matches_relational_and_has_no_shuffle(spark, tmp_path):
+    from logsift.operators.pipeline_score import score_pipeline
+    from logsift.sources import model_store
+    lv = views.logs(spark, "/root/testdata/sf0.001")
+    model = train_text_model(lv.where(F.col("split") == "train"), max_iter=50, version="v9")
+    model_store.save_model(model, str(tmp_path / "m"))
+    loaded = model_store.load_model(spark, str(tmp_path / "m"))
+    assert loaded.version == "v9" and "pipeline" in loaded.extra
+    a = {r.rid: r for r in score(lv, loaded, keep_internals=True).collect()}
+    piped = score_pipeline(lv, loaded.extra["pipeline"], loaded.classes, loaded.version,
+                           keep_internals=True)
+    b = {r.rid: r for r in piped.collect()}
+    assert a.keys() == b.keys()
+    for rid in a:
+        assert a[rid].category == b[rid].category
+        assert abs(a[rid].confidence - b[rid].confidence) < 1e-9
+        for c in loaded.classes:
+            assert abs(a[rid][f"m_{c}"] - b[rid][f"m_{c}"]) < 1e-9
+    plan = piped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" not in plan
