@@ -23,17 +23,35 @@ from logsift.sources.tables import events, read_table
 
 LIFECYCLE_VERSIONS = ["v1", "v2", "v3"]
 
+# View definitions per (application, input directory).  Building the log
+# view's expressions and analysing them costs more than running it at small
+# scale, so each view is defined once and its DataFrame reused: this keeps
+# the plan, not the data (every query still scans the input).
+_DEFINED: dict = {}
+
+
+def _defined(spark: SparkSession, name: str, make):
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _DEFINED:
+        _DEFINED[key] = make()
+    return _DEFINED[key]
+
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_view(events(spark, sf_dir)).withColumn("split", split_of(F.col("rid")))
+    return _defined(spark, f"logs:{sf_dir}", lambda: log_view(events(spark, sf_dir))
+                    .withColumn("split", split_of(F.col("rid"))))
 
 
 def scored(spark: SparkSession, sf_dir: str, model: TextModel | None = None,
            split: str | None = None, internals: bool = False) -> DataFrame:
-    lv = logs(spark, sf_dir)
-    if split is not None:
-        lv = lv.where(F.col("split") == F.lit(split))
-    return score(lv, model or fixed_model(spark), keep_internals=internals)
+    def make():
+        lv = logs(spark, sf_dir)
+        if split is not None:
+            lv = lv.where(F.col("split") == F.lit(split))
+        return score(lv, model or fixed_model(spark), keep_internals=internals)
+    if model is not None:
+        return make()
+    return _defined(spark, f"scored:{sf_dir}:{split}:{internals}", make)
 
 
 def with_requests(df: DataFrame) -> DataFrame:
