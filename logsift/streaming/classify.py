@@ -33,6 +33,7 @@ from logsift.operators.pipeline_score import score_pipeline
 from logsift.operators.score import TextModel, score
 from logsift.operators.validate import split_valid
 from logsift.schemas import LOG_LINE
+from logsift.session import checkpoint_dir
 
 RESULT_COLUMNS = ["log_id", "timestamp", "event_time", "source", "level", "message",
                   "category", "confidence", "needs_review", "model_version"]
@@ -78,11 +79,18 @@ def classify_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str)
         scored.unpersist()
 
 
+def _checkpoint(spark: SparkSession, given: str | None, name: str) -> str:
+    """The caller's location, else a folder under the shared
+    ``spark.checkpoint.dir`` of the session."""
+    return given or f"{checkpoint_dir(spark).rstrip('/')}/logsift/{name}"
+
+
 def start_classifier(spark: SparkSession, source: str, model: TextModel, out: str,
-                     checkpoint: str, available_now: bool = True,
+                     checkpoint: str | None = None, available_now: bool = True,
                      interval: str = "2 seconds", max_files: int = 1) -> StreamingQuery:
     """S3.  The model is loaded before the query starts (S9) and captured by
     the batch function; it is never refitted while serving."""
+    checkpoint = _checkpoint(spark, checkpoint, "classify")
     w = (log_stream(spark, source, max_files).writeStream
          .foreachBatch(lambda df, bid: classify_batch(df, bid, model, out))
          .option("checkpointLocation", checkpoint))
@@ -115,13 +123,15 @@ def rolling_mean_stream(results: DataFrame, watermark: str = "10 minutes") -> Da
                     F.col("window.end").alias("window_end"), "n", "avg_confidence"))
 
 
-def start_rolling_mean(spark: SparkSession, results_path: str, out: str, checkpoint: str,
+def start_rolling_mean(spark: SparkSession, results_path: str, out: str,
+                       checkpoint: str | None = None,
                        watermark: str = "10 minutes", available_now: bool = True,
                        max_files: int | None = None) -> StreamingQuery:
     """A6 over the results table.  By default a trigger takes every new file:
     one classification batch is written as several files that each span the
     batch's whole time range, so reading them one by one would make rows
     late.  Feed backfills in event-time order (or use the batch form)."""
+    checkpoint = _checkpoint(spark, checkpoint, "rolling_mean")
     reader = spark.readStream.schema(RESULT_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -50,3 +50,10 @@ def test_scorer_plan_single_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from logsift.plans import views as V
+    plan = V.lifecycle(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(event_type" in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in plan

@@ -71,3 +71,15 @@ def test_pipeline_scorer_matches_relational_and_has_no_shuffle(spark, tmp_path):
             assert abs(a[rid][f"m_{c}"] - b[rid][f"m_{c}"]) < 1e-9
     plan = piped._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_train_language_classifier_on_documents(spark):
+    """Second task of the same trainer: documents.lang (4 classes)."""
+    from logsift.plans.views import documents
+    docs = documents(spark, "/root/testdata/sf0.001").withColumnRenamed("lang", "label")
+    model = train_text_model(docs.where(F.col("split") == "train"), key="doc_id", text="text",
+                             label="label", max_iter=50)
+    assert model.classes == ["de", "en", "es", "fr"]
+    test = score(docs.where(F.col("split") == "test"), model, key="doc_id", text="text")
+    acc = test.agg(F.avg((F.col("label") == F.col("category")).cast("double"))).collect()[0][0]
+    assert acc > 0.8
