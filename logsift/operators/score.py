@@ -65,10 +65,68 @@ def term_hits(df: DataFrame, model: TextModel, text: str, outer: bool = False) -
                     "left" if outer else "inner")
 
 
+# Term tables up to this size may be looked up inside the row (a literal map):
+# no join and no shuffle.  It is not the default: with no aggregate between
+# the scan and the outputs, a later filter on ``confidence`` is pushed down
+# through every projection with the aliases substituted at each layer, and
+# the inlined expression grows multiplicatively (measured: a filtered
+# query that did not finish).  The per-record aggregate of the join path
+# stops that push-down.
+IN_ROW_MAX_TERMS = 256
+
+
+def _term_map(model: TextModel) -> Column:
+    """The term table as a literal map term -> struct(idf, w_0..w_{K-1});
+    only for tables of at most ``IN_ROW_MAX_TERMS`` rows."""
+    rows = model.terms.collect()                     # bounded by the caller
+    keys, vals = [], []
+    for r in rows:
+        keys.append(F.lit(r["term"]))
+        vals.append(F.struct(F.lit(float(r["idf"])).alias("idf"),
+                             *[F.lit(float(r[w])).alias(w) for w in model.weight_cols]))
+    return F.map_from_arrays(F.array(*keys), F.array(*vals))
+
+
+def margins_in_row(df: DataFrame, model: TextModel, text: str = "message") -> DataFrame:
+    """I1 for a small term table, entirely inside each row: in-row term
+    counts, literal-map lookup, sums with ``aggregate``.  Narrow plan."""
+    m = _term_map(model)
+    counted = term_counts(with_terms(df, text, "_terms", model.ngram_max), F.col("_terms"),
+                          "_counts")
+    hits = counted.select(*df.columns, F.filter(
+        F.transform("_counts", lambda c: F.struct(
+            c["tf"].cast("double").alias("tf"), F.try_element_at(m, c["term"]).alias("v"))),
+        lambda h: h["v"].isNotNull()).alias("_hits"))
+
+    def total(f):
+        return F.aggregate("_hits", F.lit(0.0), lambda acc, h: acc + f(h))
+
+    def x(h):
+        return h["tf"] * h["v"]["idf"]
+
+    sums = hits.select(*df.columns, total(lambda h: x(h) * x(h)).alias("_ss"),
+                       *[total(lambda h, w=w: x(h) * h["v"][w]).alias(f"_d{i}")
+                         for i, w in enumerate(model.weight_cols)])
+    return sums.select(*df.columns, *_margin_cols(model))
+
+
+def _margin_cols(model: TextModel) -> list[Column]:
+    norm = F.sqrt(F.col("_ss"))
+    return [
+        (F.lit(float(b)) + F.coalesce(F.try_divide(F.col(f"_d{i}"), norm), F.lit(0.0)))
+        .alias(f"m_{c}")
+        for i, (c, b) in enumerate(zip(model.classes, model.intercepts))
+    ]
+
+
 def margins(df: DataFrame, model: TextModel, key: str = "rid",
-            text: str = "message") -> DataFrame:
+            text: str = "message", method: str = "join") -> DataFrame:
     """``df`` plus ``m_<class>`` margin columns, one row per record.
 
+    ``method``: ``join`` (broadcast join + per-record aggregate, the
+    default) or ``in_row`` (small term tables only, no shuffle; for outputs
+    that are written rather than filtered, see ``IN_ROW_MAX_TERMS``).
+
     ``key`` must identify a record.  The per-record aggregate carries the
     record's other columns along with ``first()`` (map-side partial
     aggregation collapses a record's terms to one row before the only
@@ -77,6 +135,11 @@ def margins(df: DataFrame, model: TextModel, key: str = "rid",
     the message is hashed once per term.  Trained models can avoid the
     shuffle altogether with ``pipeline_score``.
     """
+    if method == "in_row":
+        if model.n_terms > IN_ROW_MAX_TERMS:
+            raise ValueError("in-row scoring needs a term table of at most "
+                             f"{IN_ROW_MAX_TERMS} rows")
+        return margins_in_row(df, model, text)
     hits = term_hits(df, model, text, outer=True)
     x = F.col("tf") * F.col("idf")
     carried = [c for c in df.columns if c != key]
@@ -84,13 +147,7 @@ def margins(df: DataFrame, model: TextModel, key: str = "rid",
         *[F.first(c).alias(c) for c in carried],
         F.sum(x * x).alias("_ss"),
         *[F.sum(x * F.col(w)).alias(f"_d{i}") for i, w in enumerate(model.weight_cols)])
-    norm = F.sqrt(F.col("_ss"))
-    cols = [
-        (F.lit(float(b)) + F.coalesce(F.try_divide(F.col(f"_d{i}"), norm), F.lit(0.0)))
-        .alias(f"m_{c}")
-        for i, (c, b) in enumerate(zip(model.classes, model.intercepts))
-    ]
-    return per.select(*df.columns, *cols)
+    return per.select(*df.columns, *_margin_cols(model))
 
 
 def sigmoid(m: Column) -> Column:
@@ -123,10 +180,10 @@ def needs_review(confidence: Column, threshold: float = REVIEW_THRESHOLD) -> Col
 
 
 def score(df: DataFrame, model: TextModel, key: str = "rid", text: str = "message",
-          keep_internals: bool = False) -> DataFrame:
+          keep_internals: bool = False, method: str = "join") -> DataFrame:
     """Records in, records + category, confidence, needs_review,
     model_version out (one row per input row)."""
-    scored = classify(margins(df, model, key, text), model.classes)
+    scored = classify(margins(df, model, key, text, method), model.classes)
     scored = scored.withColumn("needs_review", needs_review(F.col("confidence")))
     scored = scored.withColumn(
         "model_version", F.coalesce(F.lit(model.version), F.lit(UNKNOWN_VERSION)))

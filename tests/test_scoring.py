@@ -45,8 +45,8 @@ def test_record_without_known_terms_keeps_its_row(spark):
 
 
 def test_scorer_plan_single_shuffle(spark):
-    plan = score(views.logs(spark, SF_SMALL), fixed_model(spark))._jdf.queryExecution() \
-        .executedPlan().toString()
+    plan = score(views.logs(spark, SF_SMALL), fixed_model(spark), method="join")._jdf \
+        .queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -57,3 +57,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = V.lifecycle(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(event_type" in plan
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in plan
+
+
+def test_in_row_and_join_scorers_agree(spark):
+    lv = views.logs(spark, SF_SMALL)
+    m = fixed_model(spark)
+    a = {r.rid: r for r in score(lv, m, method="in_row", keep_internals=True).collect()}
+    b = {r.rid: r for r in score(lv, m, method="join", keep_internals=True).collect()}
+    assert a.keys() == b.keys()
+    for rid in a:
+        assert a[rid].category == b[rid].category
+        for c in m.classes:
+            assert abs(a[rid][f"m_{c}"] - b[rid][f"m_{c}"]) < 1e-12
+    plan = score(lv, m, method="in_row")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Join" not in plan
