@@ -9,8 +9,12 @@ A model is a bounded table ``(term, idf, w_0 .. w_{K-1})`` (at most
     category = argmax_k m_k, ties to the first class (I2)
     confidence = p_category                      (I4)
 
-Plan: term counts are computed inside each row (no shuffle), exploded and
-looked up with a broadcast hash join against the bounded term table; one
+Plan (small term tables, ``in_row``): counts, lookup in a literal map and
+sums all happen inside each row; the plan is narrow (no join, no shuffle).
+
+Plan (larger tables, ``join``): term counts are computed inside each row
+(no shuffle), exploded and looked up with a broadcast hash join against the
+bounded term table; one
 aggregate per record key (partial aggregation map-side, so each record
 crosses the network once, with its columns) gives the sums.  A record
 without a known term keeps its row (outer explode, left join) and is decided
@@ -65,20 +69,22 @@ def term_hits(df: DataFrame, model: TextModel, text: str, outer: bool = False) -
                     "left" if outer else "inner")
 
 
-# Term tables up to this size may be looked up inside the row (a literal map):
-# no join and no shuffle.  It is not the default: with no aggregate between
-# the scan and the outputs, a later filter on ``confidence`` is pushed down
-# through every projection with the aliases substituted at each layer, and
-# the inlined expression grows multiplicatively (measured: a filtered
-# query that did not finish).  The per-record aggregate of the join path
-# stops that push-down.
+# Term tables up to this size are looked up inside the row (a literal map):
+# no join and no shuffle.  Without an aggregate between the scan and the
+# outputs, a later filter on ``confidence`` would be pushed down through
+# every projection with the aliases substituted at each layer, and the
+# inlined expression would grow multiplicatively (measured: a filtered query
+# that did not finish); the sums therefore leave through a one-element
+# generator, which push-down does not cross.
 IN_ROW_MAX_TERMS = 256
 
 
 def _term_map(model: TextModel) -> Column:
     """The term table as a literal map term -> struct(idf, w_0..w_{K-1});
     only for tables of at most ``IN_ROW_MAX_TERMS`` rows."""
-    rows = model.terms.collect()                     # bounded by the caller
+    rows = model.terms.limit(IN_ROW_MAX_TERMS + 1).collect()
+    if len(rows) > IN_ROW_MAX_TERMS:
+        raise ValueError(f"term table has more than {IN_ROW_MAX_TERMS} rows")
     keys, vals = [], []
     for r in rows:
         keys.append(F.lit(r["term"]))
@@ -104,10 +110,14 @@ def margins_in_row(df: DataFrame, model: TextModel, text: str = "message") -> Da
     def x(h):
         return h["tf"] * h["v"]["idf"]
 
-    sums = hits.select(*df.columns, total(lambda h: x(h) * x(h)).alias("_ss"),
-                       *[total(lambda h, w=w: x(h) * h["v"][w]).alias(f"_d{i}")
-                         for i, w in enumerate(model.weight_cols)])
-    return sums.select(*df.columns, *_margin_cols(model))
+    sums = F.struct(total(lambda h: x(h) * x(h)).alias("_ss"),
+                    *[total(lambda h, w=w: x(h) * h["v"][w]).alias(f"_d{i}")
+                      for i, w in enumerate(model.weight_cols)])
+    # The sums leave through a one-element generator: a later filter on the
+    # scores can be pushed down to the generator but not below it, so the
+    # counting expressions are never inlined into a pushed-down predicate.
+    out = hits.select(*df.columns, F.inline(F.array(sums)))
+    return out.select(*df.columns, *_margin_cols(model))
 
 
 def _margin_cols(model: TextModel) -> list[Column]:
@@ -120,12 +130,12 @@ def _margin_cols(model: TextModel) -> list[Column]:
 
 
 def margins(df: DataFrame, model: TextModel, key: str = "rid",
-            text: str = "message", method: str = "join") -> DataFrame:
+            text: str = "message", method: str = "auto") -> DataFrame:
     """``df`` plus ``m_<class>`` margin columns, one row per record.
 
-    ``method``: ``join`` (broadcast join + per-record aggregate, the
-    default) or ``in_row`` (small term tables only, no shuffle; for outputs
-    that are written rather than filtered, see ``IN_ROW_MAX_TERMS``).
+    ``method``: ``in_row`` (term tables of at most ``IN_ROW_MAX_TERMS``
+    rows; no join, no shuffle), ``join`` (broadcast join + per-record
+    aggregate; any bounded table) or ``auto`` (in-row when small enough).
 
     ``key`` must identify a record.  The per-record aggregate carries the
     record's other columns along with ``first()`` (map-side partial
@@ -135,6 +145,8 @@ def margins(df: DataFrame, model: TextModel, key: str = "rid",
     the message is hashed once per term.  Trained models can avoid the
     shuffle altogether with ``pipeline_score``.
     """
+    if method == "auto":
+        method = "in_row" if model.n_terms <= IN_ROW_MAX_TERMS else "join"
     if method == "in_row":
         if model.n_terms > IN_ROW_MAX_TERMS:
             raise ValueError("in-row scoring needs a term table of at most "
@@ -180,7 +192,7 @@ def needs_review(confidence: Column, threshold: float = REVIEW_THRESHOLD) -> Col
 
 
 def score(df: DataFrame, model: TextModel, key: str = "rid", text: str = "message",
-          keep_internals: bool = False, method: str = "join") -> DataFrame:
+          keep_internals: bool = False, method: str = "auto") -> DataFrame:
     """Records in, records + category, confidence, needs_review,
     model_version out (one row per input row)."""
     scored = classify(margins(df, model, key, text, method), model.classes)
