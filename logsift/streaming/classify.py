@@ -123,20 +123,28 @@ def rolling_mean_stream(results: DataFrame, watermark: str = "10 minutes") -> Da
                     F.col("window.end").alias("window_end"), "n", "avg_confidence"))
 
 
+def drift_alert_stream(results: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """R3 on a stream: closed windows whose mean confidence is below the
+    drift threshold (append mode emits a window once, when it closes)."""
+    return alerts.drift_alerts(rolling_mean_stream(results, watermark))
+
+
 def start_rolling_mean(spark: SparkSession, results_path: str, out: str,
                        checkpoint: str | None = None,
                        watermark: str = "10 minutes", available_now: bool = True,
-                       max_files: int | None = None) -> StreamingQuery:
+                       max_files: int | None = None,
+                       alerts_only: bool = False) -> StreamingQuery:
     """A6 over the results table.  By default a trigger takes every new file:
     one classification batch is written as several files that each span the
     batch's whole time range, so reading them one by one would make rows
     late.  Feed backfills in event-time order (or use the batch form)."""
-    checkpoint = _checkpoint(spark, checkpoint, "rolling_mean")
+    checkpoint = _checkpoint(spark, checkpoint, "drift_alerts" if alerts_only else "rolling_mean")
     reader = spark.readStream.schema(RESULT_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.parquet(results_path)
-    w = (rolling_mean_stream(stream, watermark).writeStream.outputMode("append")
+    q = drift_alert_stream(stream, watermark) if alerts_only else rolling_mean_stream(stream, watermark)
+    w = (q.writeStream.outputMode("append")
          .format("parquet").option("path", out).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

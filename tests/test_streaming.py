@@ -56,6 +56,14 @@ def test_stream_matches_batch_and_rolling(spark, tmp):
     bset = {(x.window_start.isoformat(), x.n, round(x.avg_confidence, 9)) for x in closed.collect()}
     assert s == bset and len(s) > 0
 
+    # R3 on the stream: the drift alerts are the closed windows below 0.70.
+    da = start_rolling_mean(spark, f"{tmp}/out/results", f"{tmp}/drift_alerts", f"{tmp}/ckpt3",
+                            alerts_only=True)
+    da.awaitTermination(300)
+    got = {x.window_start.isoformat() for x in spark.read.parquet(f"{tmp}/drift_alerts").collect()}
+    want = {x.window_start.isoformat() for x in closed.where("avg_confidence < 0.70").collect()}
+    assert got == want and len(got) > 0
+
     # Replay of batch 0: same ids, no duplicates.
     first = spark.read.parquet(f"{src}").limit(0)
     before = res.count()
