@@ -23,7 +23,7 @@ from logsift.sources.tables import events, read_table
 
 LIFECYCLE_VERSIONS = ["v1", "v2", "v3"]
 
-# View definitions per (application, input directory).  Building the log
+# View definitions per (application, session, input directory).  Building the log
 # view's expressions and analysing them costs more than running it at small
 # scale, so each view is defined once and its DataFrame reused: this keeps
 # the plan, not the data (every query still scans the input).
@@ -31,7 +31,7 @@ _DEFINED: dict = {}
 
 
 def _defined(spark: SparkSession, name: str, make):
-    key = (spark.sparkContext.applicationId, name)
+    key = (spark.sparkContext.applicationId, id(spark), name)
     if key not in _DEFINED:
         _DEFINED[key] = make()
     return _DEFINED[key]
