@@ -33,6 +33,7 @@ from logsift.operators.pipeline_score import score_pipeline
 from logsift.operators.score import TextModel, score
 from logsift.operators.validate import split_valid
 from logsift.schemas import LOG_LINE
+from logsift.sources.envelope import collect_results, explode_requests
 from logsift.session import checkpoint_dir
 
 RESULT_COLUMNS = ["log_id", "timestamp", "event_time", "source", "level", "message",
@@ -148,3 +149,45 @@ def start_rolling_mean(spark: SparkSession, results_path: str, out: str,
          .format("parquet").option("path", out).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def request_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """Text files with one JSON request envelope per line: (request_id,
+    payload); ``request_id`` from file and envelope content, so a replay gives
+    the same ids."""
+    raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    return raw.select(F.sha2(F.concat_ws("\n", F.col("_metadata.file_path"), F.col("value")), 256)
+                      .alias("request_id"), F.col("value").alias("payload"))
+
+
+def respond_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str) -> None:
+    """One micro-batch of requests: parse (S4), score, and write one
+    response envelope per request with its results in request order (S5);
+    an empty request gets an empty result list."""
+    lines = explode_requests(batch)
+    lines = with_event_time(lines.withColumn(
+        "log_id", F.sha2(F.concat_ws(":", "request_id", F.col("pos").cast("string")), 256)))
+    pipeline = model.extra.get("pipeline")
+    if pipeline is not None:
+        scored = score_pipeline(lines, pipeline, model.classes, model.version)
+    else:
+        scored = score(lines, model, key="log_id", text="message")
+    results = collect_results(scored)
+    empty = F.array().cast(results.schema["results"].dataType)
+    responses = (batch.select("request_id").distinct()
+                 .join(results, "request_id", "left")
+                 .select("request_id", F.coalesce("results", empty).alias("results")))
+    bid = F.lit(int(batch_id)).cast("long").alias("batch_id")
+    _write(responses.select("*", bid), f"{out}/responses")
+
+
+def start_responder(spark: SparkSession, source: str, model: TextModel, out: str,
+                    checkpoint: str | None = None, available_now: bool = True,
+                    interval: str = "2 seconds", max_files: int = 1) -> StreamingQuery:
+    """Request envelopes in, response envelopes out, per micro-batch."""
+    checkpoint = _checkpoint(spark, checkpoint, "respond")
+    w = (request_stream(spark, source, max_files).writeStream
+         .foreachBatch(lambda df, bid: respond_batch(df, bid, model, out))
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
