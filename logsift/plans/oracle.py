@@ -115,9 +115,8 @@ def _model_values() -> str:
 
 
 def terms_sql(text_sql: str) -> str:
-    """Unigrams then bigrams of the lower-cased tokens, as a DuckDB list."""
-    t = f"regexp_extract_all(lower({text_sql}), '{TOKEN_RE}')"
-    return t
+    """Lower-cased tokens as a DuckDB list (bigrams are added where used)."""
+    return f"regexp_extract_all(lower({text_sql}), '{TOKEN_RE}')"
 
 
 def scored_cte(where: str = "") -> str:
