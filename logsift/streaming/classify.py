@@ -50,6 +50,23 @@ def log_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
     return raw.select(F.sha2(rid, 256).alias("log_id"), *[f.name for f in LOG_LINE.fields])
 
 
+def kafka_log_stream(spark: SparkSession, options: dict) -> DataFrame:
+    """Log lines as JSON values on a Kafka topic (``options`` are the Kafka
+    source options, e.g. ``kafka.bootstrap.servers`` and ``subscribe``).
+    ``log_id`` comes from (topic, partition, offset): stable under replay.
+    Needs the Spark Kafka connector on the classpath."""
+    try:
+        raw = spark.readStream.format("kafka").options(**options).load()
+    except Exception as e:
+        raise RuntimeError("the Kafka source needs the spark-sql-kafka connector "
+                           "on the classpath") from e
+    rid = F.concat_ws(":", "topic", F.col("partition").cast("string"),
+                      F.col("offset").cast("string"))
+    line = F.from_json(F.col("value").cast("string"), LOG_LINE)
+    return raw.select(F.sha2(rid, 256).alias("log_id"), line.alias("_l")).select(
+        "log_id", *[F.col(f"_l.{f.name}").alias(f.name) for f in LOG_LINE.fields])
+
+
 def with_event_time(df: DataFrame) -> DataFrame:
     """Parse the ISO text; an unparseable time gives null (the record is
     still classified, only time windows leave it out)."""

@@ -105,3 +105,14 @@ def test_request_envelopes_in_responses_out(spark, tmp):
     three = [r for r in got if len(r.results) == 3][0].results
     assert [x.category for x in three] == ["noise", "security", "warning"]
     assert all(x.log_id for x in three) and len({x.log_id for x in three}) == 3
+
+
+def test_kafka_source_without_connector_says_so(spark):
+    from logsift.streaming.classify import kafka_log_stream
+    try:
+        df = kafka_log_stream(spark, {"kafka.bootstrap.servers": "unused:9092",
+                                      "subscribe": "logs"})
+    except RuntimeError as e:
+        assert "connector" in str(e)
+    else:                                   # connector present: schema is right
+        assert df.columns == ["log_id", "timestamp", "source", "level", "message"]
