@@ -81,3 +81,16 @@ def test_model_store_round_trip(spark, tmp):
 def test_missing_model_is_fatal(spark, tmp):
     with pytest.raises(model_store.ModelLoadError):
         model_store.load_model(spark, f"{tmp}/nothing-here")
+
+
+def test_small_scans_are_spread_by_size(spark):
+    from logsift.sources.tables import SPREAD_BYTES, input_bytes, read_table
+    sc = spark.sparkContext
+    for name in ["labels", "documents"]:
+        df = read_table(spark, "/root/testdata/sf0.01", name)
+        n = df.rdd.getNumPartitions()
+        raw = spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+        expect = min(sc.defaultParallelism, max(raw.rdd.getNumPartitions(),
+                                                -(-input_bytes(raw) // SPREAD_BYTES)))
+        assert n == expect
+        assert df.count() == raw.count()
