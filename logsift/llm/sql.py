@@ -10,13 +10,19 @@ from logsift.llm.url_rules import FIXED_RULES, Mining
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+# Five-word windows of ``d(doc_id, w)``.
+FIVES = """each AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+fives AS (SELECT doc_id, pos, five FROM (SELECT doc_id, pos, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o
+            || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS five
+          FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE five IS NOT NULL)"""
+
 
 def op1(rules: HostRules = HostRules()) -> str:
     return rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
-windows AS (SELECT doc_id, i, w[i:i + 4] AS five FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-twice AS (SELECT doc_id, five FROM windows GROUP BY ALL HAVING count(*) > 1),
-covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows JOIN twice USING (doc_id, five),
+{FIVES},
+twice AS (SELECT doc_id, five FROM fives GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM fives JOIN twice USING (doc_id, five),
             (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
 m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -85,10 +91,11 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 OP9 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
                                                       '[^\x20\x09-\x0D]+') AS w FROM documents),
-sh AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM d),
-n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sh),
-e AS (SELECT doc_id, unnest(s) AS x FROM sh),
+{FIVES},
+e AS (SELECT DISTINCT doc_id, five AS x FROM fives
+      UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+c AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM d LEFT JOIN c USING (doc_id)),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
 reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id)

@@ -98,7 +98,7 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
 
 
 def decode_block(data: memoryview, table: Table) -> tuple[np.ndarray, int]:
-    """``(ids, bytes read)``; raises when a segment's checksum differs."""
+    """``(ids, bytes read)``; raises when a lane or a checksum is wrong."""
     n, segments, rows, n_words = struct.unpack_from("<4I", data, 0)
     place = 16
 
@@ -122,6 +122,8 @@ def decode_block(data: memoryview, table: Table) -> tuple[np.ndarray, int]:
         index = np.minimum(pos[:, None] + nth - 1, n_words)
         state = np.where(low, (state << U32) | stream[index], state)
         pos += nth[:, -1]
+    if (state != LOW).any():
+        raise ValueError("a lane does not end where it began")
     flat = grid.reshape(segments, -1)
     for s in range(segments):
         if zlib.crc32(flat[s].astype("<u4")) != sums[s]:

@@ -1,0 +1,341 @@
+"""Operators against brute force on odd rows and on the small documents."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from logsift.llm import (components, exact_dedup, language_id, lexicon_bpe, line_dedup, minhash_tensor, mixing,
+                         quality_rules, secret_scan, token_ans, url_rules)
+from logsift.llm.common import keyed_rows
+from logsift.llm.queries import tokenizer
+from tests.conftest import SF_SMALL
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+
+
+def multiset(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+def brute_counts(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    seen = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality_counts(odd):
+    got = quality_rules.judge(odd).select("doc_id", *quality_rules.COUNTS).collect()
+    assert multiset(got) == Counter((r.doc_id, *brute_counts(r.text)) for r in odd.collect())
+
+
+def test_quality_host_verdict(spark):
+    rows = [(i, "fine words " * 1 + " ".join(f"w{i}x{k}" for k in range(20)), f"h{i % 10}") for i in range(200)]
+    rows += [(1000 + i, "short", "bad") for i in range(40)] + [(2000, " ".join(f"z{k}" for k in range(30)), "bad")]
+    rows += [(3000, " ".join(f"y{k}" for k in range(30)), None)]
+    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[2000].host_rejected and not out[2000].kept and not out[2000].base_failed
+    assert out[3000].kept and all(out[i].kept for i in range(200))
+
+
+def test_quality_keep_returns_rows(odd, none):
+    kept = quality_rules.keep_good(odd)
+    assert kept.columns == odd.columns
+    assert multiset(kept.collect()) <= multiset(odd.collect())
+    assert quality_rules.keep_good(none).count() == 0 and quality_rules.judge(none).count() == 0
+
+
+def check_copies(source, marked):
+    rows = marked.collect()
+    groups = {}
+    for r in source.collect():
+        groups.setdefault(r.text or "", []).append(r.doc_id)
+    assert len(rows) == sum(map(len, groups.values()))
+    sha = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    for r in rows:
+        ids = sha[r.text_sha256]
+        assert r.group_size == len(ids)
+        assert r.keep_id == max((i for i in ids if i is not None), default=None)
+    assert Counter(r.text_sha256 for r in rows if r.kept) == Counter(list(sha))
+
+
+@pytest.mark.parametrize("size", [64, exact_dedup.BLOCK])
+def test_exact_copies(odd, size):
+    check_copies(odd, exact_dedup.mark_copies(keyed_rows(odd), size=size))
+
+
+def test_exact_copies_with_colliding_keys(odd):
+    """A weak first key: naming starts again with the next seed."""
+    def weak(block, seed):
+        return exact_dedup.block_key(F.lit("same") if seed == 0 else block, seed)
+    check_copies(odd, exact_dedup.mark_copies(keyed_rows(odd), size=4096, key=weak))
+
+
+def test_exact_dedup_rows(odd, none):
+    out = exact_dedup.exact_dedup(odd)
+    assert out.columns == odd.columns and out.count() == len({r.text or "" for r in odd.collect()})
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+def test_line_dedup(spark, none):
+    rule = line_dedup.Spread(min_sites=3, min_words=2)
+    rows = [(i, f"own line {i}\nshared by all sites\n\nshared by all sites\nlast {i % 2} two", f"s{i % 4}") for i in range(8)]
+    rows += [(90, None, "s1"), (91, "shared by all sites", None), (92, "a\nb", "s2")]
+    out = {r.doc.doc_id: r for r in line_dedup.remove_boilerplate(
+        spark.createDataFrame(rows, "doc_id long, text string, source string"), rule).collect()}
+    assert out[0].clean == "own line 0\n\nlast 0 two" and out[0].n_removed == 2 and out[0].n_lines == 5
+    assert out[91].clean == "" and out[92].clean == "a\nb" and out[90].n_removed == 0
+    assert line_dedup.remove_boilerplate(none, rule).count() == 0
+
+
+def test_line_dedup_near_threshold_is_exact(spark):
+    rule = line_dedup.Spread(min_sites=100, min_words=1)
+    rows = [(i, f"edge{n}", f"s{i}") for n in (99, 100, 101) for i in range(n)]
+    out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), rule)
+    gone = {r.t for r in out.filter("n_removed > 0").select(F.col("doc.text").alias("t")).distinct().collect()}
+    assert gone == {"edge100", "edge101"}
+
+
+@pytest.mark.parametrize("limit", [0, 5, 2000])
+def test_bpe_equals_library(odd, docs, limit):
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    both = odd.select("doc_id", "text").union(docs.select("doc_id", "text"))
+    got = lexicon_bpe.encode_decode(both, tokenizer("byte_bpe_50k.json"), limit=limit).collect()
+    want = Counter()
+    for r in both.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)] += 1
+    assert Counter((r.doc_id, bytes(r.ids), r.decoded) for r in got) == want
+
+
+def test_lexicon_is_minimal_and_complete():
+    words = sorted({(a + b + c).encode() for a in ("un", "re", "") for b in ("do", "tie", "é") for c in ("ing", "s", "")})
+    data = lexicon_bpe.compile_lexicon([(w, [i, i + 1]) for i, w in enumerate(words)])
+    lexicon = lexicon_bpe.Lexicon(data)
+    assert [lexicon.get(w) for w in words] == [[i, i + 1] for i in range(len(words))]
+    assert lexicon.get(b"undoin") is None and lexicon.get(b"") is None and lexicon.get(b"zzz") is None
+    assert len(lexicon.final) < sum(map(len, words)) / 3
+    assert lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon([])).get(b"a") is None
+
+
+def test_split_of_units_covers_unicode():
+    """Words of the lexicon and the library's splitter agree on code points."""
+    with open(tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        v = lexicon_bpe.Vocabulary(f.read())
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")).pre_tokenizer
+    points = [c for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + [0x20000, 0x1F600, 0x16D6B]
+    text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}#" for c in points)
+    want = [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+    assert [p for u in lexicon_bpe._units(text) for p in v.pieces(u)] == want
+
+
+def test_language_held_out(docs):
+    train, held = docs.filter("doc_id % 4 <> 0"), docs.filter("doc_id % 4 = 0 AND length(text) > 60")
+    model = language_id.fit(train.select("lang", "text"))
+    records = held.select(F.struct("doc_id", "lang").alias("key"), "text", F.lit(None).cast("string").alias("declared"),
+                          F.col("source").alias("host"))
+    out = language_id.identify(records.withColumn("key", F.struct("key.doc_id", F.col("key.lang").alias("truth"))), model).collect()
+    assert np.mean([r.lang == r.truth for r in out]) > 0.95
+
+
+def test_language_evidence_fuses(spark, docs):
+    model = language_id.fit(docs.select("lang", "text"))
+    texts = {r.lang: r.text for r in docs.filter("length(text) > 400").select("lang", "text").collect()}
+    rows = [(i, texts["de"], "de", "x.example.de") for i in range(30)] + [(i, texts["en"], "en", "y.example.com") for i in range(30, 60)]
+    rows += [(100, "", "de", None), (101, None, None, "x.example.de"), (102, "", None, "new.example.de"), (103, texts["fr"], "en", None)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string")
+    out = {r.id: r.lang for r in language_id.identify(df.select(F.struct("id").alias("key"), "text", "declared", "host"), model).collect()}
+    assert (out[100], out[101], out[102], out[103]) == ("de", "de", "de", "fr")
+    empty = df.limit(0).select(F.struct("id").alias("key"), "text", "declared", "host")
+    assert language_id.identify(empty, model).count() == 0
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame([(None, "x")], "lang string, text string"))
+
+
+def test_token_files_round_trip(odd, docs):
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    library.no_truncation(), library.no_padding()
+    both = odd.select("doc_id", "text").union(docs.select("doc_id", "text")).filter("doc_id IS NULL OR doc_id > 20 OR text IS NULL OR doc_id < 18")
+    both = both.dropDuplicates(["doc_id"])
+    got = token_ans.round_trip(both, tokenizer("word_bpe_49k.json")).collect()
+    start, want = 0, []
+    for r in sorted(both.collect(), key=lambda r: (r.doc_id is not None, r.doc_id)):
+        ids = np.array(library.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4").tobytes()
+        want.append((r.doc_id, start, len(ids) // 4, zlib.crc32(ids)))
+        start += len(ids) // 4
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_token_files_of_nothing(none):
+    assert token_ans.round_trip(none, tokenizer("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 70_000, 300_000])
+def test_blocks(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.geometric(0.01, n), 49_999).astype(np.uint32)
+    payload = token_ans.pack_group([5, None], [n, 0], [ids], 50_000)
+    doc_ids, lengths, blocks = token_ans.unpack_group(payload)
+    assert doc_ids == [5, None] and list(lengths) == [n, 0] and np.array_equal(next(blocks), ids)
+    if n > 100_000:
+        assert len(payload) < 4 * n * 0.35
+    broken = bytearray(payload)
+    broken[-3] ^= 1
+    with pytest.raises(ValueError):
+        list(token_ans.unpack_group(bytes(broken))[2])
+
+
+def test_mixing(odd, docs, none):
+    for source in (odd, docs):
+        rows = [r.asDict() for r in mixing.mix(source).join(source.select("doc_id", "source"), "doc_id").collect()] if source is docs else []
+        again = multiset(mixing.mix(source.repartition(5)).collect())
+        assert again == multiset(mixing.mix(source).collect())
+        taken = {}
+        for r in rows:
+            assert r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"])
+            t = taken.setdefault(r["source"], [0, r["target"], r["source_size"], 0])
+            t[0] += r["taken"]
+            t[3] = max(t[3], r["size"])
+        for got, target, size, largest in taken.values():
+            assert abs(got - target) <= largest / 2 + 1 and target <= 3 * size + 1e-6
+    assert mixing.mix(none).count() == 0
+    out = mixing.mixed_docs(docs)
+    assert out.columns == docs.columns
+    want = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect() if r["size"]}
+    got = Counter(r.doc_id for r in out.select("doc_id").collect())
+    assert all(got[d] == n for d, n in want.items())
+
+
+def test_fill_is_water_filling():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes = rng.integers(0, 1000, 9).tolist()
+        weights = [(5, 2, 1)[i % 3] for i in range(9)]
+        open_, left, out = set(range(9)), float(sum(sizes)), [0.0] * 9
+        while open_:
+            share = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+            full = [i for i in open_ if share[i] > 3 * sizes[i]]
+            if not full:
+                for i in open_:
+                    out[i] = share[i]
+                break
+            for i in full:
+                out[i] = 3.0 * sizes[i]
+                left -= out[i]
+                open_.remove(i)
+        assert np.allclose(mixing.fill(sizes, weights), out)
+
+
+def brute_spans(text):
+    text, out = text or "", []
+    pattern = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out += [(m.start(), 0, m.end()) for m in pattern.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secrets(odd, docs, none):
+    both = odd.select("doc_id", "text", "source").union(docs.select("doc_id", "text", "source"))
+    got = secret_scan.scan_secrets(both, F.col("source"), F.col("source")).collect()
+    kinds = ("assign", "access", "hex")
+    want = Counter()
+    for r in both.collect():
+        spans = brute_spans(r.text)
+        n = Counter(k for _, k, _ in spans)
+        joined = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+        want[r.doc_id, n[0], n[1], n[2], hashlib.sha256(joined.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+    for r in got:
+        base = [s for s in r.spans.split(",") if s and not s.startswith("live")]
+        assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
+        assert len(base) == r.n_assign + r.n_access + r.n_hex == r.n_live + r.n_copied
+    assert secret_scan.scan_secrets(none, F.col("source"), F.col("source")).count() == 0
+
+
+def test_secret_ownership(spark):
+    value, own = "Qx7Zr2Lm9Kp4Vt8Wn3Bs", "Hj5Tg1Yc6Nd0Fq8Rw2Ue"
+    rows = [(i, f"see {value} here", f"o{i}") for i in range(5)] + [(9, f"see {own} here", "o1"), (10, f"see {own} here", "o1")]
+    out = {r.doc_id: r.spans for r in secret_scan.scan_secrets(
+        spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source"), F.col("source")).collect()}
+    assert all(out[i] == "" for i in range(5)) and out[9] == out[10] == "live:4:24"
+
+
+def brute_near(rows):
+    sets = []
+    for r in rows:
+        words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(r.text or "")]
+        sets.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else ({tuple(words)} if words else set()))
+    root = list(range(len(rows)))
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    comps = {}
+    for i, r in enumerate(rows):
+        comps.setdefault(find(i), []).append((r.doc_id, len(sets[i])))
+    out = Counter()
+    for members in comps.values():
+        least = min((d for d, _ in members if d is not None), default=None)
+        out.update((d, n, least) for d, n in members)
+    return out
+
+
+def test_near_copies(odd, docs, none, spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    edited = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.choice(120, int(rng.integers(0, 12)), replace=False):
+            words[k] = f"e{i}x{k}"
+        edited.append((5000 + i, " ".join(words)))
+    near = spark.createDataFrame(edited, "doc_id long, text string")
+    both = odd.select("doc_id", "text").union(docs.filter("doc_id > 30").select("doc_id", "text")).union(near)
+    got = minhash_tensor.mark_near_copies(keyed_rows(both)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(both.collect())
+    out = minhash_tensor.near_dedup(odd)
+    assert out.columns == odd.columns and minhash_tensor.near_dedup(none).count() == 0
+    assert sum(r.kept for r in minhash_tensor.mark_near_copies(keyed_rows(odd)).collect()) == out.count()
+
+
+def test_components_of_a_chain(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 100), (7, 7)]
+    out = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {i: 0 for i in range(1, 41)} | {100: 99}
+
+
+def test_url_rules(spark):
+    urls = [(i, f"http://bad.example.org/x/{i}?spam=1") for i in range(20)] + [(100 + i, f"http://good.example.org/y/{i}") for i in range(20)]
+    urls += [(200, "http://other.example.com/z?spam=2"), (201, None), (202, "no scheme"), (203, "HTTPS://WWW.Example.NET/en/a#b"),
+             (204, "http://a.net/q"), (205, "http://example.com/de/1"), (206, "http://x.org/fr/?spam=1"), (207, "http://notexample.com/de/"),
+             (208, "http://a.net"), (209, "ftp://u@A.ORG:80/fr/é?x#y"), (100, "http://good.example.org/y/0")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 100) for i, _ in urls[:40]] + [(300, True), (5, None)], "page_id long, blocked boolean")
+    out = {r.page_id: r for r in url_rules.judge_urls(pages, labels, url_rules.Mining(min_support=0.2)).collect()}
+    assert out[200].verdict == "block" and out[200].rule is None and out[100].verdict == "allow" and out[3].verdict == "block"
+    assert (out[201].host, out[201].path, out[201].verdict) == ("", "", "allow") and out[202].host == ""
+    assert (out[203].host, out[203].path, out[203].rule) == ("www.example.net", "/en/a", "example.net/en/")
+    assert out[204].rule == "net/" and out[205].rule == "example.com/de/" and out[206].verdict == "allow"
+    assert out[207].rule is None and out[208].rule is None and (out[209].host, out[209].path) == ("u@a.org:80", "/fr/é")
+    nothing = url_rules.judge_urls(pages, labels.limit(0))
+    assert nothing.filter("rule IS NULL AND verdict = 'block'").count() == 0
+    assert url_rules.judge_urls(pages.limit(0), labels).count() == 0
