@@ -66,3 +66,25 @@ def text_of(column: str | Column = "text") -> Column:
     """The text as string, null as the empty text."""
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+class Recent(dict):
+    """Results of ``make(key)`` for keys met lately: two generations of at
+    most ``most`` entries; when the younger is full it becomes the elder.
+    Long keys are not held."""
+
+    def __init__(self, make, most: int, longest: int = 40):
+        super().__init__()
+        self.make, self.most, self.longest, self.elder = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.elder.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -10,8 +10,8 @@ by the merge ranks.  Decoding maps ids to bytes.
 A "word" here is an optional space and the run of other characters behind it,
 or a run of white space; the tokenizer splits words further, never across.
 
-Bounds: ``lexicon_words`` words reach the driver; every worker's memory of
-recent words holds at most ``MEMO`` entries (it only saves time).
+Bounds: at most ``LEXICON_WORDS`` words reach the driver; a worker's memory of
+recent words is bounded by ``MEMO`` (it only saves time).
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 special tokens inside a text become their ids, as in the tokenizers library;
@@ -38,10 +38,10 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.common import shared_dir
+from logsift.llm.common import Recent, saved, shared_dir
 
 LEXICON_WORDS = 50_000
-MEMO = 300_000
+MEMO = 350_000
 PARTIAL_COUNTS = 400_000
 MAGIC = 0x4D414654
 HEAP_FROM = 48
@@ -241,48 +241,29 @@ class Lexicon:
         return self.ids[self.start[number]:self.start[number + 1]].tolist()
 
 
-class _Memo(dict):
-    """Recent words and the little-endian bytes of their ids."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        super().__init__()
-        self.vocabulary, self.lexicon, self.parts = vocabulary, lexicon, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        word = unit.encode()
-        ids = self.lexicon.get(word)
-        if ids is None:
-            ids = []
-            for piece in self.vocabulary.pieces(unit):
-                known = self.parts.get(piece)
-                if known is None:
-                    known = self.vocabulary.merge(piece.encode())
-                    if len(self.parts) >= MEMO:
-                        self.parts.clear()
-                    if len(piece) < 40:
-                        self.parts[piece] = known
-                ids += known
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= MEMO:
-            self.clear()
-        if len(unit) < 40:
-            self[unit] = packed
-        return packed
-
-
 class Codec:
     """Encoder and decoder of one vocabulary and lexicon."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.vocabulary, self.memo = vocabulary, _Memo(vocabulary, lexicon)
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.units = Recent(self._unit, MEMO)
+        self.parts = Recent(lambda piece: vocabulary.merge(piece.encode()), MEMO // 2)
         size = max(vocabulary.bytes_of) + 1
         self.bytes_of = [vocabulary.bytes_of.get(i, b"") for i in range(size)]
 
+    def _unit(self, unit: str) -> bytes:
+        """Little-endian bytes of a word's ids: the lexicon's, else merged."""
+        ids = self.lexicon.get(unit.encode())
+        if ids is None:
+            pieces = self.vocabulary.pieces(unit)
+            ids = self.parts[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in self.parts[p]]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        lookup = self.memo.__getitem__
+        lookup = self.units.__getitem__
         v = self.vocabulary
         if not v.special_split or not any(s in text for s in v.specials):
             return b"".join(map(lookup, _units(text)))
@@ -326,11 +307,19 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WORDS) -> DataFrame:
-    """The ``limit`` most frequent words of all texts, with their counts."""
+    """The most frequent words of all texts, with their counts: those above
+    the lowest count bin (eight bins to a doubling) that leaves at most
+    ``limit``.  Only the bins' sizes come to the driver, no word is sorted."""
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    return (texts.mapInArrow(_partial_counts, "unit string, n long")
-            .groupBy("unit").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "unit").limit(limit))
+    counts = saved(texts.mapInArrow(_partial_counts, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+                   .withColumn("bin", F.floor(8 * F.log2("n"))), "words")
+    cut, room = 0, limit
+    for r in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
+        room -= r["count"]
+        if room < 0:
+            cut = r["bin"] + 1
+            break
+    return counts.filter(F.col("bin") >= cut).select("unit", "n")
 
 
 def ship(spark: SparkSession, data: bytes) -> str:

@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm.common import new_path
+from logsift.llm.common import Recent, new_path
 
 GROUP_IDS, BLOCK_IDS, SEGMENT_IDS, LANES = 1 << 22, 1 << 20, 1 << 16, 128
 SCALE = 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"RANS1\0\0\0"
-MEMO = 500_000
+MEMO = 350_000
 U20, U32, U43 = np.uint64(SCALE), np.uint64(32), np.uint64(63 - SCALE)
 SLOTS = np.uint64((1 << SCALE) - 1)
 
@@ -167,9 +167,9 @@ def unpack_group(payload: bytes) -> tuple[list[int | None], np.ndarray, Iterator
     return [int(d) if k else None for d, k in zip(doc_ids, known)], lengths, blocks()
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words as little-endian 32-bit integers, by the tokenizers
-    library; holds the words met last.  The tokenizer drops white space and
+    library.  The tokenizer drops white space and
     never joins characters across it, so a text's ids are its words' ids.
 
     Words of Latin letters go through the library's merge model piece by
@@ -182,8 +182,8 @@ class WordIds(dict):
     _other = re.compile("<\\||[ɐ-\U0010ffff]").search
 
     def __init__(self, spec: str):
-        super().__init__()
         from tokenizers import Tokenizer
+        self.words, self.parts = Recent(self._word, MEMO), Recent(self._piece, MEMO // 2)
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
@@ -191,35 +191,21 @@ class WordIds(dict):
         kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(kept)]
         self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.parts: dict[str, bytes] = {}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
-    def piece(self, piece: str) -> bytes:
-        known = self.parts.get(piece)
-        if known is None:
-            shown = "".join(map(self.shown.__getitem__, piece.encode()))
-            known = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            if len(piece) < 40:
-                self.parts[piece] = known
-        return known
-
-    def __missing__(self, word: bytes) -> bytes:
+    def _piece(self, piece: str) -> bytes:
+        shown = "".join(map(self.shown.__getitem__, piece.encode()))
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if self._other(text):
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            ids = b"".join(map(self.piece, WordIds._pieces(text.lower())))
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) < 40:
-            self[word] = ids
-        return ids
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.parts.__getitem__, WordIds._pieces(text.lower())))
 
     def text_ids(self, text: str | None) -> bytes:
         # bytes.split() splits at the six ASCII white spaces.
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        return b"".join(map(self.words.__getitem__, text.encode().split())) if text else b""
 
 
 _WORDS: dict[str, WordIds] = {}
