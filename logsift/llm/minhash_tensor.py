@@ -98,6 +98,13 @@ def shingle_set(text: pd.Series) -> pd.Series:
     return pd.Series([shingles(t).view(np.int64) for t in text], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def bin_counts(sets: pd.Series, own: pd.Series) -> pd.Series:
+    """Counts by bin of the shingles of a set that are not its own alone."""
+    shared = (np.setdiff1d(s, o, assume_unique=True) for s, o in zip(sets, own))
+    return pd.Series([np.bincount((x >> 20) % BINS, minlength=BINS) for x in shared], dtype=object)
+
+
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs more than once; a shuffle join, skew is split."""
     often = rows.groupBy(key).agg(F.count("*").alias("c")).filter("c > 1").select(key)
@@ -147,19 +154,7 @@ def candidate_sets(rows: DataFrame, signed: DataFrame, buckets: DataFrame, text:
     alone = single.groupBy("cid").agg(F.collect_list("x").alias("own"))
     sets = sets.join(alone, "cid", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
     sets = sets.withColumn("alone", F.size("own")).filter(4 * F.col("alone") <= F.col("n"))
-    shared = F.transform(F.array_except("s", "own"), lambda x: F.pmod(F.shiftright(x, 20), F.lit(BINS)).cast("int"))
-    return saved(sets.select("cid", "n", "s", "alone", shared.alias("at"))
-                 .withColumn("bins", _histogram("at")).drop("at"), "shared")
-
-
-def _histogram(at: str) -> Column:
-    """Counts of the numbers 0 to ``BINS`` - 1 in an array: the lengths of the
-    runs of its sorted form with every number once more."""
-    all_bins = F.sequence(F.lit(0), F.lit(BINS - 1))
-    ordered = F.array_sort(F.concat(F.col(at), all_bins))
-    first = F.transform(all_bins, lambda b: F.array_position(ordered, b))
-    last = F.concat(F.slice(first, 2, BINS - 1), F.array((F.size(ordered) + 1).cast("long")))
-    return F.zip_with(first, last, lambda a, b: (b - a - 1).cast("int"))
+    return saved(sets.select("cid", "n", "s", "alone", bin_counts("s", "own").alias("bins")), "shared")
 
 
 def links(rows: DataFrame, signed: DataFrame, text: str = "text") -> DataFrame:
