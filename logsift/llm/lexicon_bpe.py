@@ -98,15 +98,15 @@ class Vocabulary:
         parts = [self.byte_id[b] for b in piece]
         if len(parts) > HEAP_FROM:
             return self._merge_long(parts)
-        rank, none = self.rank.get, self.none
+        rank, none, merged = self.rank.get, self.none, self.merged
         ranks = [rank(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            parts[i:i + 2] = [self.merged[best]]
-            del ranks[i]
+            parts[i] = merged[best]
+            del parts[i + 1], ranks[i]
             if i < len(ranks):
                 ranks[i] = rank(parts[i] << 20 | parts[i + 1], none)
             if i:
@@ -202,6 +202,14 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
                      ids.tobytes(), bytes(final), bytes(labels)])
 
 
+_ONE = [bytes([i]) for i in range(256)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Lexicon:
     """Reader of ``compile_lexicon``'s form over any buffer with ``find``."""
 
@@ -229,13 +237,13 @@ class Lexicon:
 
     def get(self, word: bytes) -> list[int] | None:
         state, number, base = self.root, 0, self.labels_at
-        find, first = self.data.find, self.first
-        for i in range(len(word)):
-            arc = find(word[i:i + 1], base + first[state], base + first[state + 1]) - base
+        find, first, target, out = self.data.find, self.first, self.target, self.out
+        for letter in map(_ONE.__getitem__, word):
+            arc = find(letter, base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return None
-            number += self.out[arc]
-            state = self.target[arc]
+            number += out[arc]
+            state = target[arc]
         if not self.final[state]:
             return None
         return self.ids[self.start[number]:self.start[number + 1]].tolist()
@@ -247,7 +255,7 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.units = Recent(self._unit, MEMO)
-        self.parts = Recent(lambda piece: vocabulary.merge(piece.encode()), MEMO // 2)
+        self.parts = Recent(lambda piece: packed(vocabulary.merge(piece.encode())), MEMO // 2)
         size = max(vocabulary.bytes_of) + 1
         self.bytes_of = [vocabulary.bytes_of.get(i, b"") for i in range(size)]
 
@@ -255,9 +263,8 @@ class Codec:
         """Little-endian bytes of a word's ids: the lexicon's, else merged."""
         ids = self.lexicon.get(unit.encode())
         if ids is None:
-            pieces = self.vocabulary.pieces(unit)
-            ids = self.parts[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in self.parts[p]]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join(map(self.parts.__getitem__, self.vocabulary.pieces(unit)))
+        return packed(ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
