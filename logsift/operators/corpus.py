@@ -27,73 +27,64 @@ from logsift.functions.buckets import bucket, pick, weighted_pick
 
 # --- message wording (this project's own) ------------------------------------
 
-# Clear wording per class.
+# Clear wording per class: the control room of a greenhouse.
 CLEAR_TEMPLATES = {
     "noise": [
-        "{method} {resource} returned {status} to {user} at {ip}:{port}",
-        "scheduled task {task} completed for {user}",
+        "{shift} round in {hall} done, {trays} trays counted",
+        "valve of bed {plot} opened and closed on plan {plan}",
     ],
     "error": [
-        "{exception} thrown in {component} handling {resource}",
-        "{component} crashed with {exception} after {latency}ms",
+        "{fault} stopped {machine}",
+        "{machine} halted in {hall}: {fault} after {seconds}s",
     ],
     "security": [
-        "{attack} blocked from {ip} aimed at {resource}",
-        "firewall flagged {attack} by {user} from {ip}",
+        "{intrusion} seen at {gate} during {shift} round",
+        "guard called to {gate}: {intrusion}, badge {badge}",
     ],
     "warning": [
-        "{pressure} on {component}: {latency}ms for {resource}",
-        "{component} slow: {latency}ms while serving {user}",
+        "{strain} near {machine}, reading {reading}",
+        "bed {plot} drifting to {reading} while {machine} runs",
     ],
 }
 
 # Wording that shares terms with other classes.
 AMBIGUOUS_TEMPLATES = {
     "noise": [
-        "session check for {user} on {resource} finished",
-        "login attempt by {user} recorded on {resource}",
+        "badge {badge} passed {gate} at second try",
+        "{machine} stopped for cleaning of {hall}",
     ],
     "error": [
-        "request from {ip} to {resource} failed after timeout",
-        "login for {user} failed on {resource}",
+        "no answer of {machine} in {hall}",
+        "badge reader of {gate} stopped",
     ],
     "security": [
-        "unusual login attempt by {user} from {ip}",
-        "request from {ip} to {resource} denied",
+        "badge {badge} tried {gate} outside {shift} round",
+        "cover of {machine} opened by badge {badge}",
     ],
     "warning": [
-        "retry for {user} on {resource} after timeout",
-        "unusual response time from {ip} on {resource}",
+        "second start of {machine} needed",
+        "no answer of bed {plot} for {seconds}s, reading {reading}",
     ],
 }
 
-# Slot values.  ``extra`` adds one generated value: prefix + number + suffix
-# with number in [base, base + span).
+# Slot values, and slots of numbers in [base, base + span).
 SLOT_CHOICES = {
-    "method": {"values": ["GET", "POST", "PUT", "DELETE", "PATCH"]},
-    "status": {"values": ["200", "201", "202", "204", "304"]},
-    "task": {"values": ["nightly_backup", "cache_refresh", "report_build",
-                        "index_compact", "log_rotate"]},
-    "user": {"values": ["alice", "bob", "carol", "svc_ingest", "svc_report", "root"],
-             "extra": ("u", 1000, 9000, "")},
-    "resource": {"values": ["/login", "/api/orders", "/api/payments", "/admin/users",
-                            "/static/app.js", "inventory_db"],
-                 "extra": ("/img/p", 0, 100, ".jpg")},
-    "exception": {"values": ["TimeoutException", "NullPointerException",
-                             "StackOverflowError", "ConnectionResetError",
-                             "FileNotFoundError"]},
-    "component": {"values": ["checkout", "ledger", "search", "mailer", "scheduler",
-                             "gateway"]},
-    "attack": {"values": ["SQL injection", "credential stuffing", "path traversal",
-                          "XSS payload", "port scan"]},
-    "pressure": {"values": ["memory pressure", "high queue depth",
-                            "thread pool saturation", "slow disk"]},
+    "shift": ["early", "late", "night"],
+    "hall": ["tomato hall", "herb hall", "palm house", "seed store"],
+    "plan": ["drip", "mist", "flood"],
+    "machine": ["belt drive", "lamp crane", "soil mixer", "pump two"],
+    "fault": ["torn belt", "burnt fuse", "dead sensor", "jammed arm"],
+    "intrusion": ["forced door", "cut fence", "cloned badge"],
+    "strain": ["rising heat", "falling level", "growing hum", "thin air"],
+    "gate": ["north gate", "yard gate", "roof hatch"],
 }
 SLOT_NUMBERS = {
-    "port": (1024, 64512),
-    "latency": (1200, 4000),
+    "trays": (12, 300),
+    "seconds": (3, 90),
+    "reading": (40, 160),
+    "badge": (20000, 5000),
+    "plot": (1, 480),
 }
-IP_OCTETS = 4
 
 _SLOT = re.compile(r"\{(\w+)\}")
 
@@ -117,12 +108,7 @@ def _number(b: Column, base: int, span: int) -> Column:
 
 def slot_salts() -> list[str]:
     """Every bucket a message can need, one md5 per row each."""
-    salts = [f"ip{i}" for i in range(IP_OCTETS)] + list(SLOT_NUMBERS)
-    for name, spec in SLOT_CHOICES.items():
-        salts.append(name)
-        if "extra" in spec:
-            salts.append(f"{name}#n")
-    return salts
+    return list(SLOT_NUMBERS) + list(SLOT_CHOICES)
 
 
 def _bcol(salt: str) -> Column:
@@ -131,26 +117,14 @@ def _bcol(salt: str) -> Column:
 
 def slot_value(name: str) -> Column:
     """Slot value from the row's bucket columns ``_b_<salt>``."""
-    if name == "ip":
-        return F.concat_ws(".", *[_number(_bcol(f"ip{i}"), 1, 255) for i in range(IP_OCTETS)])
     if name in SLOT_NUMBERS:
         base, span = SLOT_NUMBERS[name]
         return _number(_bcol(name), base, span)
-    spec = SLOT_CHOICES[name]
-    values = spec["values"]
-    b = _bcol(name)
-    if "extra" not in spec:
-        return pick(b, values)
-    prefix, base, span, suffix = spec["extra"]
-    n = len(values) + 1
-    idx = b % F.lit(n)
-    generated = F.concat(F.lit(prefix), _number(_bcol(f"{name}#n"), base, span), F.lit(suffix))
-    return F.when(idx == F.lit(n - 1), generated).otherwise(
-        F.element_at(F.array(*[F.lit(v) for v in values]), idx.cast("int") + 1))
+    return pick(_bcol(name), SLOT_CHOICES[name])
 
 
 def slot_names() -> list[str]:
-    return ["ip"] + list(SLOT_NUMBERS) + list(SLOT_CHOICES)
+    return list(SLOT_NUMBERS) + list(SLOT_CHOICES)
 
 
 def render(template: str) -> Column:

@@ -18,37 +18,37 @@ FIXED_VERSION = "fixed-1"
 
 # term, idf, weight for error, noise, security, warning (before scaling)
 _TERMS = [
-    ("returned", 1.9, -1.2, 3.1, -1.0, -1.1),
-    ("completed", 2.3, -1.0, 2.9, -1.1, -0.9),
-    ("scheduled task", 2.4, -0.8, 2.2, -0.9, -0.8),
-    ("session", 2.6, -0.4, 1.7, 0.2, -0.3),
-    ("check", 2.5, -0.3, 1.3, -0.2, 0.1),
-    ("finished", 2.7, -0.5, 1.9, -0.6, -0.2),
-    ("recorded", 2.8, -0.6, 2.1, 0.3, -0.7),
-    ("thrown", 2.1, 3.2, -1.1, -0.9, -0.8),
-    ("crashed", 2.3, 3.0, -1.0, -0.7, -0.6),
-    ("handling", 2.2, 1.4, -0.3, -0.4, -0.2),
-    ("failed", 2.4, 1.8, -0.9, 0.6, -0.1),
-    ("timeout", 2.5, 1.1, -0.8, -0.3, 0.9),
-    ("blocked", 2.6, -0.7, -1.2, 3.3, -0.6),
-    ("firewall", 2.9, -0.5, -1.0, 3.0, -0.9),
-    ("flagged", 2.8, -0.6, -0.9, 2.2, -0.3),
-    ("injection", 3.0, -0.2, -0.8, 2.4, -0.5),
-    ("denied", 2.7, 0.5, -0.9, 1.5, 0.4),
-    ("unusual", 2.6, -0.3, -0.6, 1.1, 0.9),
-    ("login attempt", 2.9, -0.4, 0.3, 1.4, -0.5),
-    ("login", 2.3, 0.6, 0.2, 0.7, -0.4),
-    ("slow", 2.5, -0.4, -1.0, -0.8, 3.1),
-    ("pressure", 2.9, -0.2, -0.9, -0.7, 2.6),
-    ("saturation", 3.0, 0.1, -0.8, -0.6, 2.4),
-    ("depth", 3.0, -0.1, -0.7, -0.5, 2.3),
-    ("retry", 2.8, 0.4, -0.6, -0.4, 1.7),
-    ("response time", 2.7, 0.2, -0.5, -0.3, 1.6),
-    ("serving", 2.6, -0.3, -0.2, -0.6, 1.4),
-    ("request", 1.8, 0.5, 0.1, 0.3, 0.2),
-    ("from", 1.2, 0.1, 0.0, 0.2, -0.1),
-    ("for", 1.1, -0.1, 0.1, -0.1, 0.1),
-    ("on", 1.1, 0.0, 0.1, 0.0, 0.1),
+    ("done", 2.2, -1.0, 2.9, -0.8, -0.9),
+    ("trays counted", 2.4, -0.9, 2.6, -0.9, -0.7),
+    ("plan", 2.3, -0.8, 2.8, -0.7, -0.6),
+    ("closed", 2.5, -0.6, 2.0, -0.4, -0.5),
+    ("passed", 2.9, -0.5, 1.6, 0.4, -0.4),
+    ("cleaning", 2.8, 0.2, 1.7, -0.5, 0.1),
+    ("round", 1.6, -0.4, 0.6, 0.5, -0.4),
+    ("opened", 2.2, -0.2, 0.7, 0.6, -0.3),
+    ("halted", 2.3, 3.1, -1.0, -0.7, -0.4),
+    ("stopped", 2.0, 1.9, -0.2, -0.5, -0.3),
+    ("torn", 2.6, 2.1, -0.8, -0.5, -0.2),
+    ("fuse", 2.6, 2.2, -0.8, -0.5, -0.2),
+    ("sensor", 2.6, 2.0, -0.7, -0.4, 0.1),
+    ("jammed", 2.6, 2.1, -0.8, -0.4, -0.1),
+    ("no answer", 2.5, 0.9, -0.6, -0.4, 0.8),
+    ("reader", 2.9, 0.9, -0.4, 0.5, -0.2),
+    ("guard", 2.6, -0.7, -0.9, 3.0, -0.6),
+    ("forced", 2.8, -0.6, -0.9, 2.8, -0.5),
+    ("fence", 2.8, -0.6, -0.9, 2.7, -0.5),
+    ("cloned", 2.8, -0.5, -0.8, 2.9, -0.6),
+    ("tried", 2.9, -0.3, -0.4, 1.5, -0.3),
+    ("badge", 1.7, -0.1, 0.2, 0.9, -0.5),
+    ("drifting", 2.4, -0.4, -0.8, -0.7, 3.0),
+    ("heat", 2.7, -0.2, -0.9, -0.6, 2.4),
+    ("falling", 2.7, -0.2, -0.8, -0.6, 2.4),
+    ("hum", 2.7, -0.1, -0.8, -0.6, 2.3),
+    ("thin air", 2.7, -0.2, -0.8, -0.5, 2.4),
+    ("reading", 1.8, -0.3, -0.6, -0.5, 1.4),
+    ("second", 2.4, 0.2, 0.1, 0.1, 0.8),
+    ("at", 1.3, 0.0, 0.1, 0.2, -0.1),
+    ("of", 1.1, 0.1, 0.0, 0.0, 0.1),
 ]
 # All class weights are multiplied by this factor.
 WEIGHT_SCALE = 2.5

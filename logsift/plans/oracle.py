@@ -8,7 +8,7 @@ same modules as the Spark side.
 
 from __future__ import annotations
 
-from logsift.constants import (AMBIGUOUS_SHARE, BUCKETS, CANARY_SHARE, CLASS_WEIGHTS,
+from logsift.constants import (ALPHA, AMBIGUOUS_SHARE, BUCKETS, CANARY_SHARE, CLASS_WEIGHTS,
                                CLASSES, CONFIDENCE_BUCKETS, DASHBOARD_URL,
                                DOUBLE_REVIEW_SHARE, DRIFT_THRESHOLD, INCIDENT_CATEGORIES,
                                LATENCY_BUCKETS, MAX_FEATURES, METRIC_CONFIDENCE,
@@ -19,7 +19,7 @@ from logsift.constants import (AMBIGUOUS_SHARE, BUCKETS, CANARY_SHARE, CLASS_WEI
                                UNKNOWN_VERSION)
 from logsift.functions.buckets import bucket_sql, cumulative_cuts
 from logsift.functions.histogram import bound_label
-from logsift.operators.corpus import (AMBIGUOUS_TEMPLATES, CLEAR_TEMPLATES, IP_OCTETS,
+from logsift.operators.corpus import (AMBIGUOUS_TEMPLATES, CLEAR_TEMPLATES,
                                       SLOT_CHOICES, SLOT_NUMBERS, template_parts)
 from logsift.plans.fixed_model import (FIXED_CLASSES, FIXED_INTERCEPTS, FIXED_TERMS,
                                        FIXED_VERSION)
@@ -45,20 +45,11 @@ def _num(salt: str, base: int, span: int) -> str:
 
 
 def _slot(name: str) -> str:
-    if name == "ip":
-        return "concat_ws('.', " + ", ".join(_num(f"ip{i}", 1, 255) for i in range(IP_OCTETS)) + ")"
     if name in SLOT_NUMBERS:
         base, span = SLOT_NUMBERS[name]
         return _num(name, base, span)
-    spec = SLOT_CHOICES[name]
-    values = spec["values"]
-    b = _b(name)
-    if "extra" not in spec:
-        return f"{_list(values)}[{b} % {len(values)} + 1]"
-    prefix, base, span, suffix = spec["extra"]
-    n = len(values) + 1
-    gen = f"({q(prefix)} || {_num(name + '#n', base, span)} || {q(suffix)})"
-    return f"(CASE WHEN {b} % {n} = {n - 1} THEN {gen} ELSE {_list(values)}[{b} % {n} + 1] END)"
+    values = SLOT_CHOICES[name]
+    return f"{_list(values)}[{_b(name)} % {len(values)} + 1]"
 
 
 def _render(template: str) -> str:
@@ -357,6 +348,18 @@ WHERE {bucket_sql('d.doc_id', 'resample')} < keep * {BUCKETS}"""
         cw.format(task="'toxic'", col="toxic", tbl="labels"),
         cw.format(task="'quality'", col="quality", tbl="labels")])
 
+    # training: all but the flags is stated here; both must be true
+    s["train_classifier"] = with_logs(
+        f""", tr AS (SELECT true_label, message FROM logs WHERE split = 'train'),
+cnt AS (SELECT true_label AS class, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS k FROM tr GROUP BY 1),
+voc AS (SELECT least({MAX_FEATURES}, count(DISTINCT term)) AS n_terms
+        FROM (SELECT unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))])) AS term
+              FROM (SELECT {terms_sql('message')} AS t FROM tr)))
+SELECT class, CAST(row_number() OVER (ORDER BY class) - 1 AS INTEGER) AS label_index, n,
+       {r('total / (k * n)')} AS positive_weight,
+       {r(f'{ALPHA} * total / (total / k + total - n)')} AS reg_param,
+       CAST(n_terms AS INTEGER) AS n_terms, true AS converged, true AS stationary FROM cnt, voc""")
+
     # scoring
     mcols = ", ".join(f"{r('m_' + c)} AS m_{c}" for c in FIXED_CLASSES)
     pcols = ", ".join(f"{r('p_' + c)} AS p_{c}" for c in FIXED_CLASSES)

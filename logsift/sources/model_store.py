@@ -1,10 +1,13 @@
 """Model persistence.
 
-A model directory holds two Parquet tables on shared storage:
+Every save writes a folder of its own below the model directory:
 
 * ``terms``: (term, idf, w_0 .. w_{K-1}), at most ``MAX_FEATURES`` rows;
-* ``manifest``: one row with the classes, intercepts, n-gram size, the
-  number of terms and the version stamp.
+* ``pipeline``: the fitted pipeline, where the model has one;
+
+and then, last, the ``manifest``: one row with the folder's name, the classes,
+intercepts, n-gram size, the number of terms, whether there is a pipeline, and
+the version stamp.  A reader sees the model before or the model after.
 
 ``load_model`` reads the manifest once on the driver and fails loudly when
 the model is missing or unreadable (S9); a missing version is reported as
@@ -13,9 +16,10 @@ the model is missing or unreadable (S9); a missing version is reported as
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from logsift.constants import UNKNOWN_VERSION
 from logsift.operators.score import TextModel
@@ -28,16 +32,17 @@ class ModelLoadError(RuntimeError):
 def save_model(model: TextModel, path: str) -> None:
     """Overwrite ``path`` with the model tables."""
     spark = model.terms.sparkSession
-    model.terms.coalesce(1).write.mode("overwrite").parquet(f"{path}/terms")
+    folder = f"save-{uuid.uuid4().hex}"
+    model.terms.coalesce(1).write.parquet(f"{path}/{folder}/terms")
+    pipeline = model.extra.get("pipeline")
+    if pipeline is not None:
+        pipeline.write().save(f"{path}/{folder}/pipeline")
     manifest = spark.createDataFrame(
         [(model.classes, [float(b) for b in model.intercepts], int(model.ngram_max),
-          int(model.n_terms), model.version)],
+          int(model.n_terms), model.version, folder, pipeline is not None)],
         "classes array<string>, intercepts array<double>, ngram_max int, n_terms long, "
-        "version string")
+        "version string, folder string, has_pipeline boolean")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-    pipeline = model.extra.get("pipeline")
-    if pipeline is not None:
-        pipeline.write().overwrite().save(f"{path}/pipeline")
 
 
 def version_or_unknown(version: str | None) -> str:
@@ -51,7 +56,8 @@ def load_model(spark: SparkSession, path: str) -> TextModel:
     model."""
     try:
         rows = spark.read.parquet(f"{path}/manifest").collect()
-        terms = spark.read.parquet(f"{path}/terms")
+        folder = f"{path}/{rows[0]['folder']}"
+        terms = spark.read.parquet(f"{folder}/terms")
     except Exception as e:  # missing path, unreadable files
         raise ModelLoadError(f"cannot load model at {path}: {e}") from e
     if len(rows) != 1:
@@ -62,15 +68,12 @@ def load_model(spark: SparkSession, path: str) -> TextModel:
     if terms.columns != expected:
         raise ModelLoadError(f"model terms at {path} have columns {terms.columns}")
     extra = {}
-    try:
-        extra["pipeline"] = PipelineModel.load(f"{path}/pipeline")
-    except Exception:  # models without a fitted pipeline (e.g. a fixed one)
-        pass
+    if m["has_pipeline"]:
+        try:
+            extra["pipeline"] = PipelineModel.load(f"{folder}/pipeline")
+        except Exception as e:
+            raise ModelLoadError(f"cannot load the pipeline of the model at {path}: {e}") from e
     return TextModel(classes=list(m["classes"]), terms=terms,
                      intercepts=list(m["intercepts"]), n_terms=int(m["n_terms"]),
                      version=version_or_unknown(m["version"]), ngram_max=int(m["ngram_max"]),
                      extra=extra)
-
-
-def version_column(version: str | None):
-    return F.coalesce(F.lit(version), F.lit(UNKNOWN_VERSION))

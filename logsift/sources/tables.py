@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# Least input bytes per partition when a small scan is spread.
-SPREAD_BYTES = 256 * 1024
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the files behind a scan (Hadoop file system API)."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan enough tasks for its row-wise work.
-
-    A large input already has one task per file split and is returned as
-    is.  A small file with a single row group cannot be split by the reader
-    and would run every downstream row-wise step in one task; it is dealt
-    round-robin (a shuffle of the pruned columns only) over at most the
-    default parallelism and at least ``SPREAD_BYTES`` of input per task, so a
-    tiny table on a large cluster does not become thousands of tasks.
+    """Deal a scan of a single split over the default parallelism.
+
+    One split holds at most ``spark.sql.files.maxPartitionBytes``, so this
+    never moves more than that; every larger scan is left as the reader
+    splits it.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    if have >= want:
+    if df.rdd.getNumPartitions() != 1:
         return df
-    target = min(want, max(have, math.ceil(input_bytes(df) / SPREAD_BYTES)))
-    return df if target <= have else df.repartition(target)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.feedback import latest_feedback
 from logsift.plans.fixed_model import fixed_model
-from logsift.operators.score import score
+from logsift.operators.score import TextModel, score
 from logsift.schemas import LABELLED_LOG
 from logsift.sources import envelope, feedback_store, logcsv, model_store
 
@@ -27,8 +27,8 @@ def test_csv_round_trip_keeps_text(spark, tmp):
 def test_classify_and_feedback(spark, tmp):
     """One request in, one result out with an id; the correction is stored."""
     req = spark.createDataFrame(
-        [(7, '{"logs": [{"timestamp": "2026-07-18T10:00:00Z", "source": "test", '
-             '"level": "INFO", "message": "hello world"}]}')],
+        [(7, '{"logs": [{"timestamp": "2031-01-05T23:59:01Z", "source": "pump-4", '
+             '"level": "DEBUG", "message": "early round done, 40 trays counted"}]}')],
         "request_id long, payload string")
     lines = envelope.explode_requests(req)
     scored = score(lines.withColumn("log_id", F.sha2(F.concat_ws(":", "request_id", "pos"), 256)),
@@ -40,7 +40,7 @@ def test_classify_and_feedback(spark, tmp):
 
     path = f"{tmp}/feedback"
     feedback_store.ensure_feedback_table(spark, path)
-    fb = spark.createDataFrame([(r.log_id, "hello world", "noise", "noise")],
+    fb = spark.createDataFrame([(r.log_id, "early round done, 40 trays counted", "noise", "warning")],
                                "log_id string, message string, predicted_category string, "
                                "true_category string")
     rejected = feedback_store.save_feedback(fb, path, batch=1)
@@ -83,14 +83,41 @@ def test_missing_model_is_fatal(spark, tmp):
         model_store.load_model(spark, f"{tmp}/nothing-here")
 
 
-def test_small_scans_are_spread_by_size(spark):
-    from logsift.sources.tables import SPREAD_BYTES, input_bytes, read_table
-    sc = spark.sparkContext
-    for name in ["labels", "documents"]:
-        df = read_table(spark, "/root/testdata/sf0.01", name)
-        n = df.rdd.getNumPartitions()
-        raw = spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
-        expect = min(sc.defaultParallelism, max(raw.rdd.getNumPartitions(),
-                                                -(-input_bytes(raw) // SPREAD_BYTES)))
-        assert n == expect
-        assert df.count() == raw.count()
+def test_only_scans_of_one_split_are_spread(spark, tmp):
+    from logsift.sources.tables import read_table
+    df = read_table(spark, "/root/testdata/sf0.01", "labels")
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.range(300).repartition(3).write.parquet(f"{tmp}/t.parquet")
+    raw = spark.read.parquet(f"{tmp}/t.parquet")
+    if raw.rdd.getNumPartitions() > 1:
+        assert read_table(spark, tmp, "t").rdd.getNumPartitions() == raw.rdd.getNumPartitions()
+    assert read_table(spark, tmp, "t").count() == 300
+
+
+def test_saving_without_pipeline_replaces_a_model_with_one(spark, tmp):
+    class Pipeline:
+        """Stands for a fitted pipeline: writes a folder that is none."""
+        def write(self):
+            return self
+
+        def save(self, path):
+            spark.range(1).write.parquet(path)
+
+    model = fixed_model(spark)
+    broken = TextModel(classes=model.classes, terms=model.terms, intercepts=model.intercepts, n_terms=model.n_terms,
+                       version="broken", ngram_max=model.ngram_max, extra={"pipeline": Pipeline()})
+    model_store.save_model(broken, f"{tmp}/m")
+    with pytest.raises(model_store.ModelLoadError):
+        model_store.load_model(spark, f"{tmp}/m")
+    model_store.save_model(model, f"{tmp}/m")
+    loaded = model_store.load_model(spark, f"{tmp}/m")
+    assert "pipeline" not in loaded.extra and loaded.classes == list(model.classes)
+
+
+def test_appended_file_is_read(spark, tmp):
+    from logsift.plans import views
+    one = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(10)
+    one.write.parquet(f"{tmp}/d/events.parquet")
+    assert views.logs(spark, f"{tmp}/d").count() == 10
+    one.write.mode("append").parquet(f"{tmp}/d/events.parquet")
+    assert views.logs(spark, f"{tmp}/d").count() == 20
