@@ -31,6 +31,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -45,6 +46,7 @@ MEMO = 350_000
 PARTIAL_COUNTS = 400_000
 MAGIC = 0x4D414654
 HEAP_FROM = 48
+CHUNK_CHARS = 1_000_000
 
 # The white space class and the split pattern of the tokenizer.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -57,6 +59,42 @@ _pieces = regex.compile(SPLIT).findall
 _beyond_latin = re.compile("[ɐ-\U0010ffff]").search
 
 
+class PairRanks:
+    """Ranks of many pairs at once: an open-addressed table over arrays."""
+
+    def __init__(self, ranks: dict[int, int], none: int):
+        keys, values = np.fromiter(ranks, np.int64, len(ranks)), np.fromiter(ranks.values(), np.int32, len(ranks))
+        self.none, self.bits = np.int32(none), max(4, len(ranks).bit_length() + 2)
+        self.mask = (1 << self.bits) - 1
+        self.key = np.full(self.mask + 1, -1, np.int64)
+        self.value = np.full(self.mask + 1, none, np.int32)
+        at, todo = self._home(keys), np.arange(len(keys))
+        while len(todo):
+            slots, asker = np.unique(at[todo], return_index=True)
+            placed = todo[asker[self.key[slots] == -1]]
+            self.key[at[placed]], self.value[at[placed]] = keys[placed], values[placed]
+            todo = np.setdiff1d(todo, placed, assume_unique=True)
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 20 | right
+        at = self._home(keys)
+        held = self.key[at]
+        out = np.where(held == keys, self.value[at], self.none)
+        todo = np.flatnonzero((held != keys) & (held != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            held = self.key[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.value[at[todo[hit]]]
+            todo = todo[~hit & (held != -1)]
+        return out
+
+
 class Vocabulary:
     """Ranks and ids read from a tokenizer file's JSON text."""
 
@@ -81,11 +119,14 @@ class Vocabulary:
             self.rank[vocab[left] << 20 | vocab[right]] = n
             self.merged.append(vocab[left + right])
         self.none = len(self.merged)
+        self._ranks = None
         self.special_split = (re.compile("(" + "|".join(map(re.escape, self.specials)) + ")").split
                               if self.specials else None)
         self._text, self._library = text, None
 
     def pieces(self, unit: str) -> list[str]:
+        if unit.isascii() and (unit.isalpha() or unit[0] == " " and unit[1:].isalpha()):
+            return [unit]
         if not _beyond_latin(unit):
             return _pieces(unit)
         if self._library is None:
@@ -113,6 +154,56 @@ class Vocabulary:
                 ranks[i - 1] = rank(parts[i - 1] << 20 | parts[i], none)
         return parts
 
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many pieces.  Pieces of similar length are the rows
+        of one matrix; a step merges in every row the pair of lowest rank,
+        leftmost first, which makes each row shorter by one."""
+        if self._ranks is None:
+            self._ranks = PairRanks(self.rank, self.none)
+            self._byte_ids, self._merged = np.array(self.byte_id, np.int32), np.array(self.merged, np.int32)
+        out = [b""] * len(pieces)
+        groups: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            if len(piece) > HEAP_FROM:
+                out[i] = packed(self.merge(piece))
+            else:
+                groups.setdefault(-(-len(piece) // 4) * 4, []).append(i)
+        for width, members in groups.items():
+            self._merge_rows([pieces[i] for i in members], np.array(members), width, out)
+        return out
+
+    def _merge_rows(self, pieces: list[bytes], where: np.ndarray, width: int, out: list[bytes]) -> None:
+        pad = (1 << 20) - 1
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        parts = self._byte_ids[np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8)]
+        parts = parts.reshape(-1, width)
+        parts[np.arange(width) >= n[:, None]] = pad
+        ranks = self._ranks(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(-1, width - 1)
+
+        def finish(done: np.ndarray) -> None:
+            data, step = parts[done].astype("<u4").tobytes(), 4 * parts.shape[1]
+            for k, (i, size) in enumerate(zip(where[done].tolist(), n[done].tolist())):
+                out[i] = data[k * step:k * step + 4 * size]
+
+        while ranks.shape[1] and len(ranks):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), at]
+            go = best < self.none
+            if not go.all():
+                finish(~go)
+                parts, ranks, where, n, at, best = parts[go], ranks[go], where[go], n[go], at[go], best[go]
+            rows, columns = np.arange(len(at)), np.arange(parts.shape[1] - 1)
+            parts[rows, at] = self._merged[best]
+            parts = np.where(columns <= at[:, None], parts[:, :-1], parts[:, 1:])
+            ranks = np.where(columns[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            n = n - 1
+            r = rows[at < parts.shape[1] - 1]
+            ranks[r, at[r]] = self._ranks(parts[r, at[r]], parts[r, at[r] + 1])
+            r = rows[at > 0]
+            ranks[r, at[r] - 1] = self._ranks(parts[r, at[r] - 1], parts[r, at[r]])
+        if len(parts):
+            finish(np.ones(len(parts), bool))
+
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same with a heap, for pieces of many bytes."""
         n = len(parts)
@@ -266,6 +357,40 @@ class Codec:
             return b"".join(map(self.parts.__getitem__, self.vocabulary.pieces(unit)))
         return packed(ids)
 
+    def _learn(self, units: Iterable[str]) -> None:
+        """Put the ids of the words not met lately into memory: the lexicon's,
+        the others merged together.  Long words are left to ``encode``."""
+        young, elder, merged = self.units, self.units.elder, {}
+        for u in units:
+            if u not in young and u not in elder and len(u) <= young.longest:
+                ids = self.lexicon.get(u.encode())
+                if ids is None:
+                    merged[u] = self.vocabulary.pieces(u)
+                else:
+                    young[u] = packed(ids)
+        pieces = list({p for ps in merged.values() for p in ps})
+        ids_of = dict(zip(pieces, self.vocabulary.merge_many([p.encode() for p in pieces])))
+        for u, ps in merged.items():
+            young[u] = ids_of[ps[0]] if len(ps) == 1 else b"".join(map(ids_of.__getitem__, ps))
+
+    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
+        """``encode`` of every text, whole texts in chunks of at least
+        ``CHUNK_CHARS`` characters."""
+        out, chunk, size = [], [], 0
+        for text in texts:
+            chunk.append(text or "")
+            size += len(chunk[-1])
+            if size >= CHUNK_CHARS:
+                out += self._encode_chunk(chunk)
+                chunk, size = [], 0
+        return out + self._encode_chunk(chunk)
+
+    def _encode_chunk(self, texts: list[str]) -> list[bytes]:
+        units = [None if any(s in t for s in self.vocabulary.specials) else _units(t) for t in texts]
+        self._learn(set().union(*filter(None, units)))
+        lookup = self.units.__getitem__
+        return [self.encode(t) if u is None else b"".join(map(lookup, u)) for t, u in zip(texts, units)]
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -357,7 +482,7 @@ class BpeModel:
         @F.pandas_udf("binary")
         def encode(texts: pd.Series) -> pd.Series:
             codec = _codec(name, spec)
-            return pd.Series([codec.encode(t) for t in texts], dtype=object)
+            return pd.Series(codec.encode_many(texts), dtype=object)
 
         @F.pandas_udf("string")
         def decode(ids: pd.Series) -> pd.Series:
