@@ -59,6 +59,18 @@ _pieces = regex.compile(SPLIT).findall
 _beyond_latin = re.compile("[ɐ-\U0010ffff]").search
 
 
+def by_width(words: list[bytes], step: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of similar length as rows of one byte matrix padded with zeros:
+    (places in ``words``, lengths, matrix)."""
+    groups: dict[int, list[int]] = {}
+    for i, word in enumerate(words):
+        groups.setdefault(-(-len(word) // step) * step, []).append(i)
+    for width, members in groups.items():
+        rows = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in members]), np.uint8)
+        n = np.fromiter((len(words[i]) for i in members), np.int64, len(members))
+        yield np.array(members), n, rows.reshape(-1, width)
+
+
 class PairRanks:
     """Ranks of many pairs at once: an open-addressed table over arrays."""
 
@@ -161,22 +173,16 @@ class Vocabulary:
         if self._ranks is None:
             self._ranks = PairRanks(self.rank, self.none)
             self._byte_ids, self._merged = np.array(self.byte_id, np.int32), np.array(self.merged, np.int32)
-        out = [b""] * len(pieces)
-        groups: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            if len(piece) > HEAP_FROM:
-                out[i] = packed(self.merge(piece))
-            else:
-                groups.setdefault(-(-len(piece) // 4) * 4, []).append(i)
-        for width, members in groups.items():
-            self._merge_rows([pieces[i] for i in members], np.array(members), width, out)
+        out = [packed(self.merge(p)) if len(p) > HEAP_FROM else b"" for p in pieces]
+        short = [i for i, p in enumerate(pieces) if 0 < len(p) <= HEAP_FROM]
+        at = np.array(short, np.int64)
+        for members, n, rows in by_width([pieces[i] for i in short]):
+            self._merge_rows(rows, n, at[members], out)
         return out
 
-    def _merge_rows(self, pieces: list[bytes], where: np.ndarray, width: int, out: list[bytes]) -> None:
-        pad = (1 << 20) - 1
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        parts = self._byte_ids[np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8)]
-        parts = parts.reshape(-1, width)
+    def _merge_rows(self, rows: np.ndarray, n: np.ndarray, where: np.ndarray, out: list[bytes]) -> None:
+        pad, width = (1 << 20) - 1, rows.shape[1]
+        parts = self._byte_ids[rows]
         parts[np.arange(width) >= n[:, None]] = pad
         ranks = self._ranks(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(-1, width - 1)
 
@@ -319,7 +325,7 @@ class Lexicon:
         self.start, self.ids = ints(words + 1), ints(ids)
         self.final = view[at:at + states]
         self.labels_at = at + states + (-states % 4)
-        self.data = data
+        self.data, self._arcs = data, None
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -340,6 +346,36 @@ class Lexicon:
         return self.ids[self.start[number]:self.start[number + 1]].tolist()
 
 
+    def get_many(self, words: list[bytes]) -> list[bytes | None]:
+        """Packed ids of each word that is in the lexicon: all words walk the
+        transducer together, letter by letter."""
+        if self._arcs is None:
+            first = np.frombuffer(self.first, np.uint32).astype(np.int64)
+            labels = np.frombuffer(self.data, np.uint8, len(self.target), self.labels_at)
+            # Ascending, as a state's arcs are sorted by letter.
+            self._arcs = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | labels
+        found: list[bytes | None] = [None] * len(words)
+        if not len(self._arcs):
+            return found
+        target, outputs = np.frombuffer(self.target, np.uint32), np.frombuffer(self.out, np.uint32)
+        for place, n, rows in by_width(words):
+            state, number = np.full(len(place), self.root, np.int64), np.zeros(len(place), np.int64)
+            for j in range(rows.shape[1] + 1):
+                for k in np.flatnonzero(n == j).tolist():
+                    if self.final[state[k]]:
+                        i = int(number[k])
+                        found[place[k]] = self.ids[self.start[i]:self.start[i + 1]].tobytes()
+                if j == rows.shape[1]:
+                    break
+                key = state << 8 | rows[:, j]
+                arc = np.searchsorted(self._arcs, key)
+                arc[arc == len(self._arcs)] = 0
+                on = np.flatnonzero((self._arcs[arc] == key) & (n > j))
+                place, n, rows, arc = place[on], n[on], rows[on], arc[on]
+                state, number = target[arc].astype(np.int64), number[on] + outputs[arc]
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary and lexicon."""
 
@@ -360,18 +396,16 @@ class Codec:
     def _learn(self, units: Iterable[str]) -> None:
         """Put the ids of the words not met lately into memory: the lexicon's,
         the others merged together.  Long words are left to ``encode``."""
-        young, elder, merged = self.units, self.units.elder, {}
-        for u in units:
-            if u not in young and u not in elder and len(u) <= young.longest:
-                ids = self.lexicon.get(u.encode())
-                if ids is None:
-                    merged[u] = self.vocabulary.pieces(u)
-                else:
-                    young[u] = packed(ids)
-        pieces = list({p for ps in merged.values() for p in ps})
-        ids_of = dict(zip(pieces, self.vocabulary.merge_many([p.encode() for p in pieces])))
-        for u, ps in merged.items():
-            young[u] = ids_of[ps[0]] if len(ps) == 1 else b"".join(map(ids_of.__getitem__, ps))
+        young, elder, longest = self.units, self.units.elder, self.units.longest
+        fresh = [u for u in units if u not in young and u not in elder and len(u) <= longest]
+        found = self.lexicon.get_many([u.encode() for u in fresh])
+        split = self.vocabulary.pieces
+        pieces = {u: split(u) for u, ids in zip(fresh, found) if ids is None}
+        young.update((u, ids) for u, ids in zip(fresh, found) if ids is not None)
+        distinct = list(set().union(*pieces.values()))
+        ids_of = dict(zip(distinct, self.vocabulary.merge_many([p.encode() for p in distinct])))
+        young.update((u, ids_of[ps[0]] if len(ps) == 1 else b"".join([ids_of[p] for p in ps]))
+                     for u, ps in pieces.items())
 
     def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
         """``encode`` of every text, whole texts in chunks of at least
