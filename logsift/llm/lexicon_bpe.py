@@ -47,6 +47,7 @@ PARTIAL_COUNTS = 400_000
 MAGIC = 0x4D414654
 HEAP_FROM = 48
 CHUNK_CHARS = 1_000_000
+DECODE_IDS = 1 << 18
 
 # The white space class and the split pattern of the tokenizer.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -137,9 +138,9 @@ class Vocabulary:
         self._text, self._library = text, None
 
     def pieces(self, unit: str) -> list[str]:
-        if unit.isascii() and (unit.isalpha() or unit[0] == " " and unit[1:].isalpha()):
-            return [unit]
         if not _beyond_latin(unit):
+            if (unit[1:] if unit[0] == " " else unit).isalpha():
+                return [unit]
             return _pieces(unit)
         if self._library is None:
             from tokenizers import Tokenizer
@@ -384,7 +385,10 @@ class Codec:
         self.units = Recent(self._unit, MEMO)
         self.parts = Recent(lambda piece: packed(vocabulary.merge(piece.encode())), MEMO // 2)
         size = max(vocabulary.bytes_of) + 1
-        self.bytes_of = [vocabulary.bytes_of.get(i, b"") for i in range(size)]
+        bytes_of = [vocabulary.bytes_of.get(i, b"") for i in range(size)]
+        self.letters = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.width = np.array([len(b) for b in bytes_of], np.int64)
+        self.begin = np.cumsum(self.width) - self.width
 
     def _unit(self, unit: str) -> bytes:
         """Little-endian bytes of a word's ids: the lexicon's, else merged."""
@@ -442,8 +446,13 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> str:
-        numbers = memoryview(ids or b"").cast("I").tolist()
-        return b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "replace")
+        numbers, out = np.frombuffer(ids or b"", "<u4"), []
+        for k in range(0, len(numbers), DECODE_IDS):
+            part = numbers[k:k + DECODE_IDS]
+            width = self.width[part]
+            end = np.cumsum(width)
+            out.append(self.letters[np.repeat(self.begin[part] - end + width, width) + np.arange(end[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, Codec] = {}
