@@ -75,5 +75,3 @@ DOUBLE_REVIEW_SHARE = 0.20
 REQUEST_SIZE = 10
 # Epsilon for PSI / KL on empty shares.
 SHIFT_EPSILON = 1e-6
-# Accuracy of the percentile sketch.
-PERCENTILE_ACCURACY = 100000

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def latest_feedback(fb: DataFrame) -> DataFrame:
-    """the latest correction per record, by (timestamp, id).  ``max_by``
-    keeps one candidate per record per partition before the shuffle, so a
+    """the latest correction per record, by timestamp, position in its
+    batch (where the table has one) and id.  ``max_by`` keeps one candidate per record per partition before the shuffle, so a
     record with very many corrections does not skew."""
     cols = [c for c in fb.columns if c != "log_id"]
-    best = F.max_by(F.struct(*cols), F.struct("timestamp", "id"))
+    best = F.max_by(F.struct(*cols), F.struct(*[c for c in ("timestamp", "position", "id") if c in cols]))
     return fb.groupBy("log_id").agg(best.alias("_b")).select("log_id", "_b.*")
 
 

@@ -35,6 +35,12 @@ def explode_requests(requests: DataFrame, request_id: str = "request_id",
         request_id, "pos", "_l.timestamp", "_l.source", "_l.level", "_l.message")
 
 
+def with_request_error(requests: DataFrame, payload: str = "payload") -> DataFrame:
+    """``error``: set for a payload without a list of log lines."""
+    logs = F.from_json(payload, CLASSIFY_REQUEST)["logs"]
+    return requests.withColumn("error", F.when(logs.isNull(), F.lit("malformed request")))
+
+
 def collect_results(scored: DataFrame, request_id: str = "request_id", pos: str = "pos") -> DataFrame:
     """(request_id, results) with results ordered by position."""
     item = F.struct(F.col(pos).alias("pos"), "log_id", "category", "confidence", "needs_review")

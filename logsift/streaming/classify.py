@@ -16,7 +16,7 @@ routing (R1/R2) -> three Parquet tables (results, alerts, quarantine).
 
 ``start_rolling_mean``: a second query over the results table: watermark
 on the event time, sliding 5-minute windows, append mode; windows close
-when the watermark passes them.  Late rows beyond the watermark are dropped
+when the watermark passes them.  Records are counted once by ``log_id``.  Late rows beyond the watermark are dropped
 by Spark and counted in the query progress (``numRowsDroppedByWatermark``).
 """
 
@@ -33,18 +33,23 @@ from logsift.operators.pipeline_score import score_pipeline
 from logsift.operators.score import TextModel, score
 from logsift.operators.validate import split_valid
 from logsift.schemas import LOG_LINE
-from logsift.sources.envelope import collect_results, explode_requests
+from logsift.sources.envelope import collect_results, explode_requests, with_request_error
 from logsift.session import checkpoint_dir
 
 RESULT_COLUMNS = ["log_id", "timestamp", "event_time", "source", "level", "message",
                   "category", "confidence", "needs_review", "model_version"]
 
 
-def log_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def _reader(spark: SparkSession, max_files: int | None):
+    """A stream reader; without ``max_files`` a trigger takes every new file."""
+    reader = spark.readStream
+    return reader.option("maxFilesPerTrigger", max_files) if max_files else reader
+
+
+def log_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Parquet files of log lines, read as a stream with an explicit schema;
     ``log_id`` from (file, row)."""
-    raw = (spark.readStream.schema(LOG_LINE).option("maxFilesPerTrigger", max_files)
-           .parquet(path))
+    raw = _reader(spark, max_files).schema(LOG_LINE).parquet(path)
     rid = F.concat_ws(":", F.col("_metadata.file_path"),
                       F.col("_metadata.row_index").cast("string"))
     return raw.select(F.sha2(rid, 256).alias("log_id"), *[f.name for f in LOG_LINE.fields])
@@ -105,7 +110,7 @@ def _checkpoint(spark: SparkSession, given: str | None, name: str) -> str:
 
 def start_classifier(spark: SparkSession, source: str, model: TextModel, out: str,
                      checkpoint: str | None = None, available_now: bool = True,
-                     interval: str = "2 seconds", max_files: int = 1) -> StreamingQuery:
+                     interval: str = "2 seconds", max_files: int | None = None) -> StreamingQuery:
     """S3.  The model is loaded before the query starts (S9) and captured by
     the batch function; it is never refitted while serving."""
     checkpoint = _checkpoint(spark, checkpoint, "classify")
@@ -132,9 +137,12 @@ RESULT_SCHEMA = T.StructType([
 
 
 def rolling_mean_stream(results: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Sliding-window mean confidence over a stream of results."""
+    """Sliding-window mean confidence over a stream of results.  A
+    replayed batch rewrites its files, which the file source takes as new
+    rows; a record counts once, by its ``log_id``, within the watermark."""
     return (results.where(F.col("event_time").isNotNull())
             .withWatermark("event_time", watermark)
+            .dropDuplicatesWithinWatermark(["log_id"])
             .groupBy(F.window("event_time", DRIFT_WINDOW, DRIFT_SLIDE))
             .agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("avg_confidence"))
             .select(F.col("window.start").alias("window_start"),
@@ -157,10 +165,7 @@ def start_rolling_mean(spark: SparkSession, results_path: str, out: str,
     batch's whole time range, so reading them one by one would make rows
     late.  Feed backfills in event-time order (or use the batch form)."""
     checkpoint = _checkpoint(spark, checkpoint, "drift_alerts" if alerts_only else "rolling_mean")
-    reader = spark.readStream.schema(RESULT_SCHEMA)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.parquet(results_path)
+    stream = _reader(spark, max_files).schema(RESULT_SCHEMA).parquet(results_path)
     q = drift_alert_stream(stream, watermark) if alerts_only else rolling_mean_stream(stream, watermark)
     w = (q.writeStream.outputMode("append")
          .format("parquet").option("path", out).option("checkpointLocation", checkpoint))
@@ -168,39 +173,65 @@ def start_rolling_mean(spark: SparkSession, results_path: str, out: str,
     return w.start()
 
 
-def request_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Text files with one JSON request envelope per line: (request_id,
     payload); ``request_id`` from file and envelope content, so a replay gives
-    the same ids."""
-    raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    the same ids.  Equal requests of a file share it until ``number_requests``
+    tells them apart."""
+    raw = _reader(spark, max_files).text(path)
     return raw.select(F.sha2(F.concat_ws("\n", F.col("_metadata.file_path"), F.col("value")), 256)
                       .alias("request_id"), F.col("value").alias("payload"))
 
 
+def number_requests(batch: DataFrame) -> DataFrame:
+    """One row and one ``request_id`` per request.  A file is read whole by
+    one micro-batch, so equal requests meet here; as their rows are equal, any
+    order of their numbers is the same result."""
+    times = batch.groupBy("request_id", "payload").agg(F.count(F.lit(1)).alias("n"))
+    one = times.select("request_id", "payload", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    return one.select(F.sha2(F.concat_ws(":", "request_id", F.col("k").cast("string")), 256).alias("request_id"),
+                      "payload")
+
+
 def respond_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str) -> None:
-    """One micro-batch of requests: parse (S4), score, and write one
-    response envelope per request with its results in request order (S5);
-    an empty request gets an empty result list."""
-    lines = explode_requests(batch)
-    lines = with_event_time(lines.withColumn(
-        "log_id", F.sha2(F.concat_ws(":", "request_id", F.col("pos").cast("string")), 256)))
-    pipeline = model.extra.get("pipeline")
-    if pipeline is not None:
-        scored = score_pipeline(lines, pipeline, model.classes, model.version)
-    else:
-        scored = score(lines, model, key="log_id", text="message")
-    results = collect_results(scored)
-    empty = F.array().cast(results.schema["results"].dataType)
-    responses = (batch.select("request_id").distinct()
-                 .join(results, "request_id", "left")
-                 .select("request_id", F.coalesce("results", empty).alias("results")))
+    """One micro-batch of requests: parse (S4), validate (P4), score, and
+    write one response envelope per request with its results in request order
+    (S5).  An empty request gets an empty result list.  A request that does
+    not parse, or has rejected lines, says so in ``error``; what was rejected
+    is in the quarantine table with its reason."""
     bid = F.lit(int(batch_id)).cast("long").alias("batch_id")
-    _write(responses.select("*", bid), f"{out}/responses")
+    requests = with_request_error(number_requests(batch)).persist()
+    try:
+        lines = explode_requests(requests)
+        lines = with_event_time(lines.withColumn(
+            "log_id", F.sha2(F.concat_ws(":", "request_id", F.col("pos").cast("string")), 256)))
+        valid, bad = split_valid(lines)
+        pipeline = model.extra.get("pipeline")
+        if pipeline is not None:
+            scored = score_pipeline(valid, pipeline, model.classes, model.version)
+        else:
+            scored = score(valid, model, key="log_id", text="message")
+        results = collect_results(scored)
+        rejected = bad.groupBy("request_id").agg(F.count(F.lit(1)).alias("_bad"))
+        empty = F.array().cast(results.schema["results"].dataType)
+        responses = (requests.select("request_id", "error")
+                     .join(results, "request_id", "left").join(rejected, "request_id", "left")
+                     .select("request_id", F.coalesce("results", empty).alias("results"),
+                             F.coalesce("error", F.concat(F.lit("rejected lines: "), F.col("_bad").cast("string")))
+                             .alias("error")))
+        _write(responses.select("*", bid), f"{out}/responses")
+        whole = requests.where(F.col("error").isNotNull()).select(
+            "request_id", F.lit(None).cast("int").alias("pos"), "payload", F.col("error").alias("reason"))
+        part = bad.select("request_id", "pos", F.to_json(F.struct("timestamp", "source", "level", "message"))
+                          .alias("payload"), "reason")
+        _write(whole.unionByName(part).select("*", bid), f"{out}/request_quarantine")
+    finally:
+        requests.unpersist()
 
 
 def start_responder(spark: SparkSession, source: str, model: TextModel, out: str,
                     checkpoint: str | None = None, available_now: bool = True,
-                    interval: str = "2 seconds", max_files: int = 1) -> StreamingQuery:
+                    interval: str = "2 seconds", max_files: int | None = None) -> StreamingQuery:
     """Request envelopes in, response envelopes out, per micro-batch."""
     checkpoint = _checkpoint(spark, checkpoint, "respond")
     w = (request_stream(spark, source, max_files).writeStream

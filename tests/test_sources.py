@@ -67,6 +67,18 @@ def test_feedback_replay_is_idempotent_and_nulls_rejected(spark, tmp):
     assert latest.count() == 1
 
 
+def test_replayed_batch_keeps_its_time_and_order(spark, tmp):
+    schema = "log_id string, message string, predicted_category string, true_category string"
+    path = f"{tmp}/fb"
+    five = spark.createDataFrame([("a", "m", "noise", "error"), ("b", "m", "noise", "error"),
+                                  ("b", "m", "noise", "warning")], schema).coalesce(1)
+    six = spark.createDataFrame([("a", "m", "noise", "security")], schema)
+    for batch, rows in ((5, five), (6, six), (5, five)):
+        feedback_store.save_feedback(rows, path, batch)
+    latest = {r.log_id: r.true_category for r in latest_feedback(feedback_store.read_feedback(spark, path)).collect()}
+    assert latest == {"a": "security", "b": "warning"}
+
+
 def test_model_store_round_trip(spark, tmp):
     m = fixed_model(spark)
     model_store.save_model(m, f"{tmp}/model")

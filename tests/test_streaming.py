@@ -34,7 +34,7 @@ def test_stream_matches_batch_and_rolling(spark, tmp):
             if f.endswith(".parquet"):
                 os.link(f"{tmp}/stage/{d}/{f}", f"{src}/{d}-{f}")
     model = fixed_model(spark)
-    q = start_classifier(spark, src, model, f"{tmp}/out", f"{tmp}/ckpt")
+    q = start_classifier(spark, src, model, f"{tmp}/out", f"{tmp}/ckpt", max_files=1)
     q.awaitTermination(300)
     res = spark.read.parquet(f"{tmp}/out/results")
     assert res.count() == lv.count()
@@ -107,6 +107,60 @@ def test_request_envelopes_in_responses_out(spark, tmp):
     assert all(x.log_id for x in three) and len({x.log_id for x in three}) == 3
 
 
+def test_equal_malformed_null_and_empty_requests(spark, tmp):
+    """As many responses as request lines; what is rejected is kept apart."""
+    import json
+    from logsift.streaming.classify import start_responder
+    line = {"timestamp": "day 7", "source": "gate-9", "level": "INFO", "message": "late round done, 8 trays counted"}
+    good = json.dumps({"logs": [line]})
+    part = json.dumps({"logs": [line, {**line, "message": None}]})
+    lines = [good, good, good, part, '{"logs": []}', "not json", "{}", '{"logs": 3}']
+    os.makedirs(f"{tmp}/req")
+    with open(f"{tmp}/req/a.json", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    start_responder(spark, f"{tmp}/req", fixed_model(spark), f"{tmp}/out", f"{tmp}/ckpt-e").awaitTermination(300)
+    got = spark.read.parquet(f"{tmp}/out/responses").collect()
+    assert len(got) == len(lines) == len({r.request_id for r in got})
+    assert sorted((len(r.results), r.error) for r in got if r.error is None) == [(0, None)] + 3 * [(1, None)]
+    assert [len(r.results) for r in got if r.error == "rejected lines: 1"] == [1]
+    assert [len(r.results) for r in got if r.error == "malformed request"] == [0, 0, 0]
+    bad = spark.read.parquet(f"{tmp}/out/request_quarantine").collect()
+    assert sorted(r.reason for r in bad) == 3 * ["malformed request"] + ["missing message"]
+    ids = [x.log_id for r in got for x in r.results]
+    assert len(ids) == len(set(ids)) == 4
+
+
+def test_record_read_twice_counts_once(spark, tmp):
+    """A replay rewrites its files under new names; the mean stays."""
+    from logsift.streaming.classify import RESULT_SCHEMA
+    rows = spark.range(50).select(
+        F.col("id").cast("string").alias("log_id"), F.timestamp_seconds(F.col("id") * 10 + 1_000_000).alias("event_time"),
+        (F.col("id") / 100).alias("confidence"))
+    rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in RESULT_SCHEMA.fields]).coalesce(1)
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{tmp}/results")
+    end = rows.limit(1).withColumn("log_id", F.lit("end")).withColumn("event_time", F.timestamp_seconds(F.lit(1_090_000)))
+    end.write.mode("append").parquet(f"{tmp}/results")
+    start_rolling_mean(spark, f"{tmp}/results", f"{tmp}/mean", f"{tmp}/ckpt-m").awaitTermination(300)
+    got = spark.read.parquet(f"{tmp}/mean").agg(F.sum("n")).first()[0]
+    assert got == 50 * 5
+
+
+def test_feedback_stream(spark, tmp):
+    import json
+    from logsift.sources.feedback_store import read_feedback
+    from logsift.streaming.feedback import start_feedback
+    os.makedirs(f"{tmp}/in")
+    row = {"log_id": "r1", "message": "m", "predicted_category": "noise", "true_category": "error"}
+    with open(f"{tmp}/in/a.json", "w") as f:
+        f.write(json.dumps(row) + "\n" + json.dumps({**row, "true_category": None}) + "\n")
+    start_feedback(spark, f"{tmp}/in", f"{tmp}/fb", f"{tmp}/ckpt-f").awaitTermination(300)
+    stored = read_feedback(spark, f"{tmp}/fb").collect()
+    assert [(r.log_id, r.true_category) for r in stored] == [("r1", "error")] and stored[0].timestamp is not None
+    assert [r.reason for r in spark.read.parquet(f"{tmp}/fb_rejected").collect()] == ["missing true_category"]
+
+
 def test_kafka_source_without_connector_says_so(spark):
     from logsift.streaming.classify import kafka_log_stream
     try:
