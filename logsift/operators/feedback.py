@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,13 @@ def correction_rate(fb: DataFrame) -> DataFrame:
         F.avg(changed.cast("double")).alias("correction_rate"))
 
 
+def correction_pairs(fb: DataFrame) -> DataFrame:
+    """F1 by predicted and true category: reviewed records of each pair and
+    their share of the predicted category; the window runs over the pairs."""
+    pairs = fb.groupBy("predicted_category", "true_category").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("predicted_category")))
+
+
 def retraining_set(train: DataFrame, latest: DataFrame) -> DataFrame:
     """training rows plus corrected records, the correction as label."""
     a = train.select("message", F.col("true_label").alias("label"),

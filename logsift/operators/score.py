@@ -15,7 +15,7 @@ sums all happen inside each row; the plan is narrow (no join, no shuffle).
 Plan (larger tables, ``join``): term counts are computed inside each row
 (no shuffle), exploded and looked up with a broadcast hash join against the
 bounded term table; one
-aggregate per record key (partial aggregation map-side, so each record
+aggregate per record (partial aggregation map-side, so each record
 crosses the network once, with its columns) gives the sums.  A record
 without a known term keeps its row (outer explode, left join) and is decided
 by the intercepts alone.
@@ -137,8 +137,8 @@ def margins(df: DataFrame, model: TextModel, key: str = "rid",
     rows; no join, no shuffle), ``join`` (broadcast join + per-record
     aggregate; any bounded table) or ``auto`` (in-row when small enough).
 
-    ``key`` must identify a record.  The per-record aggregate carries the
-    record's other columns along with ``first()`` (map-side partial
+    ``key`` is not read: both forms keep every row, whatever its key.  The
+    per-record aggregate carries the record's columns along with ``first()`` (map-side partial
     aggregation collapses a record's terms to one row before the only
     shuffle).  String buffers make this a sort-based aggregate; grouping by
     all carried columns instead (hash aggregate) measured slower, because
@@ -152,11 +152,11 @@ def margins(df: DataFrame, model: TextModel, key: str = "rid",
             raise ValueError("in-row scoring needs a term table of at most "
                              f"{IN_ROW_MAX_TERMS} rows")
         return margins_in_row(df, model, text)
-    hits = term_hits(df, model, text, outer=True)
+    # A key of our own: the records' may repeat or be null.
+    hits = term_hits(df.withColumn("_row", F.monotonically_increasing_id()), model, text, outer=True)
     x = F.col("tf") * F.col("idf")
-    carried = [c for c in df.columns if c != key]
-    per = hits.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in carried],
+    per = hits.groupBy("_row").agg(
+        *[F.first(c).alias(c) for c in df.columns],
         F.sum(x * x).alias("_ss"),
         *[F.sum(x * F.col(w)).alias(f"_d{i}") for i, w in enumerate(model.weight_cols)])
     return per.select(*df.columns, *_margin_cols(model))

@@ -464,6 +464,10 @@ SELECT CAST(sum(n_ref) AS BIGINT) AS n_ref, CAST(sum(n_cur) AS BIGINT) AS n_cur,
         "count(*) FILTER (WHERE predicted_category <> true_category) AS n_corrected, "
         f"{r('avg(CASE WHEN predicted_category <> true_category THEN 1.0 ELSE 0.0 END)')} AS correction_rate "
         "FROM latest GROUP BY 1")
+    s["correction_pairs"] = with_scored(
+        f", {_reviews_cte()}\nSELECT predicted_category, true_category, count(*) AS n, "
+        f"{r('count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY predicted_category)')} AS share "
+        "FROM latest GROUP BY 1, 2")
     s["latest_feedback"] = with_scored(
         f", {_reviews_cte()}\nSELECT log_id, id, predicted_category, true_category, \"timestamp\" FROM latest")
     s["retraining_set"] = with_scored(

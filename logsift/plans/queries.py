@@ -334,6 +334,10 @@ def q_correction_rate(spark, sf):
     return rounded(feedback.correction_rate(feedback.latest_feedback(_reviews(spark, sf))))
 
 
+def q_correction_pairs(spark, sf):
+    return rounded(feedback.correction_pairs(feedback.latest_feedback(_reviews(spark, sf))))
+
+
 def q_latest_feedback(spark, sf):
     return rounded(feedback.latest_feedback(_reviews(spark, sf)).select(
         "log_id", "id", "predicted_category", "true_category", "timestamp"))

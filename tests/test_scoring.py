@@ -71,3 +71,12 @@ def test_in_row_and_join_scorers_agree(spark):
             assert abs(a[rid][f"m_{c}"] - b[rid][f"m_{c}"]) < 1e-12
     plan = score(lv, m, method="in_row")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Join" not in plan
+
+
+def test_both_forms_keep_rows_of_repeated_and_null_keys(spark):
+    rows = [("k", "early round done, 40 trays counted"), ("k", "guard called, cloned badge at yard gate"),
+            (None, "bed-7 drifting, rising heat"), (None, "nothing known"), ("k", "nothing known")]
+    df = spark.createDataFrame(rows, "rid string, message string")
+    got = [sorted((str(r.rid), r.message, r.category, round(r.confidence, 9))
+                  for r in score(df, fixed_model(spark), method=m).collect()) for m in ("in_row", "join")]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
