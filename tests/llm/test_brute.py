@@ -339,3 +339,20 @@ def test_url_rules(spark):
     nothing = url_rules.judge_urls(pages, labels.limit(0))
     assert nothing.filter("rule IS NULL AND verdict = 'block'").count() == 0
     assert url_rules.judge_urls(pages.limit(0), labels).count() == 0
+
+
+def test_batched_merge_and_lookup_equal_one_by_one():
+    import random
+    rng = random.Random(4)
+    with open(tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        v = lexicon_bpe.Vocabulary(f.read())
+    pieces = [bytes(rng.choices(range(256), k=rng.randint(1, 60))) for _ in range(500)]
+    pieces += [b"a" * k for k in range(1, 60)] + [w.encode() for w in ("ll", " the", "hello", "été")]
+    assert v.merge_many(pieces) == [lexicon_bpe.packed(v.merge(p)) for p in pieces]
+    assert v.merge_many([]) == []
+    words = sorted(set(pieces[::2]))
+    lexicon = lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon([(w, v.merge(w)) for w in words]))
+    asked = pieces + [w[:-1] for w in words if len(w) > 1] + [w + b"x" for w in words]
+    one = [lexicon.get(w) for w in asked]
+    assert lexicon.get_many(asked) == [None if ids is None else lexicon_bpe.packed(ids) for ids in one]
+    assert lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon([])).get_many([b"a"]) == [None]
