@@ -219,6 +219,35 @@ def test_mixing(odd, docs, none):
     assert all(got[d] == n for d, n in want.items())
 
 
+def test_mixing_more_sources_than_the_driver_plans(spark):
+    """No row is refused however many sources there are."""
+    n = mixing.DRIVER_SOURCES + 500
+    rows = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.col("id") % n).alias("source"),
+                                     F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    got = mixing.mix(rows).collect()
+    sizes = Counter()
+    for i in range(2 * n):
+        sizes[f"h{i % n}"] += i % 7
+    names = sorted(sizes)
+    target = dict(zip(names, mixing.fill([sizes[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(n)])))
+    assert sorted(r.doc_id for r in got) == list(range(2 * n))
+    taken = Counter()
+    for r in got:
+        source = f"h{r.doc_id % n}"
+        assert r.source_size == sizes[source] and r.target == pytest.approx(target[source], rel=1e-9)
+        taken[source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 3 + 1e-6 for s in names)
+    assert mixing.mixed_docs(rows).count() == sum(r.taken // r["size"] for r in got if r["size"])
+
+
+def test_mixing_plan_in_spark_equals_the_drivers(odd, docs, monkeypatch):
+    want = [multiset(mixing.mix(d).withColumn("target", F.round("target", 6)).collect()) for d in (odd, docs)]
+    copies = multiset(mixing.mixed_docs(docs).select("doc_id").collect())
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 1)
+    assert [multiset(mixing.mix(d).withColumn("target", F.round("target", 6)).collect()) for d in (odd, docs)] == want
+    assert multiset(mixing.mixed_docs(docs).select("doc_id").collect()) == copies
+
+
 def test_fill_is_water_filling():
     rng = np.random.default_rng(3)
     for _ in range(50):
