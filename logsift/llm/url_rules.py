@@ -10,8 +10,8 @@ fires where all its tokens were found.  A fixed list of host and path rules
 goes before; the longest that fits a url decides.
 
 Bounds: FP-growth keeps tokens above ``min_support``, at most (tokens per url)
-/ ``min_support`` of them, and rules have at most ``max_tokens`` tokens, so the
-rule table is small for any input.
+/ ``min_support`` of them, and a rule holds no smaller rule, so the rule table
+is small for any input; rules may have any number of tokens.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path;
 it meets no fixed rule; without labels or rules every other url is allowed;
@@ -38,7 +38,6 @@ MARK = "\u0000block"
 class Mining:
     min_support: float = 0.005
     min_confidence: float = 0.8
-    max_tokens: int = 2
 
 
 def host_of(url: Column) -> Column:
@@ -84,17 +83,22 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     if items.isEmpty():
         return empty
     model = FPGrowth(itemsCol="items", minSupport=mining.min_support).fit(items)
-    sets = saved(model.freqItemsets.filter(F.size("items") <= mining.max_tokens + 1)
-                 .select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    sets = saved(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     whole = sets.filter(~F.array_contains("items", MARK)).select(F.col("items").alias("tokens"), F.col("freq").alias("n"))
     blocked = (sets.filter(F.array_contains("items", MARK) & (F.size("items") > 1))
                .select(F.array_remove("items", MARK).alias("tokens"), F.col("freq").alias("n_blocked")))
     strong = blocked.join(whole, "tokens").filter(F.col("n_blocked") / F.col("n") >= mining.min_confidence)
-    single = strong.filter(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"))
-    covered = (strong.filter(F.size("tokens") > 1).select("tokens", F.explode("tokens").alias("token"))
-               .join(single, "token", "left_semi").select("tokens").distinct())
-    return saved(strong.join(covered, "tokens", "left_anti")
-                 .select(F.xxhash64("tokens").alias("rule_id"), "tokens", F.size("tokens").alias("n")), "rules")
+    strong = saved(strong.select(F.xxhash64("tokens").alias("rule_id"), "tokens", F.size("tokens").alias("n")), "strong")
+    # From the smallest on: a set on which a smaller rule fires is no rule.
+    sizes = sorted(r.n for r in strong.select("n").distinct().collect())
+    rules = empty
+    for k, size in enumerate(sizes):
+        more = strong.filter(F.col("n") == size)
+        if k:
+            covered = fired(more.select(F.col("tokens").alias("key"), "tokens"), rules)
+            more = more.join(covered, more["tokens"] == covered["key"], "left_anti")
+        rules = saved(rules.union(more) if k else more, "rules")
+    return rules
 
 
 def fired(rows: DataFrame, rules: DataFrame) -> DataFrame:

@@ -370,6 +370,25 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_url_rules_of_three_tokens(spark):
+    """Host, path and parameter block only together; larger sets that hold a
+    rule are not kept."""
+    hosts, paths, names = ("a", "b"), ("x", "y"), ("s", "t")
+    urls = [f"http://{h}.test/{p}/?{n}=1" for h in hosts for p in paths for n in names for _ in range(10)]
+    urls += ["http://c.test/z/w?u=1"] * 10
+    rows = [(i, u) for i, u in enumerate(urls)]
+    bad = {"http://a.test/x/?s=1", "http://c.test/z/w?u=1"}
+    pages = spark.createDataFrame(rows + [(1000, "http://a.test/x/more?s=2"), (1001, "http://a.test/y?s=2")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, u in bad) for i, u in rows], "page_id long, blocked boolean")
+    mining = url_rules.Mining(min_support=0.05)
+    out = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels, mining).collect()}
+    assert all(out[i] == ("block" if u in bad else "allow") for i, u in rows)
+    assert (out[1000], out[1001]) == ("block", "allow")
+    training = pages.join(labels, "page_id").select(url_rules.tokens_of(F.col("url")).alias("tokens"), "blocked")
+    assert {tuple(r.tokens) for r in url_rules.mine_rules(training, mining).collect()} == {
+        ("h:a", "p:x", "q:s"), ("h:c",), ("p:w",), ("p:z",), ("q:u",)}
+
+
 def test_batched_merge_and_lookup_equal_one_by_one():
     import random
     rng = random.Random(4)
