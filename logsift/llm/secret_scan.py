@@ -3,15 +3,17 @@
 Three patterns give the base spans; a fourth finds long mixed tokens that look
 random.  Every candidate's value is hashed, and the distinct repositories and
 owners that hold it are counted over the whole corpus: a value that many
-owners share is a copied example, one that stays with an owner looks live.
-Base spans always stay, with the verdict beside them; a mixed token becomes a
-span of the kind ``live`` only when it stays with few owners.
+owners share, or that lies in many repositories of few owners, is a copied
+example; one that stays in few places looks live.  Base spans always stay,
+with the verdict beside them; a mixed token becomes a span of the kind
+``live`` only when it is not copied.  Both counts stand beside every span.
 
 Values are only kept as hashes.
 
 Defined cases: a null text counts as empty; a null owner or repository counts
-as one owner or repository of its own; repeated rows change no count of
-distinct owners; an empty table gives an empty result.
+as one owner or repository of its own; repositories of one name under two
+owners are two; repeated rows change no count of distinct owners; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,10 +44,12 @@ _mixed = re.compile("[A-Za-z0-9+/_=-]{20,}").finditer
 
 @dataclass(frozen=True)
 class Ownership:
-    """``copied_owners``: a value held by so many owners is an example;
-    ``min_entropy``: bits per character of a mixed token."""
+    """``copied_owners``, ``copied_repos``: a value held by so many owners, or
+    in so many repositories, is an example; ``min_entropy``: bits per
+    character of a mixed token."""
 
     copied_owners: int = 3
+    copied_repos: int = 6
     min_entropy: float = 3.5
 
 
@@ -113,24 +117,32 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, owner: Column, repo: Column, rule: Ownership = Ownership(),
                  text: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
-    n_copied`` of every document; the last two count its base spans by
-    ownership."""
+    n_copied, span_owners, span_repos`` of every document; ``n_live`` and
+    ``n_copied`` count its base spans by ownership, the last two list the
+    owners and repositories of each span's value in the order of ``spans``."""
     scan = scanner(rule)
     rows = docs.select("doc_id", owner.alias("owner"), repo.alias("repo"),
                        scan(F.col(f"`{text}`").cast("string")).alias("s"))
     rows = saved(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo", "s.*"), "scanned")
     found = (rows.filter(F.size("found") > 0)
              .select("rid", "owner", "repo", F.explode("found").alias("f")).select("rid", "owner", "repo", "f.*"))
-    copied = F.col("n_owners") >= rule.copied_owners
+    copied = (F.col("n_owners") >= rule.copied_owners) | (F.col("n_repos") >= rule.copied_repos)
     judged = found.select("rid", "a", "k", "b", "v").join(ownership(found), "v").withColumn("copied", copied)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("k") + 1)
     spans = (judged.filter("k < 3 OR NOT copied")
-             .select("rid", "k", "copied", F.struct("a", "k", "b", F.concat_ws(":", kind, "a", "b").alias("t")).alias("s"))
+             .select("rid", "k", "copied", F.struct("a", "k", "b", F.concat_ws(":", kind, "a", "b").alias("t"),
+                                                    F.col("n_owners").cast("string").alias("owners"),
+                                                    F.col("n_repos").cast("string").alias("repos")).alias("s"))
              .groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("spans"),
                                  F.count_if((F.col("k") < 3) & ~F.col("copied")).alias("n_live"),
                                  F.count_if((F.col("k") < 3) & F.col("copied")).alias("n_copied")))
     zero = F.lit(0).cast("long")
+
+    def listed(field: str) -> Column:
+        return F.coalesce(F.array_join(F.col(f"spans.{field}"), ","), F.lit(""))
+
     return rows.join(spans, "rid", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
-        F.coalesce(F.array_join(F.col("spans.t"), ","), F.lit("")).alias("spans"),
-        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
+        listed("t").alias("spans"), F.coalesce("n_live", zero).alias("n_live"),
+        F.coalesce("n_copied", zero).alias("n_copied"), listed("owners").alias("span_owners"),
+        listed("repos").alias("span_repos"))
