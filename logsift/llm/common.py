@@ -84,7 +84,11 @@ class Recent(dict):
             if len(key) > self.longest:
                 return value
         if len(self) >= self.most:
-            self.elder = dict(self)
-            self.clear()
+            self.turn()
         self[key] = value
         return value
+
+    def turn(self) -> None:
+        """The younger generation becomes the elder."""
+        self.elder = dict(self)
+        self.clear()

@@ -400,8 +400,12 @@ class Codec:
     def _learn(self, units: Iterable[str]) -> None:
         """Put the ids of the words not met lately into memory: the lexicon's,
         the others merged together.  Long words are left to ``encode``."""
-        young, elder, longest = self.units, self.units.elder, self.units.longest
-        fresh = [u for u in units if u not in young and u not in elder and len(u) <= longest]
+        young, longest = self.units, self.units.longest
+        units = [u for u in units if u not in young and len(u) <= longest]
+        fresh = [u for u in units if u not in young.elder]
+        if len(young) + len(fresh) > young.most:
+            young.turn()
+            fresh = [u for u in units if u not in young.elder]
         found = self.lexicon.get_many([u.encode() for u in fresh])
         split = self.vocabulary.pieces
         pieces = {u: split(u) for u, ids in zip(fresh, found) if ids is None}

@@ -419,3 +419,20 @@ def test_batched_merge_and_lookup_equal_one_by_one():
     one = [lexicon.get(w) for w in asked]
     assert lexicon.get_many(asked) == [None if ids is None else lexicon_bpe.packed(ids) for ids in one]
     assert lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon([])).get_many([b"a"]) == [None]
+
+
+def test_word_memory_stays_bounded(monkeypatch):
+    """A worker that meets new words in every chunk forgets the oldest."""
+    monkeypatch.setattr(lexicon_bpe, "MEMO", 200)
+    monkeypatch.setattr(lexicon_bpe, "CHUNK_CHARS", 1)
+    with open(tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        codec = lexicon_bpe.Codec(lexicon_bpe.Vocabulary(f.read()), lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon([])))
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    for k in range(60):
+        text = "the same and " + " ".join(f"w{chr(97 + k % 26)}{'x' * (k // 26)}{chr(97 + i)}q" for i in range(26))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert codec.encode_many([text]) == [np.array(ids, "<u4").tobytes()]
+        assert len(codec.units) <= 200 and len(codec.units.elder) <= 200
+    # Words of one chunk alone may be more than a generation; the next chunk lets them go.
+    codec.encode_many([" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}zq" for i in range(600)), "one two", "three four"])
+    assert len(codec.units) <= 200
