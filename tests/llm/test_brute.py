@@ -221,7 +221,7 @@ def test_mixing(odd, docs, none):
 
 def test_mixing_more_sources_than_the_driver_plans(spark):
     """No row is refused however many sources there are."""
-    n = mixing.DRIVER_SOURCES + 500
+    n = 10_500
     rows = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.col("id") % n).alias("source"),
                                      F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
     got = mixing.mix(rows).collect()
