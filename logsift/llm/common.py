@@ -62,6 +62,22 @@ def keep_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(k, ["row_file", "row_no"], "left_semi").select("doc.*")
 
 
+HEAVY_SHARE = 1000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """Left join of ``rows`` to a written table with one row for each key and
+    the number of its rows in ``count``.  Keys with more than one in
+    ``HEAVY_SHARE`` of the counted rows, which are fewer than ``HEAVY_SHARE``,
+    are joined by broadcast, so that no task gets all rows of a hot key; the
+    others are left to the planner."""
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) * HEAVY_SHARE > F.lit(total)
+    heavy, light = F.broadcast(table.filter(hot)), table.filter(~hot)
+    rest = rows.join(heavy.select(key), key, "left_anti").join(light, key, "left")
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text as string, null as the empty text."""
     c = F.col(column) if isinstance(column, str) else column

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm import (exact_dedup, language_id, lexicon_bpe, line_dedup, minhash_tensor, mixing, quality_rules,
-                         secret_scan, token_ans, url_rules)
+                         secret_scan, token_ans, url_rules, warc)
 from logsift.llm.common import keyed_rows
 from logsift.llm.sql import ORACLE_SQL  # noqa: F401  (read by the entry module)
 
@@ -84,6 +84,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), labels)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_line_dedup, op4_lexicon_bpe,
                                    op5_language_id, op6_token_ans, op7_mixing, op8_secret_scan,
-                                   op9_minhash_tensor, op10_url_rules)}
+                                   op9_minhash_tensor, op10_url_rules, op13_warc)}
