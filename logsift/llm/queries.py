@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import (exact_dedup, language_id, lexicon_bpe, line_dedup, minhash_tensor, mixing, quality_rules,
-                         secret_scan, token_ans, url_rules, warc)
+from logsift.llm import (exact_dedup, language_id, lexicon_bpe, line_dedup, minhash_tensor, mixing, prefix_trie, quality_rules,
+                         secret_scan, token_alignment, token_ans, url_rules, warc)
 from logsift.llm.common import keyed_rows
 from logsift.llm.sql import ORACLE_SQL  # noqa: F401  (read by the entry module)
 
@@ -84,10 +84,20 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), labels)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"),
+                                           tokenizer("byte_bpe_50k.tiktoken"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_line_dedup, op4_lexicon_bpe,
                                    op5_language_id, op6_token_ans, op7_mixing, op8_secret_scan,
-                                   op9_minhash_tensor, op10_url_rules, op13_warc)}
+                                   op9_minhash_tensor, op10_url_rules, op11_token_alignment,
+                                   op12_prefix_trie, op13_warc)}

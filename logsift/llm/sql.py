@@ -132,5 +132,34 @@ SELECT page_id, host, path, CASE {name} END AS rule,
        CASE {verdict} WHEN url IN (SELECT url FROM hit) THEN 'block' ELSE 'allow' END AS verdict FROM t"""
 
 
+# The checksum that the borrowed heads' lengths come from, byte by byte over
+# the table of its polynomial.
+OP12 = """
+WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+               lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(strlen(role) || ':' || role || text)) AS k
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            WHERE conv_id IS NOT NULL)),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+               lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM o), tab),
+r AS (SELECT h.conv_id, k, role, text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5 AND k <= h
+      UNION ALL SELECT conv_id, k, role, text FROM h JOIN o USING (conv_id) WHERE k > h),
+s AS (SELECT h.conv_id, coalesce(list(md5(strlen(role) || ':' || role || text) ORDER BY k) FILTER (WHERE k IS NOT NULL), []) AS seq,
+        coalesce(list(strlen(text) ORDER BY k) FILTER (WHERE k IS NOT NULL), []) AS sizes
+      FROM h LEFT JOIN r USING (conv_id) GROUP BY h.conv_id),
+m AS (SELECT conv_id, d, seq[1:d] AS p, len(seq) AS n, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS b
+      FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM s)),
+v AS (SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) > any_value(d) AS inside, any_value(b) AS b,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+      FROM m GROUP BY p),
+t AS (SELECT p[1:e] AS p, count(*) FILTER (WHERE NOT inside) AS n_leaves, CAST(sum((n_convs - 1) * b) AS BIGINT) AS saved_tokens
+      FROM (SELECT *, unnest(range(depth + 1)) AS e FROM v) GROUP BY 1),
+c AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM v WHERE depth > 0 GROUP BY 1)
+SELECT v.conv_id, depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n, 0) AS n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN t USING (p) LEFT JOIN c USING (p) LEFT JOIN (SELECT p, conv_id FROM v) AS u ON depth > 0 AND u.p = v.p[1:depth - 1]"""
+
+
 ORACLE_SQL = {"op1_quality_rules": op1(), "op2_exact_dedup": OP2, "op3_line_dedup": op3(), "op7_mixing": OP7,
-              "op9_minhash_tensor": OP9, "op10_url_rules": op10()}
+              "op9_minhash_tensor": OP9, "op10_url_rules": op10(), "op12_prefix_trie": OP12}
