@@ -17,29 +17,23 @@ def bound_label(b: float) -> str:
     return repr(float(b))
 
 
-def histogram_agg(value: Column, bounds: list[float]) -> list[Column]:
-    cols = [F.count_if(value <= F.lit(b)).alias(f"le_{i}") for i, b in enumerate(bounds)]
-    cols.append(F.count(value).alias("le_inf"))
-    cols.append(F.sum(value).alias("sum"))
-    cols.append(F.count(value).alias("count"))
-    return cols
+def bound_columns(value: Column, bounds: list[float], prefix: str = "") -> list[Column]:
+    """Aggregates of one pass: records up to each bound, all, and their sum."""
+    cols = [F.count_if(value <= F.lit(b)).alias(f"{prefix}le_{i}") for i, b in enumerate(bounds)]
+    return [*cols, F.count(value).alias(f"{prefix}le_inf"), F.coalesce(F.sum(value), F.lit(0.0)).alias(f"{prefix}sum"),
+            F.count(value).alias(f"{prefix}count")]
+
+
+def histogram_entries(metric: str, bounds: list[float], prefix: str = "", labels: bool = False) -> list[Column]:
+    """The rows of a histogram as structs over ``bound_columns``."""
+    none = F.lit(None).cast("string")
+    rows = [(f"{metric}_bucket", F.lit(bound_label(b)), f"le_{i}") for i, b in enumerate(bounds)]
+    rows += [(f"{metric}_bucket", F.lit("+Inf"), "le_inf"), (f"{metric}_sum", none, "sum"), (f"{metric}_count", none, "count")]
+    return [F.struct(F.lit(name).alias("metric"), *[F.lit("{}").alias("labels")] * labels, le.alias("le"),
+                     F.col(prefix + c).cast("double").alias("value")) for name, le, c in rows]
 
 
 def histogram_rows(df: DataFrame, value: Column | str, bounds: list[float],
                    metric: str) -> DataFrame:
     v = F.col(value) if isinstance(value, str) else value
-    agg = df.agg(*histogram_agg(v, bounds))
-    entries = [F.struct(F.lit(f"{metric}_bucket").alias("metric"),
-                        F.lit(bound_label(b)).alias("le"),
-                        F.col(f"le_{i}").cast("double").alias("value"))
-               for i, b in enumerate(bounds)]
-    entries.append(F.struct(F.lit(f"{metric}_bucket").alias("metric"),
-                            F.lit("+Inf").alias("le"),
-                            F.col("le_inf").cast("double").alias("value")))
-    entries.append(F.struct(F.lit(f"{metric}_sum").alias("metric"),
-                            F.lit(None).cast("string").alias("le"),
-                            F.coalesce(F.col("sum"), F.lit(0.0)).cast("double").alias("value")))
-    entries.append(F.struct(F.lit(f"{metric}_count").alias("metric"),
-                            F.lit(None).cast("string").alias("le"),
-                            F.col("count").cast("double").alias("value")))
-    return agg.select(F.inline(F.array(*entries)))
+    return df.agg(*bound_columns(v, bounds)).select(F.inline(F.array(*histogram_entries(metric, bounds))))

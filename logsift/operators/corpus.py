@@ -169,13 +169,13 @@ def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def log_view(events: DataFrame, key: str = "event_id", time_col: str = "ts") -> DataFrame:
+def log_view(events: DataFrame, key: str = "event_id", time_col: str = "ts", carry: tuple[str, ...] = ()) -> DataFrame:
     """Labelled log records, one per input row.
 
     Columns: ``rid`` (the source key), ``log_id`` (sha-256 of the key: stable
     under recomputation and replay, unlike a random UUID), ``event_time``,
     ``timestamp`` (ISO text), ``source``, ``level``, ``message``,
-    ``true_label``, ``ambiguous``.
+    ``true_label``, ``ambiguous``; and the columns named in ``carry``.
 
     Three narrow projections: every md5 bucket once, then every slot value
     once, then the message; no shuffle.
@@ -186,11 +186,11 @@ def log_view(events: DataFrame, key: str = "event_id", time_col: str = "ts") ->
         F.col(key).alias("rid"), F.col(time_col).alias("event_time"),
         bucket(rid, "class").alias("_bc"), is_ambiguous(rid).alias("ambiguous"),
         bucket(rid, "template").alias("_tb"),
-        pick(bucket(rid, "source"), SOURCES).alias("source"),
+        pick(bucket(rid, "source"), SOURCES).alias("source"), *carry,
         *[bucket(rid, s).alias(f"_b_{s}") for s in salts])
     slots = b.select("rid", "event_time",
                      weighted_pick(F.col("_bc"), CLASSES, CLASS_WEIGHTS).alias("true_label"),
-                     "ambiguous", "_tb", "source",
+                     "ambiguous", "_tb", "source", *carry,
                      *[slot_value(n).alias(f"_s_{n}") for n in slot_names()])
     return slots.select(
         "rid",
@@ -200,7 +200,7 @@ def log_view(events: DataFrame, key: str = "event_id", time_col: str = "ts") ->
         "source",
         level_of(F.col("true_label")).alias("level"),
         message_of(F.col("true_label"), F.col("ambiguous"), F.col("_tb")).alias("message"),
-        "true_label", "ambiguous")
+        "true_label", "ambiguous", *carry)
 
 
 LABELLED_COLUMNS = ["timestamp", "source", "level", "message", "true_label"]

@@ -1,26 +1,29 @@
 """Text features (T1-T8): counts, vocabulary, smoothed IDF, L2 TF-IDF.
 
-Long form throughout: one row per (document, term).  Plan notes:
+Plan notes:
 
-* ``term_freq`` counts inside each row (sorted runs), so it is a narrow
-  operation: no shuffle, whatever the corpus size.
+* A document's counted terms are one array in its row (``counted``: sorted
+  runs); ``term_freq`` is that array in long form.  Both are narrow.
 * ``doc_freq`` is the one aggregate keyed by term; partial aggregation
   map-side turns every partition into at most one row per term before the
   shuffle, so very frequent terms ("the", "de") do not skew it.
 * ``vocabulary`` is a top-k (``TakeOrderedAndProject``): every partition
-  keeps its best ``k`` rows, no global sort.  Its size is bounded by ``k``,
-  which is what allows broadcasting it.
-* ``tfidf`` needs the per-document norm: one window partitioned by document
-  over the in-vocabulary rows.
+  keeps its best ``k`` rows, no global sort.  Its size is bounded by ``k``, so
+  ``fit`` may bring it to the driver.
+* ``tfidf`` builds and norms a document's vector inside its row and explodes it
+  at the end: no join, no shuffle by document.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.constants import MAX_FEATURES, NGRAM_MAX
 from logsift.functions.text import ngrams, term_counts, tokens
+from logsift.functions.vectors import Vocabulary, norm
 
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -35,15 +38,25 @@ def with_ngrams(df: DataFrame, text: str = "text", out: str = "terms",
         out, ngrams(F.col("_toks"), max_n)).drop("_toks")
 
 
-def term_freq(df: DataFrame, key: str = "doc_id", text: str = "text",
-              max_n: int = NGRAM_MAX) -> DataFrame:
-    """(key, term, tf) raw counts, computed per row."""
-    terms = with_ngrams(df.select(key, text), text, "_terms", max_n)
-    counted = term_counts(terms, F.col("_terms"), "_counts")
+def counted(df: DataFrame, text: str = "text", max_n: int = NGRAM_MAX) -> DataFrame:
+    """``df`` with ``counts`` instead of the text: its terms with their raw
+    counts, ``array<struct<term, tf>>``."""
+    terms = with_ngrams(df, text, "_terms", max_n)
+    return term_counts(terms, F.col("_terms"), "counts").drop("_terms", text)
+
+
+def long_form(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf) of counted rows."""
     # The outer generator: the optimizer infers no ``size(...) > 0`` filter
     # for it, which it would otherwise push below the projections with the
     # whole counting expression inlined.
-    return counted.select(key, F.inline_outer("_counts")).where(F.col("term").isNotNull())
+    return counts.select(key, F.inline_outer("counts")).where(F.col("term").isNotNull())
+
+
+def term_freq(df: DataFrame, key: str = "doc_id", text: str = "text",
+              max_n: int = NGRAM_MAX) -> DataFrame:
+    """(key, term, tf) raw counts, computed per row."""
+    return long_form(counted(df.select(key, text), text, max_n), key)
 
 
 def doc_freq(tf: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -74,13 +87,25 @@ def idf_table(dfreq: DataFrame, n_docs: int | Column, k: int = MAX_FEATURES) ->
     return vocab.select("term", "df", smoothed_idf(F.col("df"), n.cast("double")).alias("idf"))
 
 
-def tfidf(tf: DataFrame, idf: DataFrame, key: str = "doc_id",
-          idf_rows: int = MAX_FEATURES) -> DataFrame:
-    """(key, term, tfidf), L2-normalised per document over the
-    in-vocabulary terms; out-of-vocabulary terms are ignored and a document
-    without known terms has no rows.  ``idf`` is bounded by the vocabulary
-    cap (checked by the caller through ``idf_rows``), so it is broadcast."""
-    side = F.broadcast(idf.select("term", "idf")) if idf_rows <= MAX_FEATURES * 4 else idf
-    x = tf.join(side, "term").withColumn("_x", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
-    return x.select(key, "term", (F.col("_x") / norm).alias("tfidf"))
+def fit(counts: DataFrame, k: int = MAX_FEATURES, key: str = "doc_id") -> Vocabulary:
+    """Vocabulary and smoothed IDF (column ``idf``) of counted documents; at
+    most ``k`` terms reach the driver."""
+    terms, idf = fitted_idf(long_form(counts, key), counts.count(), k, key)
+    return Vocabulary(terms, idf=idf)
+
+
+def fitted_idf(tf: DataFrame, n_docs: int, k: int = MAX_FEATURES, key: str = "doc_id") -> tuple[list[str], list[float]]:
+    """(terms in rank order, their IDF)."""
+    rows = vocabulary(doc_freq(tf, key), k).select("term", "df", "rank").collect()
+    rows.sort(key=lambda r: r["rank"])
+    return [r["term"] for r in rows], [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows]
+
+
+def tfidf(counts: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
+    """(key, term, tfidf) of counted documents, L2-normalised per
+    document over the in-vocabulary terms; out-of-vocabulary terms are ignored
+    and a document without known terms has no rows."""
+    vectors = counts.select(key, vocabulary.vector(F.col("counts"), "idf").alias("_v"))
+    normed = vectors.select(key, "_v", norm(F.col("_v")).alias("_norm"))
+    entries = F.transform("_v", lambda h: F.struct(vocabulary.term(h["i"]).alias("term"), (h["x"] / F.col("_norm")).alias("tfidf")))
+    return normed.select(key, F.inline_outer(entries)).where(F.col("term").isNotNull())

@@ -41,6 +41,15 @@ def retraining_set(train: DataFrame, latest: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def open_records(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """F4 where records and their feedback come as one table of ``(log_id,
+    category, confidence, entry)``, ``entry`` null for a record: one aggregate
+    instead of an anti join, so both come from one pass."""
+    fed = F.count(entry).alias("fed")
+    return (entries.groupBy("log_id", "category", "confidence").agg(fed).where("fed = 0")
+            .select("log_id", "category", "confidence"))
+
+
 def review_backlog(scored: DataFrame, fb: DataFrame) -> DataFrame:
     """flagged records that have no feedback yet.  The feedback keys are
     de-duplicated first (partial aggregation), then an anti join."""

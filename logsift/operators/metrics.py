@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.constants import (CONFIDENCE_BUCKETS, LATENCY_BUCKETS, METRIC_CONFIDENCE,
                                METRIC_LATENCY, METRIC_LOADED, METRIC_REQUESTS,
                                SHIFT_EPSILON, STATUS_OK)
-from logsift.functions.histogram import histogram_rows
+from logsift.functions.histogram import bound_columns, histogram_entries, histogram_rows
+from logsift.operators.rollup import category_labels, counter_entry, label_text
 
 
 def request_counter(scored: DataFrame) -> DataFrame:
@@ -42,26 +43,44 @@ def model_loaded_gauge(lifecycle: DataFrame) -> DataFrame:
         F.max_by("value", F.struct("ts", "seq")).cast("double").alias("value"))
 
 
-def prom_labels(*pairs: tuple[str, Column]) -> Column:
-    """Label set as exposition text: ``{a="x",b="y"}``."""
-    parts = []
-    for i, (name, col) in enumerate(pairs):
-        parts += [F.lit(("," if i else "") + f'{name}="'), col, F.lit('"')]
-    return F.concat(F.lit("{"), *parts, F.lit("}"))
+def served_metrics(served: DataFrame) -> DataFrame:
+    """One (metric, labels, le, value) table in one pass over served
+    records, which carry ``category``, ``confidence``, ``latency_s`` and the
+    state they report: ``version, ts, seq, state`` (version null: none).
+
+    The latest state of a version is the one of the largest (ts, seq, state),
+    taken as one number so that the aggregate keeps fixed-size buffers.
+    """
+    wide = "decimal(38,0)"
+    rank = ((F.unix_micros(F.col("ts").cast("timestamp")).cast(wide) * F.lit(10 ** 12).cast("decimal(13,0)")
+             + F.col("seq").cast(wide)) * F.lit(2).cast("decimal(1,0)") + F.col("state").cast(wide)).cast(wide)
+    small = served.groupBy("category", "version").agg(
+        F.count("category").alias("n"), *bound_columns(F.col("confidence"), CONFIDENCE_BUCKETS, "c_"),
+        *bound_columns(F.col("latency_s"), LATENCY_BUCKETS, "l_"), F.max(rank).alias("rank"))
+    none = F.lit(None).cast("string")
+    plain = [F.when(F.col("category").isNotNull(), counter_entry(category_labels())),
+             *histogram_entries(METRIC_CONFIDENCE, CONFIDENCE_BUCKETS, "c_", labels=True),
+             *histogram_entries(METRIC_LATENCY, LATENCY_BUCKETS, "l_", labels=True)]
+    state = F.struct(F.lit(METRIC_LOADED).alias("metric"), label_text(("version", F.col("version"))).alias("labels"),
+                     none.alias("le"), F.lit(0.0).alias("value"), F.col("rank").alias("rank"))
+    entries = [F.when(e.isNotNull(), F.struct(e["metric"].alias("metric"), e["labels"].alias("labels"), e["le"].alias("le"),
+                                              e["value"].alias("value"), F.lit(None).cast(wide).alias("rank"))) for e in plain]
+    rows = small.select(F.inline(F.array(*entries, F.when(F.col("version").isNotNull(), state)))).where("metric IS NOT NULL")
+    sums = rows.groupBy("metric", "labels", "le").agg(F.sum("value").alias("value"), F.max("rank").alias("rank"))
+    return sums.select("metric", "labels", "le", F.when(F.col("rank").isNotNull(), F.pmod("rank", F.lit(2)).cast("double"))
+                       .otherwise(F.col("value")).alias("value"))
 
 
 def metrics_snapshot(counter: DataFrame, conf_hist: DataFrame, lat_hist: DataFrame,
                      gauge: DataFrame) -> DataFrame:
-    """One (metric, labels, le, value) table."""
+    """S11 from its four parts, where these are tables already."""
+    none = F.lit(None).cast("string")
     a = counter.select(F.lit(METRIC_REQUESTS).alias("metric"),
-                       prom_labels(("category", F.col("category")),
-                                   ("status_code", F.col("status_code"))).alias("labels"),
-                       F.lit(None).cast("string").alias("le"), "value")
-    b = conf_hist.select("metric", F.lit("{}").alias("labels"), "le", "value")
-    c = lat_hist.select("metric", F.lit("{}").alias("labels"), "le", "value")
-    d = gauge.select(F.lit(METRIC_LOADED).alias("metric"),
-                     prom_labels(("version", F.col("version"))).alias("labels"),
-                     F.lit(None).cast("string").alias("le"), "value")
+                       label_text(("category", F.col("category")), ("status_code", F.col("status_code"))).alias("labels"),
+                       none.alias("le"), "value")
+    b, c = (h.select("metric", F.lit("{}").alias("labels"), "le", "value") for h in (conf_hist, lat_hist))
+    d = gauge.select(F.lit(METRIC_LOADED).alias("metric"), label_text(("version", F.col("version"))).alias("labels"),
+                     none.alias("le"), "value")
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
@@ -94,44 +113,81 @@ def rolling_mean(df: DataFrame, ts: str = "event_time", value: str = "confidence
                       F.col("n"), (F.col("s") / F.col("n")).alias("avg_confidence"))
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, accuracy: int = 10_000) -> float | None:
-    """The value of rank ``ceil(p * n)`` among the finite values.
-
-    A mergeable sketch proposes two values on both sides of the rank; exact
-    counts then tell whether one of them is the answer, or between, below or
-    above which of them it lies.  The search goes on there, without the two,
-    so it ends whatever the sketch says; a round leaves about 4 in
-    ``accuracy`` of the values, whatever their distribution, and ties end it
-    sooner.  Nothing is sorted or gathered.
+# Values of one range that a quantile search may bring to the driver, as
+# distinct values with their counts.
+GATHER_VALUES = 200_000
+
+
+def exact_quantiles(df: DataFrame, col: str, shares: list[float], accuracy: int = 10_000) -> list[float | None]:
+    """The values of rank ``ceil(p * n)`` among the finite values, for all
+    ``shares`` p at once.
+
+    One pass sketches a range around every rank; one pass counts, for all ranges
+    together, the values below, at and between their ends, which tells in which
+    range, or at which end, each rank lies; one pass counts the distinct values
+    inside the ranges that hold a rank.  Only where such a range has more than
+    ``GATHER_VALUES`` values it is sketched and counted again, so the search
+    ends whatever the sketch says.  Nothing is sorted or gathered but those
+    values.
     """
     v = df.select(F.col(col).cast("double").alias("v")).where(F.abs("v") < F.lit(math.inf))
-    n = v.count()
-    if not n:
-        return None
-    rank, low, high = max(1, math.ceil(p * n)), -math.inf, math.inf
-    while True:
-        inside = v.where((F.col("v") > F.lit(low)) & (F.col("v") < F.lit(high)))
-        share, off = rank / n, 2 / accuracy if n > accuracy else 0.0
-        at = F.array(F.lit(max(share - off, 0.0)), F.lit(min(share + off, 1.0)))
-        left, right = inside.agg(F.percentile_approx("v", at, accuracy)).first()[0]
-        below, to_left, before, to_right = inside.agg(
-            F.count_if(F.col("v") < F.lit(left)), F.count_if(F.col("v") <= F.lit(left)),
-            F.count_if(F.col("v") < F.lit(right)), F.count_if(F.col("v") <= F.lit(right))).first()
-        if rank <= below:
-            high, n = left, below
-        elif rank <= to_left:
-            return left
-        elif rank <= before:
-            low, high, rank, n = left, right, rank - to_left, before - to_left
-        elif rank <= to_right:
-            return right
-        else:
-            low, rank, n = right, rank - to_right, n - to_right
+    found: dict[int, float] = {}
+    open_ranks = [(i, p, None, -math.inf, math.inf, None) for i, p in enumerate(shares)]
+    while open_ranks:
+        # Ends around every rank that is still searched.
+        within = [(F.col("v") > F.lit(lo)) & (F.col("v") < F.lit(hi)) for _, _, _, lo, hi, _ in open_ranks]
+        asked = []
+        for (i, p, rank, lo, hi, n), here in zip(open_ranks, within):
+            share, off = (p if rank is None else rank / n), 2 / accuracy
+            ends = F.array(F.lit(max(share - off, 0.0)), F.lit(min(share + off, 1.0)))
+            asked += [F.percentile_approx(F.when(here, F.col("v")), ends, accuracy).alias(f"e{i}")]
+        ends = v.agg(F.count(F.lit(1)).alias("all"), *asked).first()
+        if not ends["all"]:
+            break
+        counts = []
+        for (i, *_), here in zip(open_ranks, within):
+            a, b = (F.lit(e) for e in ends[f"e{i}"])
+            counts += [F.count_if(here & c).alias(f"{k}{i}") for k, c in (
+                ("below", F.col("v") < a), ("upto", F.col("v") <= a), ("before", F.col("v") < b), ("through", F.col("v") <= b),
+                ("inside", F.lit(True)))]
+        seen = v.agg(*counts).first()
+        left, few = [], []
+        for i, p, rank, lo, hi, _ in open_ranks:
+            a, b = ends[f"e{i}"]
+            rank = rank or max(1, math.ceil(p * ends["all"]))
+            below, upto, before, through, inside = (seen[f"{k}{i}"] for k in ("below", "upto", "before", "through", "inside"))
+            if below < rank <= upto:
+                found[i] = a
+            elif before < rank <= through:
+                found[i] = b
+            else:
+                now = ((i, p, rank, lo, a, below) if rank <= below else (i, p, rank - upto, a, b, before - upto)
+                       if rank <= before else (i, p, rank - through, b, hi, inside - through))
+                (few if now[5] <= GATHER_VALUES else left).append(now)
+        if few:
+            held = [(F.col("v") > F.lit(lo)) & (F.col("v") < F.lit(hi)) for _, _, _, lo, hi, _ in few]
+            near = held[0]
+            for h in held[1:]:
+                near = near | h
+            values = sorted(tuple(r) for r in v.where(near).groupBy("v").count().collect())
+            for i, _, rank, lo, hi, _ in few:
+                for value, n in values:
+                    if lo < value < hi:
+                        rank -= n
+                        if rank <= 0:
+                            found[i] = value
+                            break
+        open_ranks = left
+    return [found.get(i) for i in range(len(shares))]
+
+
+def exact_quantile(df: DataFrame, col: str, p: float, accuracy: int = 10_000) -> float | None:
+    return exact_quantiles(df, col, [p], accuracy)[0]
 
 
 def latency_percentiles(latencies: DataFrame, col: str = "latency_s") -> DataFrame:
-    """Exact P90 / P95 at every size (``exact_quantile``)."""
-    row = (exact_quantile(latencies, col, 0.9), exact_quantile(latencies, col, 0.95))
+    """Exact P90 / P95 at every size (``exact_quantiles``)."""
+    row = tuple(exact_quantiles(latencies, col, [0.9, 0.95]))
     return latencies.sparkSession.createDataFrame([row], "p90 double, p95 double")
 
 

@@ -1,7 +1,7 @@
 """Inference (I1-I6): a linear one-vs-rest text model applied relationally.
 
 A model is a bounded table ``(term, idf, w_0 .. w_{K-1})`` (at most
-``MAX_FEATURES`` rows) plus K intercepts.  Scoring a record:
+``MAX_TERMS`` rows) plus K intercepts.  Scoring a record:
 
     x_t  = tf_t * idf_t / || tf * idf ||_2      (in-vocabulary terms only)
     m_k  = b_k + sum_t w_kt * x_t               (I1)
@@ -9,16 +9,10 @@ A model is a bounded table ``(term, idf, w_0 .. w_{K-1})`` (at most
     category = argmax_k m_k, ties to the first class (I2)
     confidence = p_category                      (I4)
 
-Plan (small term tables, ``in_row``): counts, lookup in a literal map and
-sums all happen inside each row; the plan is narrow (no join, no shuffle).
-
-Plan (larger tables, ``join``): term counts are computed inside each row
-(no shuffle), exploded and looked up with a broadcast hash join against the
-bounded term table; one
-aggregate per record (partial aggregation map-side, so each record
-crosses the network once, with its columns) gives the sums.  A record
-without a known term keeps its row (outer explode, left join) and is decided
-by the intercepts alone.
+One plan for every size of the table: a record's terms are counted in the row,
+become a sparse vector of term numbers and values there, and the dot products
+run over that vector and constant arrays of weights (``functions/vectors.py``).
+No join and no shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +22,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.constants import MAX_FEATURES, REVIEW_THRESHOLD, UNKNOWN_VERSION
+from logsift.constants import REVIEW_THRESHOLD, UNKNOWN_VERSION
 from logsift.functions.text import term_counts, with_terms
+from logsift.functions.vectors import MAX_TERMS, Vocabulary, norm, total
 
 
 @dataclass
@@ -42,126 +37,46 @@ class TextModel:
     ngram_max: int = 2
     extra: dict = field(default_factory=dict)
 
+    def vocabulary(self) -> Vocabulary:
+        """The term table as a constant; read once, at most ``MAX_TERMS`` rows."""
+        if "vocabulary" not in self.extra:
+            rows = self.extra.get("rows") or [tuple(r) for r in self.terms.limit(MAX_TERMS + 1).collect()]
+            columns = list(zip(*rows)) or [()] * (2 + len(self.classes))
+            self.extra["vocabulary"] = Vocabulary(columns[0], **dict(zip(["idf", *self.weight_cols], columns[1:])))
+        return self.extra["vocabulary"]
+
     @property
     def weight_cols(self) -> list[str]:
         return [f"w_{i}" for i in range(len(self.classes))]
 
 
-def bounded_broadcast(df: DataFrame, n_rows: int, limit: int = MAX_FEATURES * 4) -> DataFrame:
-    """Broadcast only a side whose row count is known and bounded; beyond the
-    bound the planner's own join choice (sort-merge) applies."""
-    return F.broadcast(df) if n_rows <= limit else df
-
-
-def term_hits(df: DataFrame, model: TextModel, text: str, outer: bool = False) -> DataFrame:
-    """Rows of ``df`` times their in-vocabulary terms, with ``tf``, ``idf`` and
-    the class weights.  Counting happens inside each row; the join against
-    the bounded term table is a broadcast hash join.  ``outer`` keeps records
-    without any known term (weights null)."""
-    counted = term_counts(with_terms(df, text, "_terms", model.ngram_max), F.col("_terms"),
-                          "_counts").drop("_terms")
-    # Always the outer generator (see ``features.term_freq``).
-    occ = counted.select("*", F.explode_outer("_counts").alias("_tc")).select(
-        *df.columns, F.col("_tc.term").alias("term"), F.col("_tc.tf").alias("tf"))
-    if not outer:
-        occ = occ.where(F.col("term").isNotNull())
-    return occ.join(bounded_broadcast(model.terms, model.n_terms), "term",
-                    "left" if outer else "inner")
-
-
-# Term tables up to this size are looked up inside the row (a literal map):
-# no join and no shuffle.  Without an aggregate between the scan and the
-# outputs, a later filter on ``confidence`` would be pushed down through
-# every projection with the aliases substituted at each layer, and the
-# inlined expression would grow multiplicatively (measured: a filtered query
-# that did not finish); the sums therefore leave through a one-element
-# generator, which push-down does not cross.
-IN_ROW_MAX_TERMS = 256
-
-
-def _term_map(model: TextModel) -> Column:
-    """The term table as a literal map term -> struct(idf, w_0..w_{K-1});
-    only for tables of at most ``IN_ROW_MAX_TERMS`` rows."""
-    rows = model.terms.limit(IN_ROW_MAX_TERMS + 1).collect()
-    if len(rows) > IN_ROW_MAX_TERMS:
-        raise ValueError(f"term table has more than {IN_ROW_MAX_TERMS} rows")
-    keys, vals = [], []
-    for r in rows:
-        keys.append(F.lit(r["term"]))
-        vals.append(F.struct(F.lit(float(r["idf"])).alias("idf"),
-                             *[F.lit(float(r[w])).alias(w) for w in model.weight_cols]))
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
-
-
-def margins_in_row(df: DataFrame, model: TextModel, text: str = "message") -> DataFrame:
-    """I1 for a small term table, entirely inside each row: in-row term
-    counts, literal-map lookup, sums with ``aggregate``.  Narrow plan."""
-    m = _term_map(model)
-    counted = term_counts(with_terms(df, text, "_terms", model.ngram_max), F.col("_terms"),
-                          "_counts")
-    hits = counted.select(*df.columns, F.filter(
-        F.transform("_counts", lambda c: F.struct(
-            c["tf"].cast("double").alias("tf"), F.try_element_at(m, c["term"]).alias("v"))),
-        lambda h: h["v"].isNotNull()).alias("_hits"))
-
-    def total(f):
-        return F.aggregate("_hits", F.lit(0.0), lambda acc, h: acc + f(h))
-
-    def x(h):
-        return h["tf"] * h["v"]["idf"]
-
-    sums = F.struct(total(lambda h: x(h) * x(h)).alias("_ss"),
-                    *[total(lambda h, w=w: x(h) * h["v"][w]).alias(f"_d{i}")
+def margins(df: DataFrame, model: TextModel, text: str = "message") -> DataFrame:
+    """``df`` plus ``m_<class>`` margin columns, one row per record, with
+    whatever columns and repeated keys it has.  A record without a known term
+    is decided by the intercepts.
+
+    The sums leave through a one-element generator: a later filter on the
+    scores can be pushed down to the generator but not below it, so the
+    counting expressions are never inlined into a pushed-down predicate
+    (measured: a filtered query that did not finish).
+    """
+    vocabulary = model.vocabulary()
+    counted = term_counts(with_terms(df, text, "_terms", model.ngram_max), F.col("_terms"), "_counts")
+    hits = counted.select(*df.columns, vocabulary.vector(F.col("_counts"), "idf").alias("_hits"))
+    sums = F.struct(norm(F.col("_hits")).alias("_norm"),
+                    *[total(F.col("_hits"), lambda h, w=w: h["x"] * vocabulary.at(w, h["i"])).alias(f"_d{i}")
                       for i, w in enumerate(model.weight_cols)])
-    # The sums leave through a one-element generator: a later filter on the
-    # scores can be pushed down to the generator but not below it, so the
-    # counting expressions are never inlined into a pushed-down predicate.
-    out = hits.select(*df.columns, F.inline(F.array(sums)))
-    return out.select(*df.columns, *_margin_cols(model))
+    return hits.select(*df.columns, F.inline(F.array(sums))).select(*df.columns, *_margin_cols(model))
 
 
 def _margin_cols(model: TextModel) -> list[Column]:
-    norm = F.sqrt(F.col("_ss"))
     return [
-        (F.lit(float(b)) + F.coalesce(F.try_divide(F.col(f"_d{i}"), norm), F.lit(0.0)))
+        (F.lit(float(b)) + F.coalesce(F.try_divide(F.col(f"_d{i}"), F.col("_norm")), F.lit(0.0)))
         .alias(f"m_{c}")
         for i, (c, b) in enumerate(zip(model.classes, model.intercepts))
     ]
 
 
-def margins(df: DataFrame, model: TextModel, key: str = "rid",
-            text: str = "message", method: str = "auto") -> DataFrame:
-    """``df`` plus ``m_<class>`` margin columns, one row per record.
-
-    ``method``: ``in_row`` (term tables of at most ``IN_ROW_MAX_TERMS``
-    rows; no join, no shuffle), ``join`` (broadcast join + per-record
-    aggregate; any bounded table) or ``auto`` (in-row when small enough).
-
-    ``key`` is not read: both forms keep every row, whatever its key.  The
-    per-record aggregate carries the record's columns along with ``first()`` (map-side partial
-    aggregation collapses a record's terms to one row before the only
-    shuffle).  String buffers make this a sort-based aggregate; grouping by
-    all carried columns instead (hash aggregate) measured slower, because
-    the message is hashed once per term.  Trained models can avoid the
-    shuffle altogether with ``pipeline_score``.
-    """
-    if method == "auto":
-        method = "in_row" if model.n_terms <= IN_ROW_MAX_TERMS else "join"
-    if method == "in_row":
-        if model.n_terms > IN_ROW_MAX_TERMS:
-            raise ValueError("in-row scoring needs a term table of at most "
-                             f"{IN_ROW_MAX_TERMS} rows")
-        return margins_in_row(df, model, text)
-    # A key of our own: the records' may repeat or be null.
-    hits = term_hits(df.withColumn("_row", F.monotonically_increasing_id()), model, text, outer=True)
-    x = F.col("tf") * F.col("idf")
-    per = hits.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in df.columns],
-        F.sum(x * x).alias("_ss"),
-        *[F.sum(x * F.col(w)).alias(f"_d{i}") for i, w in enumerate(model.weight_cols)])
-    return per.select(*df.columns, *_margin_cols(model))
-
-
 def sigmoid(m: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-m))
 
@@ -191,11 +106,10 @@ def needs_review(confidence: Column, threshold: float = REVIEW_THRESHOLD) -> Col
     return confidence < F.lit(threshold)
 
 
-def score(df: DataFrame, model: TextModel, key: str = "rid", text: str = "message",
-          keep_internals: bool = False, method: str = "auto") -> DataFrame:
+def score(df: DataFrame, model: TextModel, text: str = "message", keep_internals: bool = False) -> DataFrame:
     """Records in, records + category, confidence, needs_review,
     model_version out (one row per input row)."""
-    scored = classify(margins(df, model, key, text, method), model.classes)
+    scored = classify(margins(df, model, text), model.classes)
     scored = scored.withColumn("needs_review", needs_review(F.col("confidence")))
     scored = scored.withColumn(
         "model_version", F.coalesce(F.lit(model.version), F.lit(UNKNOWN_VERSION)))

@@ -51,12 +51,7 @@ def fit_vocabulary(train: DataFrame, key: str, text: str, k: int = MAX_FEATURES,
     """(terms, idf, n_docs) of the training texts; terms in rank order."""
     tf = features.term_freq(train.select(key, text), key, text, ngram_max)
     n_docs = train.count()
-    vocab = features.vocabulary(features.doc_freq(tf, key), k)
-    rows = vocab.select("term", "df", "rank").collect()          # at most k rows
-    rows.sort(key=lambda r: r["rank"])
-    terms = [r["term"] for r in rows]
-    idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows]
-    return terms, idf, n_docs
+    return *features.fitted_idf(tf, n_docs, k, key), n_docs
 
 
 def featurize(df: DataFrame, text: str, terms: list[str], idf: list[float],
@@ -147,7 +142,7 @@ def train_text_model(train: DataFrame, key: str = "rid", text: str = "message",
     term_df = spark.createDataFrame(rows, schema) if rows else spark.createDataFrame([], schema)
     return TextModel(classes=classes, terms=term_df, intercepts=intercepts, n_terms=len(rows),
                      version=version or UNKNOWN_VERSION, ngram_max=ngram_max,
-                     extra={"summary": summary, "n_train": n, "pipeline": pipeline})
+                     extra={"summary": summary, "n_train": n, "pipeline": pipeline, "rows": rows})
 
 
 def summary_frame(model: TextModel) -> DataFrame:

@@ -8,8 +8,12 @@ The values are this project's choice; classes are in alphabetical order
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import hashlib
 
+from pyspark.sql import DataFrame, SparkSession
+
+from logsift.constants import BUCKETS
+from logsift.operators import features
 from logsift.operators.score import TextModel
 
 FIXED_CLASSES = ["error", "noise", "security", "warning"]
@@ -61,4 +65,25 @@ def fixed_model(spark: SparkSession) -> TextModel:
     terms = spark.createDataFrame(FIXED_TERMS, schema)
     return TextModel(classes=list(FIXED_CLASSES), terms=terms,
                      intercepts=list(FIXED_INTERCEPTS), n_terms=len(FIXED_TERMS),
-                     version=FIXED_VERSION)
+                     version=FIXED_VERSION, extra={"rows": list(FIXED_TERMS)})
+
+
+# A model as wide as the vocabulary cap: the corpus' own terms and IDF, weights
+# by md5 bucket of term and class.
+WIDE_CLASSES = ["de", "en", "es", "fr"]
+WIDE_INTERCEPTS = [0.2, -0.3, 0.1, 0.0]
+WIDE_VERSION = "wide-1"
+WIDE_CENTRE, WIDE_SCALE = BUCKETS // 2, 1000.0
+
+
+def wide_weight(term: str, label: str) -> float:
+    bucket = int(hashlib.md5(f"{term}w_{label}".encode()).hexdigest()[:8], 16) % BUCKETS
+    return (bucket - WIDE_CENTRE) / WIDE_SCALE
+
+
+def wide_model(docs: DataFrame, key: str = "doc_id", text: str = "text") -> TextModel:
+    terms, idf = features.fitted_idf(features.term_freq(docs, key, text), docs.count(), key=key)
+    rows = [(t, x, *[wide_weight(t, c) for c in WIDE_CLASSES]) for t, x in zip(terms, idf)]
+    columns = ", ".join(f"w_{i} double" for i in range(len(WIDE_CLASSES)))
+    return TextModel(classes=list(WIDE_CLASSES), terms=docs.sparkSession.createDataFrame(rows, f"term string, idf double, {columns}"),
+                     intercepts=list(WIDE_INTERCEPTS), n_terms=len(rows), version=WIDE_VERSION, extra={"rows": rows})

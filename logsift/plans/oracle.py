@@ -22,7 +22,8 @@ from logsift.functions.histogram import bound_label
 from logsift.operators.corpus import (AMBIGUOUS_TEMPLATES, CLEAR_TEMPLATES,
                                       SLOT_CHOICES, SLOT_NUMBERS, template_parts)
 from logsift.plans.fixed_model import (FIXED_CLASSES, FIXED_INTERCEPTS, FIXED_TERMS,
-                                       FIXED_VERSION)
+                                       FIXED_VERSION, WIDE_CENTRE, WIDE_CLASSES, WIDE_INTERCEPTS,
+                                       WIDE_SCALE, WIDE_VERSION)
 from logsift.plans.views import LIFECYCLE_VERSIONS
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
@@ -110,31 +111,40 @@ def terms_sql(text_sql: str) -> str:
     return f"regexp_extract_all(lower({text_sql}), '{TOKEN_RE}')"
 
 
-def scored_cte(where: str = "") -> str:
-    k = len(FIXED_CLASSES)
+def _sums_sql(k: int, key: str, model: str = "model") -> str:
+    """Squared norm and dot products of the records' terms ``tf``."""
     d_cols = ", ".join(f"sum(x * w_{i}) AS d{i}" for i in range(k))
+    return f"""hit AS (SELECT tf.{key}, tf.tf * {model}.idf AS x, {model}.* FROM tf JOIN {model} USING (term)),
+sums AS (SELECT {key}, sum(x * x) AS ss, {d_cols} FROM hit GROUP BY {key})"""
+
+
+def _decide_sql(classes, intercepts, version: str, rows: str, key: str) -> str:
+    """Margins, probabilities and decision of the records ``rows``."""
     margins = ", ".join(
         f"{float(b)!r} + coalesce(d{i} / sqrt(ss), 0.0) AS m_{c}"
-        for i, (c, b) in enumerate(zip(FIXED_CLASSES, FIXED_INTERCEPTS)))
-    sig = ", ".join(f"1.0 / (1.0 + exp(-m_{c})) AS s_{c}" for c in FIXED_CLASSES)
-    total = " + ".join(f"s_{c}" for c in FIXED_CLASSES)
-    probs = ", ".join(f"s_{c} / ({total}) AS p_{c}" for c in FIXED_CLASSES)
-    best = "greatest(" + ", ".join(f"m_{c}" for c in FIXED_CLASSES) + ")"
-    cat = "CASE " + " ".join(f"WHEN m_{c} = {best} THEN {q(c)}" for c in FIXED_CLASSES) + " END"
-    conf = "CASE " + " ".join(f"WHEN m_{c} = {best} THEN p_{c}" for c in FIXED_CLASSES) + " END"
+        for i, (c, b) in enumerate(zip(classes, intercepts)))
+    sig = ", ".join(f"1.0 / (1.0 + exp(-m_{c})) AS s_{c}" for c in classes)
+    all_s = " + ".join(f"s_{c}" for c in classes)
+    probs = ", ".join(f"s_{c} / ({all_s}) AS p_{c}" for c in classes)
+    best = "greatest(" + ", ".join(f"m_{c}" for c in classes) + ")"
+    cat = "CASE " + " ".join(f"WHEN m_{c} = {best} THEN {q(c)}" for c in classes) + " END"
+    conf = "CASE " + " ".join(f"WHEN m_{c} = {best} THEN p_{c}" for c in classes) + " END"
+    return f"""marg AS (SELECT {rows}.*, {margins} FROM {rows} LEFT JOIN sums USING ({key})),
+sig AS (SELECT *, {sig} FROM marg),
+prob AS (SELECT *, {probs} FROM sig),
+scored AS (SELECT *, {cat} AS category, {conf} AS confidence,
+                  ({conf}) < {REVIEW_THRESHOLD} AS needs_review,
+                  {q(version)} AS model_version FROM prob)"""
+
+
+def scored_cte(where: str = "") -> str:
     return f"""{_model_values()},
 slog AS (SELECT * FROM logs {where}),
 tok AS (SELECT rid, {terms_sql('message')} AS t FROM slog),
 trm AS (SELECT rid, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))])) AS term FROM tok),
 tf AS (SELECT rid, term, count(*) AS tf FROM trm GROUP BY rid, term),
-hit AS (SELECT tf.rid, tf.tf * model.idf AS x, model.* FROM tf JOIN model USING (term)),
-sums AS (SELECT rid, sum(x * x) AS ss, {d_cols} FROM hit GROUP BY rid),
-marg AS (SELECT slog.*, {margins} FROM slog LEFT JOIN sums USING (rid)),
-sig AS (SELECT *, {sig} FROM marg),
-prob AS (SELECT *, {probs} FROM sig),
-scored AS (SELECT *, {cat} AS category, {conf} AS confidence,
-                  ({conf}) < {REVIEW_THRESHOLD} AS needs_review,
-                  {q(FIXED_VERSION)} AS model_version FROM prob)"""
+{_sums_sql(len(FIXED_CLASSES), 'rid')},
+{_decide_sql(FIXED_CLASSES, FIXED_INTERCEPTS, FIXED_VERSION, 'slog', 'rid')}"""
 
 
 def with_logs(body: str) -> str:
@@ -376,6 +386,15 @@ SELECT class, CAST(row_number() OVER (ORDER BY class) - 1 AS INTEGER) AS label_i
         f"SELECT log_id, \"timestamp\", category, {r('confidence')} AS confidence, needs_review FROM scored "
         f"WHERE confidence < {REVIEW_THRESHOLD} ORDER BY \"timestamp\", log_id LIMIT 15")
 
+    wide = ", ".join(f"({bucket_sql('term', f'w_{c}')} - {WIDE_CENTRE}) / {WIDE_SCALE!r} AS w_{i}" for i, c in enumerate(WIDE_CLASSES))
+    s["score_documents_wide"] = (
+        f"{docs_all},\n{_idf_cte('dtf', 'SELECT count(*) FROM documents')},\n"
+        f"wide AS (SELECT term, idf, {wide} FROM idf),\ntf AS (SELECT * FROM dtf),\n"
+        f"{_sums_sql(len(WIDE_CLASSES), 'doc_id', 'wide')},\n"
+        f"{_decide_sql(WIDE_CLASSES, WIDE_INTERCEPTS, WIDE_VERSION, 'documents', 'doc_id')}\n"
+        f"SELECT doc_id, category, {r('confidence')} AS confidence, needs_review, model_version, "
+        + ", ".join(f"{r('m_' + c)} AS m_{c}" for c in WIDE_CLASSES) + " FROM scored")
+
     # evaluation on the test split
     s["confusion_matrix"] = with_scored(
         "SELECT true_label, category, count(*) AS n FROM scored GROUP BY 1, 2", TEST)

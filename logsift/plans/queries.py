@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.operators import alerts, evaluate, feedback, features, metrics, validate
+from logsift.operators import alerts, evaluate, feedback, features, metrics, rollup, validate
 from logsift.operators.corpus import (LABELLED_COLUMNS, class_mix_resample)
+from logsift.operators.score import score
 from logsift.plans import views
+from logsift.plans.fixed_model import wide_model
+from logsift.session import stored
 from logsift.sources import envelope
 from logsift.sources.tables import read_table
 
@@ -145,28 +148,23 @@ def q_vocabulary_topk(spark, sf):
     return features.vocabulary(features.doc_freq(features.term_freq(_docs(spark, sf))))
 
 
-def _idf(spark, sf, docs):
-    tf = features.term_freq(docs)
-    n_docs = docs.select(F.count(F.lit(1))).scalar()      # scalar subquery, lazy
-    return tf, features.idf_table(features.doc_freq(tf), n_docs)
-
-
 def q_idf(spark, sf):
-    _, idf = _idf(spark, sf, _docs(spark, sf))
-    return rounded(idf)
+    docs = _docs(spark, sf)
+    n_docs = docs.select(F.count(F.lit(1))).scalar()      # scalar subquery, lazy
+    return rounded(features.idf_table(features.doc_freq(features.term_freq(docs)), n_docs))
 
 
 def q_tfidf(spark, sf):
-    tf, idf = _idf(spark, sf, _docs(spark, sf))
-    return rounded(features.tfidf(tf, idf))
+    """The corpus is tokenised once, into a table of counted documents."""
+    counts = stored(features.counted(_docs(spark, sf)), "counts")
+    return rounded(features.tfidf(counts, features.fit(counts)))
 
 
 def q_oov_transform(spark, sf):
-    docs = views.documents(spark, sf)
-    train = docs.where(F.col("split") == "train").select("doc_id", "text")
-    test = docs.where(F.col("split") == "test").select("doc_id", "text")
-    _, idf = _idf(spark, sf, train)
-    return rounded(features.tfidf(features.term_freq(test), idf))
+    docs = views.documents(spark, sf).select("doc_id", "split", "text")
+    counts = stored(features.counted(docs), "counts")
+    train, test = (counts.where(F.col("split") == s) for s in ("train", "test"))
+    return rounded(features.tfidf(test, features.fit(train)))
 
 
 def q_label_index(spark, sf):
@@ -223,6 +221,14 @@ def q_score_logs(spark, sf):
                             "confidence", "needs_review", "model_version"))
 
 
+def q_score_documents_wide(spark, sf):
+    """A model of up to 5000 terms over whole documents."""
+    docs = _docs(spark, sf)
+    s = score(docs, wide_model(docs), text="text", keep_internals=True)
+    return rounded(s.select("doc_id", "category", "confidence", "needs_review", "model_version",
+                            *[c for c in s.columns if c.startswith("m_")]))
+
+
 def q_needs_review(spark, sf):
     return rounded(_scored(spark, sf).select("log_id", "confidence", "needs_review"))
 
@@ -277,12 +283,7 @@ def q_model_loaded_gauge(spark, sf):
 
 
 def q_metrics_snapshot(spark, sf):
-    s = _scored(spark, sf)
-    lat = views.latencies(spark, sf)
-    snap = metrics.metrics_snapshot(
-        metrics.request_counter(s), metrics.confidence_histogram(s),
-        metrics.latency_histogram(lat), metrics.model_loaded_gauge(views.lifecycle(spark, sf)))
-    return rounded(snap)
+    return rounded(metrics.served_metrics(views.served(spark, sf)))
 
 
 def q_rolling_confidence(spark, sf):
@@ -320,8 +321,7 @@ def q_alert_payload(spark, sf):
 
 
 def q_alert_summary(spark, sf):
-    s = _scored(spark, sf)
-    return alerts.alert_summary(alerts.route(s), alerts.drift_alerts(metrics.rolling_mean(s)))
+    return rollup.alert_summary(rollup.rollup(_scored(spark, sf)))
 
 
 # --- feedback --------------------------------------------------------------------------
@@ -350,9 +350,7 @@ def q_retraining_set(spark, sf):
 
 
 def q_review_backlog(spark, sf):
-    s = _scored(spark, sf)
-    return rounded(feedback.review_backlog(s, views.reviews(s)).select(
-        "log_id", "category", "confidence"))
+    return rounded(feedback.open_records(views.flagged_entries(_scored(spark, sf))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

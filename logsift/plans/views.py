@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.constants import (BUCKETS, CANARY_SHARE, DOUBLE_REVIEW_SHARE, REQUEST_SIZE,
@@ -23,8 +23,8 @@ from logsift.sources.tables import events, read_table
 
 LIFECYCLE_VERSIONS = ["v1", "v2", "v3"]
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_view(events(spark, sf_dir)).withColumn("split", split_of(F.col("rid")))
+def logs(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return log_view(events(spark, sf_dir), carry=carry).withColumn("split", split_of(F.col("rid")))
 
 
 def scored(spark: SparkSession, sf_dir: str, model: TextModel | None = None,
@@ -55,30 +55,53 @@ def reviews(scored_df: DataFrame) -> DataFrame:
     """Feedback rows: a share of flagged records got a correction an hour
     after the event (true label); a share of those had an earlier one at 30
     minutes that kept the prediction, so duplicates exist per ``log_id``."""
-    flagged = scored_df.where(F.col("needs_review")).where(
-        bucket(F.col("rid"), "reviewed") < F.lit(int(round(REVIEWED_SHARE * BUCKETS))))
-    final = flagged.select(
-        (F.col("rid") * 2 + 1).alias("id"), "log_id", "message",
-        F.col("category").alias("predicted_category"),
-        F.col("true_label").alias("true_category"),
-        (F.col("event_time") + F.expr("INTERVAL 1 HOUR")).alias("timestamp"))
-    first = flagged.where(
-        bucket(F.col("rid"), "double") < F.lit(int(round(DOUBLE_REVIEW_SHARE * BUCKETS)))).select(
-        (F.col("rid") * 2).alias("id"), "log_id", "message",
-        F.col("category").alias("predicted_category"),
-        F.col("category").alias("true_category"),
-        (F.col("event_time") + F.expr("INTERVAL 30 MINUTES")).alias("timestamp"))
-    return final.unionByName(first)
+    return flagged_entries(scored_df, with_records=False).select("entry.*")
+
+
+def flagged_entries(scored_df: DataFrame, with_records: bool = True) -> DataFrame:
+    """Flagged records and their feedback from one pass: ``(log_id, category,
+    confidence, entry)``, a row for each record (``entry`` null) and one for
+    each of its feedback rows."""
+    rid = F.col("rid")
+
+    def fed(n: int, label: str, after: str):
+        return F.struct((rid * 2 + n).alias("id"), "log_id", "message", F.col("category").alias("predicted_category"),
+                        F.col(label).alias("true_category"), (F.col("event_time") + F.expr(f"INTERVAL {after}")).alias("timestamp"))
+
+    reviewed = bucket(rid, "reviewed") < F.lit(int(round(REVIEWED_SHARE * BUCKETS)))
+    twice = reviewed & (bucket(rid, "double") < F.lit(int(round(DOUBLE_REVIEW_SHARE * BUCKETS))))
+    last, first = fed(1, "true_label", "1 HOUR"), fed(0, "category", "30 MINUTES")
+    entries = F.when(twice, F.array(last, first)).when(reviewed, F.array(last))
+    flagged = scored_df.where(F.col("needs_review"))
+    if with_records:
+        entries = F.concat(F.array(F.lit(None).cast(_FEEDBACK)), F.coalesce(entries, F.array().cast(f"array<{_FEEDBACK}>")))
+    return flagged.select("log_id", "category", "confidence", F.explode(entries).alias("entry"))
+
+
+_FEEDBACK = ("struct<id: bigint, log_id: string, message: string, predicted_category: string, true_category: string, "
+             "timestamp: timestamp>")
+
+
+def served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored records with their request's duration and the model state that
+    their event reports, from one scan of ``events``."""
+    s = score(logs(spark, sf_dir, carry=("event_type", "value")), fixed_model(spark))
+    return s.select("category", "confidence", (F.col("value") / F.lit(1000.0)).alias("latency_s"),
+                    F.when(F.col("event_type").isin("signup", "error"), reported_version(F.col("rid"))).alias("version"),
+                    F.col("event_time").alias("ts"), F.col("rid").alias("seq"),
+                    (F.col("event_type") == "signup").cast("int").alias("state"))
+
+
+def reported_version(key: Column) -> Column:
+    versions = F.array(*[F.lit(v) for v in LIFECYCLE_VERSIONS])
+    return F.element_at(versions, (bucket(key, "version") % F.lit(len(LIFECYCLE_VERSIONS))).cast("int") + 1)
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(version, ts, seq, value): a ``signup`` event loads a model version
     (1), an ``error`` event unloads it (0); the version is an md5 pick."""
     ev = events(spark, sf_dir).where(F.col("event_type").isin("signup", "error"))
-    versions = F.array(*[F.lit(v) for v in LIFECYCLE_VERSIONS])
-    v = F.element_at(versions, (bucket(F.col("event_id"), "version")
-                                % F.lit(len(LIFECYCLE_VERSIONS))).cast("int") + 1)
-    return ev.select(v.alias("version"), "ts", F.col("event_id").alias("seq"),
+    return ev.select(reported_version(F.col("event_id")).alias("version"), "ts", F.col("event_id").alias("seq"),
                      F.when(F.col("event_type") == "signup", F.lit(1)).otherwise(F.lit(0))
                      .alias("value"))
 

@@ -6,16 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a plain scan, from the planner's statistics."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan of a single split over the default parallelism.
+    """Deal a small scan over the default parallelism.
 
-    One split holds at most ``spark.sql.files.maxPartitionBytes``, so this
-    never moves more than that; every larger scan is left as the reader
-    splits it.
+    A file's rows are read by the split that holds the middle of their row
+    group, so a small file with one row group is one task, however many splits
+    it has.  A scan of at most ``spark.sql.files.maxPartitionBytes`` in fewer
+    files than the parallelism is dealt row by row, which never moves more than
+    those bytes; every larger scan is left as the reader splits it.
     """
-    if df.rdd.getNumPartitions() != 1:
+    spark = df.sparkSession
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    parallelism = spark.sparkContext.defaultParallelism
+    if scan_bytes(df) > most or len(df.inputFiles()) >= parallelism:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parallelism)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

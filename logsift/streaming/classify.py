@@ -91,7 +91,7 @@ def classify_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str)
     if pipeline is not None:      # row-local: no shuffle in the micro-batch
         scored = score_pipeline(valid, pipeline, model.classes, model.version).persist()
     else:
-        scored = score(valid, model, key="log_id", text="message").persist()
+        scored = score(valid, model).persist()
     try:
         bid = F.lit(int(batch_id)).cast("long").alias("batch_id")
         _write(scored.select(*RESULT_COLUMNS, bid), f"{out}/results")
@@ -210,7 +210,7 @@ def respond_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str) -
         if pipeline is not None:
             scored = score_pipeline(valid, pipeline, model.classes, model.version)
         else:
-            scored = score(valid, model, key="log_id", text="message")
+            scored = score(valid, model)
         results = collect_results(scored)
         rejected = bad.groupBy("request_id").agg(F.count(F.lit(1)).alias("_bad"))
         empty = F.array().cast(results.schema["results"].dataType)

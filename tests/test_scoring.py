@@ -3,10 +3,14 @@
 import math
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
+from logsift.functions.vectors import MAX_TERMS, Vocabulary
 from logsift.plans import views
 from logsift.plans.fixed_model import (FIXED_CLASSES, FIXED_INTERCEPTS, FIXED_TERMS,
                                        fixed_model)
-from logsift.operators.score import score
+from logsift.operators.score import TextModel, score
 from tests.conftest import SF_SMALL
 from tests.test_text import py_terms
 
@@ -44,14 +48,6 @@ def test_record_without_known_terms_keeps_its_row(spark):
     assert out[4].category == "noise" and out[4].confidence > out[1].confidence
 
 
-def test_scorer_plan_single_shuffle(spark):
-    plan = score(views.logs(spark, SF_SMALL), fixed_model(spark), method="join")._jdf \
-        .queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "BroadcastHashJoin" in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     from logsift.plans import views as V
     plan = V.lifecycle(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
@@ -59,24 +55,32 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in plan
 
 
-def test_in_row_and_join_scorers_agree(spark):
-    lv = views.logs(spark, SF_SMALL)
-    m = fixed_model(spark)
-    a = {r.rid: r for r in score(lv, m, method="in_row", keep_internals=True).collect()}
-    b = {r.rid: r for r in score(lv, m, method="join", keep_internals=True).collect()}
-    assert a.keys() == b.keys()
-    for rid in a:
-        assert a[rid].category == b[rid].category
-        for c in m.classes:
-            assert abs(a[rid][f"m_{c}"] - b[rid][f"m_{c}"]) < 1e-12
-    plan = score(lv, m, method="in_row")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan and "Join" not in plan
-
-
-def test_both_forms_keep_rows_of_repeated_and_null_keys(spark):
+def test_plan_has_no_exchange_and_no_join(spark):
+    df = spark.range(10, numPartitions=2).select(F.col("id").cast("string").alias("message"))
+    plan = score(df, fixed_model(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_repeated_and_null_keys_keep_their_rows(spark):
     rows = [("k", "early round done, 40 trays counted"), ("k", "guard called, cloned badge at yard gate"),
             (None, "bed-7 drifting, rising heat"), (None, "nothing known"), ("k", "nothing known")]
     df = spark.createDataFrame(rows, "rid string, message string")
-    got = [sorted((str(r.rid), r.message, r.category, round(r.confidence, 9))
-                  for r in score(df, fixed_model(spark), method=m).collect()) for m in ("in_row", "join")]
-    assert got[0] == got[1] and len(got[0]) == len(rows)
+    got = sorted((str(r.rid), r.message, r.category) for r in score(df, fixed_model(spark)).collect())
+    assert got == sorted((str(k), m, brute(m)[0]) for k, m in rows)
+
+
+def test_vocabulary_finds_every_term_and_no_other(spark):
+    terms = [f"t{i}" for i in range(5000)] + ["", "\u00e9\u6771", 'a "b" \\ c', "x" * 5000]
+    v = Vocabulary(terms, idf=[i / 7 for i in range(len(terms))])
+    df = spark.createDataFrame([(t,) for t in terms] + [("t5000",), ("T1",), (None,)], "t string")
+    got = [(r.t, r.i, r.x) for r in df.select("t", v.number(F.col("t")).alias("i")).select("t", "i", v.at("idf", F.col("i")).alias("x")).collect()]
+    want = [(t, i, i / 7) for i, t in enumerate(terms)] + [(t, None, None) for t in ("t5000", "T1", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        Vocabulary(["x"] * (MAX_TERMS + 1))
+
+
+def test_empty_model_decides_by_intercepts(spark):
+    none = spark.createDataFrame([], "term string, idf double, w_0 double, w_1 double")
+    m = TextModel(classes=["a", "b"], terms=none, intercepts=[0.0, 1.0], n_terms=0)
+    assert [r.category for r in score(spark.createDataFrame([("x y",)], "message string"), m).collect()] == ["b"]

@@ -32,7 +32,7 @@ def test_classify_and_feedback(spark, tmp):
         "request_id long, payload string")
     lines = envelope.explode_requests(req)
     scored = score(lines.withColumn("log_id", F.sha2(F.concat_ws(":", "request_id", "pos"), 256)),
-                   fixed_model(spark), key="log_id")
+                   fixed_model(spark))
     results = envelope.collect_results(scored).collect()
     assert len(results) == 1 and len(results[0].results) == 1
     r = results[0].results[0]
@@ -95,15 +95,39 @@ def test_missing_model_is_fatal(spark, tmp):
         model_store.load_model(spark, f"{tmp}/nothing-here")
 
 
-def test_only_scans_of_one_split_are_spread(spark, tmp):
+def tasks_with_rows(df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_small_scans_are_dealt(spark, tmp):
+    from logsift.sources.tables import read_table
+    assert tasks_with_rows(read_table(spark, "/root/testdata/sf0.01", "labels")) == spark.sparkContext.defaultParallelism
+    # One row group in several splits: all rows are in one of them.
+    wide = spark.range(40_000, numPartitions=1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    wide.write.option("compression", "none").parquet(f"{tmp}/one.parquet")
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100k")
+    try:
+        raw = spark.read.parquet(f"{tmp}/one.parquet")
+        assert raw.rdd.getNumPartitions() > 1 and tasks_with_rows(raw) == 1
+        assert tasks_with_rows(read_table(spark, tmp, "one")) == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
+def test_large_scans_and_many_files_are_left(spark, tmp):
     from logsift.sources.tables import read_table
-    df = read_table(spark, "/root/testdata/sf0.01", "labels")
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.range(300).repartition(3).write.parquet(f"{tmp}/t.parquet")
-    raw = spark.read.parquet(f"{tmp}/t.parquet")
-    if raw.rdd.getNumPartitions() > 1:
-        assert read_table(spark, tmp, "t").rdd.getNumPartitions() == raw.rdd.getNumPartitions()
-    assert read_table(spark, tmp, "t").count() == 300
+    n = spark.sparkContext.defaultParallelism
+    spark.range(1000).repartition(n + 1).write.parquet(f"{tmp}/many.parquet")
+    spark.range(100_000, numPartitions=1).write.parquet(f"{tmp}/large.parquet")
+    assert "RoundRobin" not in read_table(spark, tmp, "many")._jdf.queryExecution().executedPlan().toString()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        assert "RoundRobin" not in read_table(spark, tmp, "large")._jdf.queryExecution().executedPlan().toString()
+        assert read_table(spark, tmp, "large").count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_saving_without_pipeline_replaces_a_model_with_one(spark, tmp):

@@ -81,6 +81,6 @@ def test_train_language_classifier_on_documents(spark):
     model = train_text_model(docs.where(F.col("split") == "train"), key="doc_id", text="text",
                              label="label", max_iter=50)
     assert model.classes == ["de", "en", "es", "fr"]
-    test = score(docs.where(F.col("split") == "test"), model, key="doc_id", text="text")
+    test = score(docs.where(F.col("split") == "test"), model, text="text")
     acc = test.agg(F.avg((F.col("label") == F.col("category")).cast("double"))).collect()[0][0]
     assert acc > 0.8
