@@ -65,7 +65,6 @@ class Side:
         self.size = max(bytes_of) + 1
         self.bytes_of = [bytes_of.get(i, b"") for i in range(self.size)]
         self.width = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.digits = [str(i) for i in range(self.size)]
 
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -118,7 +117,7 @@ class PieceSide(Side):
 class Aligned:
     """Groups and links of one text; without tokens all is empty."""
 
-    def __init__(self, a_ids: list[int], b_ids: list[int], a: Side, b: Side):
+    def __init__(self, a_ids: list[int], b_ids: list[int], a: Side, b: Side, marks: list[str]):
         self.n_a, self.n_b, self.n_groups, self.n_links, self.text = len(a_ids), len(b_ids), 0, 0, ""
         self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
         if not a_ids:
@@ -130,7 +129,7 @@ class Aligned:
         in_a, in_b = np.bincount(group_a), np.bincount(group_b)
         links = in_a * in_b
         self.n_groups, self.n_links = len(cuts), int(links.sum())
-        self.text = group_text(a_ids, b_ids, group_a, group_b, a.digits, b.digits)
+        self.text = group_text(x, y, group_a, group_b, marks, a.size)
 
         # Every token of one side meets those of the other in its group.
         first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
@@ -151,24 +150,22 @@ class Aligned:
         self.pairs, self.times = code[start], np.add.reduceat(weight, start)
 
 
-def group_text(a_ids: list[int], b_ids: list[int], group_a: np.ndarray, group_b: np.ndarray, a_digits: list[str],
-               b_digits: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: groups in order, each with both sides' ids."""
+def group_text(x: np.ndarray, y: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, marks: list[str], a_size: int) -> str:
+    """``a1,a2|b1;a3|b2,b3``: groups in order, each with both sides' ids.
+    ``marks``: every id of both sides followed by each of the three signs."""
     place = np.concatenate([2 * group_a, 2 * group_b + 1])
     order = np.argsort(place, kind="stable")
-    place = place[order]
-    words = [a_digits[i] for i in a_ids] + [b_digits[i] for i in b_ids]
-    sign = np.zeros(len(place), np.int8)
-    sign[:-1] = np.where(place[1:] == place[:-1], 0, np.where(place[1:] & 1, 1, 2))
-    out = [""] * (2 * len(words))
-    out[::2] = map(words.__getitem__, order.tolist())
-    out[1::2] = map(",|;".__getitem__, sign.tolist())
-    return "".join(out[:-1])
+    place, word = place[order], np.concatenate([x, y + a_size])[order]
+    sign = np.where(place[1:] == place[:-1], 0, np.where(place[1:] & 1, 1, 2))
+    word[:-1] += sign * (len(marks) // 3)
+    return "".join(map(marks.__getitem__, word.tolist()))[:-1]
 
 
 class Aligner:
     def __init__(self, byte_spec: str, ranks: str, piece_model: bytes):
         self.a, self.b = ByteSide(byte_spec, ranks), PieceSide(piece_model)
+        ids = [str(i) for side in (self.a, self.b) for i in range(side.size)]
+        self.marks = [i + sign for sign in ",|;" for i in ids]
 
     def align(self, texts: Iterable[str | None]) -> Iterator[Aligned]:
         texts = [t or "" for t in texts]
@@ -176,7 +173,7 @@ class Aligner:
             whole = (" " + t).encode()
             if not t or self.a.joined(x) != whole or self.b.joined(y) != whole:
                 x, y = [], []
-            yield Aligned(x, y, self.a, self.b)
+            yield Aligned(x, y, self.a, self.b, self.marks)
 
 
 # --- containers --------------------------------------------------------------------
