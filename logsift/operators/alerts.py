@@ -23,12 +23,13 @@ def route(scored: DataFrame) -> DataFrame:
             .where(F.col("severity").isNotNull()))
 
 
-def payload(alerts: DataFrame) -> DataFrame:
-    """Snippet, category and dashboard link per alert."""
+def payload(alerts: DataFrame, *carry: str) -> DataFrame:
+    """Snippet, category and dashboard link per alert, and the columns in
+    ``carry``."""
     return alerts.select(
         "log_id", "severity", "category",
         F.substring("message", 1, SNIPPET_CHARS).alias("snippet"),
-        F.concat(F.lit(DASHBOARD_URL), F.col("log_id")).alias("dashboard_link"))
+        F.concat(F.lit(DASHBOARD_URL), F.col("log_id")).alias("dashboard_link"), *carry)
 
 
 def drift_alerts(rolling: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:

@@ -7,10 +7,11 @@ routing (R1/R2) -> three Parquet tables (results, alerts, quarantine).
 * The scorer aggregates per record, which would be streaming state; it runs
   inside ``foreachBatch`` on the micro-batch instead, where it is a plain
   batch plan.
-* Each micro-batch is written with dynamic partition overwrite on
-  ``batch_id``: when a batch is replayed after a failure (the checkpoint
-  makes the source re-deliver it) it replaces its own partial output, so the
-  tables stay exactly-once.  The reference drops a failed batch instead.
+* Each micro-batch goes into committed tables (``sources/committed.py``): a
+  replayed batch replaces its own rows, a batch that failed half-way is not
+  seen, and readers prune by date.  The reference drops a failed batch instead.
+* The batch's metrics, measured duration, closed windows and late records go
+  into tables of their own (``streaming/serving.py``).
 * Record ids come from the record's place in the input (file, row), so a
   replay produces the same ``log_id`` and feedback joins back.
 
@@ -22,7 +23,9 @@ by Spark and counted in the query progress (``numRowsDroppedByWatermark``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -35,6 +38,10 @@ from logsift.operators.validate import split_valid
 from logsift.schemas import LOG_LINE
 from logsift.sources.envelope import collect_results, explode_requests, with_request_error
 from logsift.session import checkpoint_dir
+from logsift.sources.committed import CommittedTable
+from logsift.sources.lifecycle import Serving
+from logsift.sources.model_store import version_or_unknown
+from logsift.streaming import serving
 
 RESULT_COLUMNS = ["log_id", "timestamp", "event_time", "source", "level", "message",
                   "category", "confidence", "needs_review", "model_version"]
@@ -83,8 +90,24 @@ def _write(df: DataFrame, path: str) -> None:
      .partitionBy("batch_id").parquet(path))
 
 
+def served_table(spark: SparkSession, out: str, name: str) -> CommittedTable:
+    return CommittedTable(spark, f"{out.rstrip('/')}/{name}", SERVED[name])
+
+
+def read_served(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The committed rows of a table that a stream writes to ``out``."""
+    return served_table(spark, out, name).read()
+
+
+def _commit(df: DataFrame, out: str, name: str, batch_id: int, date: Column) -> None:
+    bid = F.lit(int(batch_id)).cast("long").alias("batch_id")
+    served_table(df.sparkSession, out, name).write(df.select("*", bid), batch_id, date)
+
+
 def classify_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str) -> None:
-    """One micro-batch: results, alerts and quarantined records."""
+    """One micro-batch: results, alerts and quarantined records; and what the
+    batch adds to the metrics."""
+    started = time.perf_counter()
     batch = with_event_time(batch)
     valid, bad = split_valid(batch)
     pipeline = model.extra.get("pipeline")
@@ -93,11 +116,14 @@ def classify_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str)
     else:
         scored = score(valid, model).persist()
     try:
-        bid = F.lit(int(batch_id)).cast("long").alias("batch_id")
-        _write(scored.select(*RESULT_COLUMNS, bid), f"{out}/results")
-        _write(alerts.payload(alerts.route(scored)).select("*", bid), f"{out}/alerts")
-        _write(bad.select("log_id", "timestamp", "source", "level", "message", "reason", bid),
-               f"{out}/quarantine")
+        day = F.col("event_time")
+        _commit(scored.select(*RESULT_COLUMNS), out, "results", batch_id, day)
+        _commit(alerts.payload(alerts.route(scored), "event_time"), out, "alerts", batch_id, day)
+        _commit(bad.select("log_id", "timestamp", "source", "level", "message", "reason"), out, "quarantine", batch_id,
+                F.try_to_timestamp(F.col("timestamp")))
+        request = batch.sparkSession.createDataFrame([(f"batch-{batch_id}",)], "request_id string")
+        serving.record_latency(request, time.perf_counter() - started, out, batch_id)
+        serving.record_batch(scored, out, batch_id)
     finally:
         scored.unpersist()
 
@@ -110,15 +136,25 @@ def _checkpoint(spark: SparkSession, given: str | None, name: str) -> str:
 
 def start_classifier(spark: SparkSession, source: str, model: TextModel, out: str,
                      checkpoint: str | None = None, available_now: bool = True,
-                     interval: str = "2 seconds", max_files: int | None = None) -> StreamingQuery:
+                     interval: str = "2 seconds", max_files: int | None = None,
+                     lifecycle: str | None = None, server: str = "classifier") -> StreamingQuery:
     """S3.  The model is loaded before the query starts (S9) and captured by
-    the batch function; it is never refitted while serving."""
+    the batch function; it is never refitted while serving.  With
+    ``lifecycle`` the run's states are logged there (A4)."""
     checkpoint = _checkpoint(spark, checkpoint, "classify")
-    w = (log_stream(spark, source, max_files).writeStream
-         .foreachBatch(lambda df, bid: classify_batch(df, bid, model, out))
-         .option("checkpointLocation", checkpoint))
+    states = Serving(spark, lifecycle, version_or_unknown(model.version), server) if lifecycle else None
+
+    def each(df: DataFrame, bid: int) -> None:
+        classify_batch(df, bid, model, out)
+        if states:
+            states.beat()
+
+    w = log_stream(spark, source, max_files).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-    return w.start()
+    query = w.start()
+    if states:
+        states.end_with(query)
+    return query
 
 
 RESULT_SCHEMA = T.StructType([
@@ -134,6 +170,16 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("model_version", T.StringType()),
     T.StructField("batch_id", T.LongType()),
 ])
+SERVED = {
+    "results": RESULT_SCHEMA,
+    "alerts": ("log_id string, severity string, category string, snippet string, dashboard_link string, "
+               "event_time timestamp, batch_id long"),
+    "quarantine": ("log_id string, timestamp string, source string, level string, message string, "
+                   "reason string, batch_id long"),
+    "responses": ("request_id string, results array<struct<log_id: string, category: string, "
+                  "confidence: double, needs_review: boolean>>, error string, batch_id long"),
+    "request_quarantine": "request_id string, pos int, payload string, reason string, batch_id long",
+}
 
 
 def rolling_mean_stream(results: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -199,7 +245,7 @@ def respond_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str) -
     (S5).  An empty request gets an empty result list.  A request that does
     not parse, or has rejected lines, says so in ``error``; what was rejected
     is in the quarantine table with its reason."""
-    bid = F.lit(int(batch_id)).cast("long").alias("batch_id")
+    started = time.perf_counter()
     requests = with_request_error(number_requests(batch)).persist()
     try:
         lines = explode_requests(requests)
@@ -219,12 +265,14 @@ def respond_batch(batch: DataFrame, batch_id: int, model: TextModel, out: str) -
                      .select("request_id", F.coalesce("results", empty).alias("results"),
                              F.coalesce("error", F.concat(F.lit("rejected lines: "), F.col("_bad").cast("string")))
                              .alias("error")))
-        _write(responses.select("*", bid), f"{out}/responses")
+        undated = F.lit(None)
+        _commit(responses, out, "responses", batch_id, undated)
+        serving.record_latency(requests, time.perf_counter() - started, out, batch_id)
         whole = requests.where(F.col("error").isNotNull()).select(
             "request_id", F.lit(None).cast("int").alias("pos"), "payload", F.col("error").alias("reason"))
         part = bad.select("request_id", "pos", F.to_json(F.struct("timestamp", "source", "level", "message"))
                           .alias("payload"), "reason")
-        _write(whole.unionByName(part).select("*", bid), f"{out}/request_quarantine")
+        _commit(whole.unionByName(part), out, "request_quarantine", batch_id, undated)
     finally:
         requests.unpersist()
 

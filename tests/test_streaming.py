@@ -9,7 +9,7 @@ from logsift.operators.metrics import rolling_mean
 from logsift.operators.score import score
 from logsift.plans import views
 from logsift.plans.fixed_model import fixed_model
-from logsift.streaming.classify import (classify_batch, start_classifier,
+from logsift.streaming.classify import (classify_batch, read_served, start_classifier,
                                         start_rolling_mean, with_event_time)
 from tests.conftest import SF_SMALL
 
@@ -36,7 +36,7 @@ def test_stream_matches_batch_and_rolling(spark, tmp):
     model = fixed_model(spark)
     q = start_classifier(spark, src, model, f"{tmp}/out", f"{tmp}/ckpt", max_files=1)
     q.awaitTermination(300)
-    res = spark.read.parquet(f"{tmp}/out/results")
+    res = read_served(spark, f"{tmp}/out", "results")
     assert res.count() == lv.count()
     assert res.select("batch_id").distinct().count() == 4
     batch = score(lv.withColumn("log_id", F.col("rid")), model).select("message", "category",
@@ -47,7 +47,7 @@ def test_stream_matches_batch_and_rolling(spark, tmp):
     assert a == b
 
     # Watermarked stream over the results vs the batch rolling mean.
-    r = start_rolling_mean(spark, f"{tmp}/out/results", f"{tmp}/drift", f"{tmp}/ckpt2")
+    r = start_rolling_mean(spark, f"{tmp}/out/results/data", f"{tmp}/drift", f"{tmp}/ckpt2")
     r.awaitTermination(300)
     streamed = spark.read.parquet(f"{tmp}/drift")
     batch_roll = rolling_mean(with_event_time(res))
@@ -57,7 +57,7 @@ def test_stream_matches_batch_and_rolling(spark, tmp):
     assert s == bset and len(s) > 0
 
     # R3 on the stream: the drift alerts are the closed windows below 0.70.
-    da = start_rolling_mean(spark, f"{tmp}/out/results", f"{tmp}/drift_alerts", f"{tmp}/ckpt3",
+    da = start_rolling_mean(spark, f"{tmp}/out/results/data", f"{tmp}/drift_alerts", f"{tmp}/ckpt3",
                             alerts_only=True)
     da.awaitTermination(300)
     got = {x.window_start.isoformat() for x in spark.read.parquet(f"{tmp}/drift_alerts").collect()}
@@ -73,7 +73,7 @@ def test_stream_matches_batch_and_rolling(spark, tmp):
     replay = replay.select(F.sha2(F.concat_ws(":", "file_path", F.col("row_index").cast("string")),
                                   256).alias("log_id"), "timestamp", "source", "level", "message")
     classify_batch(replay, 0, model, f"{tmp}/out")
-    after = spark.read.parquet(f"{tmp}/out/results")
+    after = read_served(spark, f"{tmp}/out", "results")
     assert after.count() == before and first.count() == 0
     assert after.select("log_id").distinct().count() == before
 
@@ -99,7 +99,7 @@ def test_request_envelopes_in_responses_out(spark, tmp):
     model = fixed_model(spark)
     q = start_responder(spark, src, model, f"{tmp}/resp", f"{tmp}/ckpt-r")
     q.awaitTermination(300)
-    got = spark.read.parquet(f"{tmp}/resp/responses").collect()
+    got = read_served(spark, f"{tmp}/resp", "responses").collect()
     sizes = sorted(len(r.results) for r in got)
     assert sizes == [0, 1, 3]              # the empty request gets an empty list
     three = [r for r in got if len(r.results) == 3][0].results
@@ -119,12 +119,12 @@ def test_equal_malformed_null_and_empty_requests(spark, tmp):
     with open(f"{tmp}/req/a.json", "w") as f:
         f.write("\n".join(lines) + "\n")
     start_responder(spark, f"{tmp}/req", fixed_model(spark), f"{tmp}/out", f"{tmp}/ckpt-e").awaitTermination(300)
-    got = spark.read.parquet(f"{tmp}/out/responses").collect()
+    got = read_served(spark, f"{tmp}/out", "responses").collect()
     assert len(got) == len(lines) == len({r.request_id for r in got})
     assert sorted((len(r.results), r.error) for r in got if r.error is None) == [(0, None)] + 3 * [(1, None)]
     assert [len(r.results) for r in got if r.error == "rejected lines: 1"] == [1]
     assert [len(r.results) for r in got if r.error == "malformed request"] == [0, 0, 0]
-    bad = spark.read.parquet(f"{tmp}/out/request_quarantine").collect()
+    bad = read_served(spark, f"{tmp}/out", "request_quarantine").collect()
     assert sorted(r.reason for r in bad) == 3 * ["malformed request"] + ["missing message"]
     ids = [x.log_id for r in got for x in r.results]
     assert len(ids) == len(set(ids)) == 4
