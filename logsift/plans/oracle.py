@@ -24,7 +24,8 @@ from logsift.operators.corpus import (AMBIGUOUS_TEMPLATES, CLEAR_TEMPLATES,
 from logsift.plans.fixed_model import (FIXED_CLASSES, FIXED_INTERCEPTS, FIXED_TERMS,
                                        FIXED_VERSION, WIDE_CENTRE, WIDE_CLASSES, WIDE_INTERCEPTS,
                                        WIDE_SCALE, WIDE_VERSION)
-from logsift.plans.views import LIFECYCLE_VERSIONS
+from logsift.operators.validate import REQUIRED
+from logsift.plans.views import DEFECT_SHARE, LIFECYCLE_VERSIONS
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
@@ -284,12 +285,21 @@ def oracle_sql() -> dict[str, str]:
     # corpus / projections
     s["log_scan"] = with_logs(f"SELECT {lab} FROM logs")
     s["label_mask"] = with_logs('SELECT log_id, "timestamp", source, level, message FROM logs')
+    cut = int(round(DEFECT_SHARE * BUCKETS))
+    kept = ", ".join(f"CASE WHEN NOT ({_b('defect')} < {cut} AND {_b('field')} % {len(REQUIRED)} = {i}) THEN \"{c}\" END AS \"{c}\""
+                     for i, c in enumerate(REQUIRED))
     s["validate_logs"] = with_logs(
+        f", defective AS (SELECT log_id, {kept} FROM logs)\n"
         "SELECT log_id, (\"timestamp\" IS NOT NULL AND source IS NOT NULL AND level IS NOT NULL "
         "AND message IS NOT NULL) AS is_valid, "
         "CASE WHEN \"timestamp\" IS NULL THEN 'missing timestamp' WHEN source IS NULL THEN 'missing source' "
         "WHEN level IS NULL THEN 'missing level' WHEN message IS NULL THEN 'missing message' END AS reason "
-        "FROM logs")
+        "FROM defective")
+    line = " || ',' || ".join(f"'\"' || replace({c}, '\"', '\"\"') || '\"'" for c in ('"timestamp"', "source", "level", "message", "true_label"))
+    good = ", ".join(f"CASE WHEN {_b('csv')} >= {2 * cut} THEN {c} END AS {c}" for c in ('"timestamp"', "source", "level", "message", "true_label"))
+    s["log_scan_csv"] = with_logs(
+        f"SELECT {good}, CASE WHEN {_b('csv')} < {cut} THEN \"timestamp\" || ',' || source "
+        f"WHEN {_b('csv')} < {2 * cut} THEN {line} || ',more' END AS bad_line FROM logs")
     s["level_from_category"] = with_logs(
         "SELECT true_label, level, count(*) AS n FROM logs GROUP BY 1, 2")
     s["weighted_mix"] = with_logs(

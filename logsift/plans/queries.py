@@ -7,6 +7,7 @@ a zone so that results compare with an SQL engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +19,8 @@ from logsift.operators.corpus import (LABELLED_COLUMNS, class_mix_resample)
 from logsift.operators.score import score
 from logsift.plans import views
 from logsift.plans.fixed_model import wide_model
-from logsift.session import stored
-from logsift.sources import envelope
+from logsift.session import checkpoint_dir, stored
+from logsift.sources import envelope, logcsv
 from logsift.sources.tables import read_table
 
 R = 6
@@ -47,13 +48,22 @@ def q_log_scan(spark, sf):
     return views.logs(spark, sf).select(*LABELLED_COLUMNS)
 
 
+def q_log_scan_csv(spark, sf):
+    """S1 over CSV files that hold the log view and some bad lines."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logsift/csv-{uuid.uuid4().hex}"
+    views.csv_lines(views.logs(spark, sf)).write.text(path)
+    read = logcsv.read_labelled_logs(spark, path, multi_line=False, header=False, keep_bad=True)
+    good, bad = logcsv.split_bad(read)
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 def q_label_mask(spark, sf):
     lv = views.logs(spark, sf).select("log_id", *LABELLED_COLUMNS)
     return validate.mask_label(lv)
 
 
 def q_validate_logs(spark, sf):
-    lv = views.logs(spark, sf)
+    lv = views.defective(views.logs(spark, sf))
     return validate.with_validation(lv).select("log_id", "is_valid", "reason")
 
 

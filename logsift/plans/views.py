@@ -18,9 +18,13 @@ from logsift.constants import (BUCKETS, CANARY_SHARE, DOUBLE_REVIEW_SHARE, REQUE
 from logsift.functions.buckets import bucket
 from logsift.operators.corpus import log_view, split_of
 from logsift.operators.score import TextModel, score
+from logsift.operators.validate import REQUIRED
 from logsift.plans.fixed_model import fixed_model
+from logsift.sources import logcsv
 from logsift.sources.tables import events, read_table
 
+# Share of records made invalid for the validating queries.
+DEFECT_SHARE = 0.02
 LIFECYCLE_VERSIONS = ["v1", "v2", "v3"]
 
 def logs(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -35,6 +39,24 @@ def scored(spark: SparkSession, sf_dir: str, model: TextModel | None = None,
     return score(lv, model or fixed_model(spark), keep_internals=internals)
 
 
+def defective(lv: DataFrame) -> DataFrame:
+    """The log view with one required field missing in a share of the rows."""
+    broken = bucket(F.col("rid"), "defect") < F.lit(int(round(DEFECT_SHARE * BUCKETS)))
+    which = bucket(F.col("rid"), "field") % F.lit(len(REQUIRED))
+    gone = {c: F.when(~(broken & (which == F.lit(i))), F.col(c)).alias(c) for i, c in enumerate(REQUIRED)}
+    return lv.select(*[gone.get(c, F.col(c)) for c in lv.columns])
+
+
+def csv_lines(lv: DataFrame) -> DataFrame:
+    """The log view as CSV lines, of which a share is cut short and a share
+    has a field too many."""
+    b = bucket(F.col("rid"), "csv")
+    cut = F.lit(int(round(DEFECT_SHARE * BUCKETS)))
+    line = logcsv.csv_line()
+    return lv.select(F.when(b < cut, F.concat_ws(",", "timestamp", "source"))
+                     .when(b < 2 * cut, F.concat(line, F.lit(",more"))).otherwise(line).alias("value"))
+
+
 def with_requests(df: DataFrame) -> DataFrame:
     """Records grouped into requests of ``REQUEST_SIZE`` consecutive ids."""
     return (df.withColumn("request_id", (F.col("rid") / F.lit(REQUEST_SIZE)).cast("long"))

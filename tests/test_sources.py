@@ -157,3 +157,29 @@ def test_appended_file_is_read(spark, tmp):
     assert views.logs(spark, f"{tmp}/d").count() == 10
     one.write.mode("append").parquet(f"{tmp}/d/events.parquet")
     assert views.logs(spark, f"{tmp}/d").count() == 20
+
+
+def test_lines_are_split_and_bad_ones_kept(spark, tmp):
+    good = ["t1,s,INFO,\"a, b\",noise", "t2,s,INFO,plain,noise", "t3,s,INFO,,noise"]
+    bad = ["t4,s", "t5,s,INFO,m,noise,more", "no fields"]
+    with open(f"{tmp}/logs.csv", "w") as f:
+        f.write("timestamp,source,level,message,true_label\n" + "\n".join(good[:2] + bad + good[2:]) + "\n")
+    read = logcsv.read_labelled_logs(spark, f"{tmp}/logs.csv", multi_line=False, keep_bad=True)
+    fine, quarantined = logcsv.split_bad(read)
+    assert sorted(r.timestamp for r in fine.collect()) == ["t1", "t2", "t3"]
+    # Whatever columns are asked for.
+    assert fine.count() == 3 and sorted(r[0] for r in fine.select("source").collect()) == ["s"] * 3
+    assert sorted(r[0] for r in quarantined.collect()) == sorted(bad) and quarantined.count() == 3
+    assert [r.message for r in fine.where("timestamp = 't1'").collect()] == ["a, b"]
+
+
+def test_one_file_is_read_by_several_tasks(spark, tmp):
+    with open(f"{tmp}/logs.csv", "w") as f:
+        f.write("timestamp,source,level,message,true_label\n" + "".join(f"t{i},s,INFO,m{i},noise\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        read = logcsv.read_labelled_logs(spark, f"{tmp}/logs.csv", multi_line=False)
+        assert tasks_with_rows(read) > 3 and read.select("timestamp").distinct().count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

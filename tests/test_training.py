@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logsift.constants import ALPHA
@@ -84,3 +85,35 @@ def test_train_language_classifier_on_documents(spark):
     test = score(docs.where(F.col("split") == "test"), model, text="text")
     acc = test.agg(F.avg((F.col("label") == F.col("category")).cast("double"))).collect()[0][0]
     assert acc > 0.8
+
+
+def test_train_and_evaluate_files(spark, tmp_path):
+    from logsift import jobs
+    from logsift.sources import logcsv, model_store
+    lv = views.logs(spark, "/root/testdata/sf0.001")
+    for split in ("train", "test"):
+        logcsv.write_labelled_logs(lv.where(F.col("split") == split), str(tmp_path / split))
+    with open(tmp_path / "train" / "part-bad.csv", "w") as f:
+        f.write("timestamp,source,level,message,true_label\nonly,two\nt,s,INFO,,noise\nt,s,INFO,m,\n")
+    model = jobs.train(spark, str(tmp_path / "train"), str(tmp_path / "m"), "v7")
+    n = lv.where("split = 'train'").count()
+    assert sum(s[1] for s in model.extra["summary"]) == n and all(s[-2] for s in model.extra["summary"])
+    out = jobs.evaluated(spark, str(tmp_path / "test"), str(tmp_path / "m"))
+    assert out["averages"].where("label = 'accuracy'").first().f1 > 0.9
+    assert out["gate"].first().total == lv.where("split = 'test'").count()
+    with pytest.raises(jobs.MissingInput):
+        jobs.train(spark, str(tmp_path / "nothing"), str(tmp_path / "m2"))
+    logcsv.write_labelled_logs(lv.limit(0), str(tmp_path / "empty"))
+    with pytest.raises(jobs.MissingInput):
+        jobs.train(spark, str(tmp_path / "empty"), str(tmp_path / "m2"))
+    with pytest.raises(model_store.ModelLoadError):
+        jobs.evaluated(spark, str(tmp_path / "test"), str(tmp_path / "m2"))
+
+
+def test_cut_fit_says_so(spark):
+    lv = views.logs(spark, "/root/testdata/sf0.001")
+    with pytest.warns(UserWarning, match="stopped at its limit"):
+        model = train_text_model(lv, max_iter=1)
+    from logsift.operators.train import summary_frame
+    rows = summary_frame(model).collect()
+    assert rows and not any(r.converged for r in rows) and not all(r.stationary for r in rows)
