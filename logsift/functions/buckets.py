@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 from logsift.constants import BUCKETS
 
 
+def bucket_text(key: str, salt: str) -> str:
+    """The bucket as Spark SQL text; ``key`` is a column's name or expression."""
+    return f"(cast(conv(substring(md5(concat(cast({key} AS string), '{salt}')), 1, 8), 16, 10) AS bigint) % {BUCKETS})"
+
+
 def bucket(key: Column | str, salt: str) -> Column:
-    k = F.col(key) if isinstance(key, str) else key
-    h = F.md5(F.concat(k.cast("string"), F.lit(salt)))
+    if isinstance(key, str):
+        return F.expr(bucket_text(f"`{key}`", salt))
+    h = F.md5(F.concat(key.cast("string"), F.lit(salt)))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.lit(BUCKETS)
 
 
@@ -38,16 +44,14 @@ def cumulative_cuts(weights: list[float]) -> list[int]:
     return cuts
 
 
-def weighted_pick(b: Column, values: list[str], weights: list[float]) -> Column:
-    """Pick ``values[i]`` for the first cumulative cut above bucket ``b``."""
+def weighted_pick_text(bucket: str, values: list[str], weights: list[float]) -> str:
+    """``values[i]`` for the first cumulative cut above the bucket."""
     cuts = cumulative_cuts(weights)
-    expr = F.lit(values[-1])
-    for v, c in reversed(list(zip(values[:-1], cuts[:-1]))):
-        expr = F.when(b < c, F.lit(v)).otherwise(expr)
-    return expr
+    whens = " ".join(f"WHEN {bucket} < {c} THEN '{v}'" for v, c in zip(values[:-1], cuts[:-1]))
+    return f"CASE {whens} ELSE '{values[-1]}' END"
 
 
-def pick(b: Column, values: list[str]) -> Column:
+def pick_text(bucket: str, values: list[str]) -> str:
     """Uniform pick ``values[b % n]``."""
-    arr = F.array(*[F.lit(v) for v in values])
-    return F.element_at(arr, (b % F.lit(len(values))).cast("int") + 1)
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), cast({bucket} % {len(values)} AS int) + 1)"

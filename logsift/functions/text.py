@@ -49,26 +49,32 @@ def terms(text: Column | str, max_n: int = 2) -> Column:
     return ngrams(tokens(text), max_n)
 
 
-def with_terms(df: DataFrame, text: str, out: str, max_n: int = 2) -> DataFrame:
-    return (df.withColumn("_tokens", tokens(F.col(text)))
-            .withColumn(out, ngrams(F.col("_tokens"), max_n)).drop("_tokens"))
+def sql_literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _sql_literal(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def tokens_text(text: str) -> str:
+    return f"coalesce(regexp_extract_all(lower({text}), {sql_literal(TOKEN_PATTERN)}, 0), cast(array() AS array<string>))"
+
+
+def terms_text(toks: str, max_n: int = 2) -> str:
+    """``ngrams`` of a column of tokens as SQL text."""
+    if max_n == 1:
+        return toks
+    n = f"greatest(size({toks}) - 1, 0)"
+    pairs = f"zip_with(slice({toks}, 1, {n}), slice({toks}, 2, {n}), (a, b) -> concat(a, ' ', b))"
+    return f"concat({toks}, {pairs})"
+
+
+def with_terms(df: DataFrame, text: str, out: str, max_n: int = 2) -> DataFrame:
+    return (df.selectExpr("*", f"{tokens_text(f'`{text}`')} AS _tokens")
+            .selectExpr("*", f"{terms_text('_tokens', max_n)} AS `{out}`").drop("_tokens"))
 
 
 def terms_sql_statement(text: str, out: str, max_n: int = 2) -> str:
     """The same terms as a ``SQLTransformer`` statement (for ML pipelines);
     it also leaves the token list in ``_tokens``."""
-    toks = (f"coalesce(regexp_extract_all(lower({text}), {_sql_literal(TOKEN_PATTERN)}, 0), "
-            "cast(array() AS array<string>))")
-    inner = f"SELECT *, {toks} AS _tokens FROM __THIS__"
-    if max_n == 1:
-        return f"SELECT *, _tokens AS {out} FROM ({inner})"
-    n = "greatest(size(_tokens) - 1, 0)"
-    pairs = f"zip_with(slice(_tokens, 1, {n}), slice(_tokens, 2, {n}), (a, b) -> concat(a, ' ', b))"
-    return f"SELECT *, concat(_tokens, {pairs}) AS {out} FROM ({inner})"
+    return f"SELECT *, {terms_text('_tokens', max_n)} AS {out} FROM (SELECT *, {tokens_text(text)} AS _tokens FROM __THIS__)"
 
 
 def term_counts(df: DataFrame, terms_col: Column, out: str = "term_counts") -> DataFrame:
@@ -81,19 +87,9 @@ def term_counts(df: DataFrame, terms_col: Column, out: str = "term_counts") -> D
     lambdas below refer to a column, not to the expression that builds it
     (Catalyst does not share subexpressions inside lambda functions).
     """
-    s, st = F.col("_tc_sorted"), F.col("_tc_starts")
-    n = F.size(s)
-
-    def is_start(i):
-        return (F.when(i > n, F.lit(False))
-                .when(i == 1, F.lit(True))
-                .otherwise(F.element_at(s, i) != F.element_at(s, i - 1)))
-
-    return (df
-            .withColumn("_tc_sorted", F.array_sort(terms_col))
-            .withColumn("_tc_starts",
-                        F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), is_start))
-            .withColumn(out, F.transform(st, lambda i, j: F.struct(
-                F.element_at(s, i).alias("term"),
-                (F.coalesce(F.try_element_at(st, j + 2), n + 1) - i).cast("int").alias("tf"))))
-            .drop("_tc_sorted", "_tc_starts"))
+    starts = ("filter(sequence(1, greatest(size(_tc_sorted), 1)), i -> CASE WHEN i > size(_tc_sorted) THEN false "
+              "WHEN i = 1 THEN true ELSE element_at(_tc_sorted, i) != element_at(_tc_sorted, i - 1) END)")
+    runs = ("transform(_tc_starts, (i, j) -> named_struct('term', element_at(_tc_sorted, i), 'tf', "
+            "cast(coalesce(try_element_at(_tc_starts, j + 2), size(_tc_sorted) + 1) - i AS int)))")
+    return (df.withColumn("_tc_sorted", F.array_sort(terms_col)).selectExpr("*", f"{starts} AS _tc_starts")
+            .selectExpr("*", f"{runs} AS `{out}`").drop("_tc_sorted", "_tc_starts"))

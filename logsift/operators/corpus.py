@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from logsift.constants import (AMBIGUOUS_SHARE, BUCKETS, CLASS_WEIGHTS, CLASSES,
                                SOURCES, TRAIN_SHARE)
-from logsift.functions.buckets import bucket, pick, weighted_pick
+from logsift.functions.buckets import bucket, bucket_text, pick_text, weighted_pick_text
+from logsift.functions.text import sql_literal
 
 # --- message wording (this project's own) ------------------------------------
 
@@ -102,71 +103,56 @@ def template_parts(template: str) -> list[tuple[str, str]]:
     return parts
 
 
-def _number(b: Column, base: int, span: int) -> Column:
-    return (F.lit(base) + b % F.lit(span)).cast("string")
+# Expressions are SQL text, parsed once: a message has a branch for every
+# template, which is slow to assemble call by call.
 
-
-def slot_salts() -> list[str]:
-    """Every bucket a message can need, one md5 per row each."""
-    return list(SLOT_NUMBERS) + list(SLOT_CHOICES)
-
-
-def _bcol(salt: str) -> Column:
-    return F.col(f"_b_{salt}")
-
-
-def slot_value(name: str) -> Column:
-    """Slot value from the row's bucket columns ``_b_<salt>``."""
+def slot_text(name: str) -> str:
+    """Slot value from the row's bucket column ``_b_<name>``."""
     if name in SLOT_NUMBERS:
         base, span = SLOT_NUMBERS[name]
-        return _number(_bcol(name), base, span)
-    return pick(_bcol(name), SLOT_CHOICES[name])
+        return f"cast({base} + _b_{name} % {span} AS string)"
+    return pick_text(f"_b_{name}", SLOT_CHOICES[name])
 
 
 def slot_names() -> list[str]:
     return list(SLOT_NUMBERS) + list(SLOT_CHOICES)
 
 
-def render(template: str) -> Column:
+def render_text(template: str) -> str:
     """Template over the slot columns ``_s_<name>``."""
-    return F.concat(*[F.lit(v) if k == "lit" else F.col(f"_s_{v}")
-                      for k, v in template_parts(template)])
+    return "concat(" + ", ".join(sql_literal(v) if k == "lit" else f"_s_{v}" for k, v in template_parts(template)) + ")"
 
 
 # --- D1 .. D3 ------------------------------------------------------------------
 
-def class_of(key: Column) -> Column:
+def class_text(bucket: str) -> str:
     """Class by weight (noise .70, error .15, security .05, warning .10)."""
-    return weighted_pick(bucket(key, "class"), CLASSES, CLASS_WEIGHTS)
+    return weighted_pick_text(bucket, CLASSES, CLASS_WEIGHTS)
 
 
-def is_ambiguous(key: Column) -> Column:
+def ambiguous_text(key: str) -> str:
     """D3: 20 % of every class uses the overlapping wording."""
-    return bucket(key, "ambiguous") < F.lit(int(round(AMBIGUOUS_SHARE * BUCKETS)))
+    return f"{bucket_text(key, 'ambiguous')} < {int(round(AMBIGUOUS_SHARE * BUCKETS))}"
 
 
-def message_of(label: Column, ambiguous: Column, template_bucket: Column) -> Column:
-    """Render the message of the row's class and wording family from
-    the slot columns."""
-    expr = None
+def message_text(label: str, ambiguous: str, template_bucket: str) -> str:
+    """The message of the row's class and wording family."""
+    whens = []
     for cls in CLASSES:
-        for family, amb in ((CLEAR_TEMPLATES, False), (AMBIGUOUS_TEMPLATES, True)):
-            temps = family[cls]
-            for i, t in enumerate(temps):
-                cond = ((label == F.lit(cls)) & (ambiguous == F.lit(amb))
-                        & ((template_bucket % F.lit(len(temps))) == F.lit(i)))
-                expr = F.when(cond, render(t)) if expr is None else expr.when(cond, render(t))
-    return expr
+        for family, amb in ((CLEAR_TEMPLATES, "false"), (AMBIGUOUS_TEMPLATES, "true")):
+            for i, t in enumerate(family[cls]):
+                whens.append(f"WHEN {label} = '{cls}' AND {ambiguous} = {amb} AND {template_bucket} % {len(family[cls])} = {i} "
+                             f"THEN {render_text(t)}")
+    return f"CASE {' '.join(whens)} END"
 
 
-def level_of(label: Column) -> Column:
+def level_text(label: str) -> str:
     """``INFO`` for noise, otherwise the upper-cased class."""
-    return F.when(label == F.lit("noise"), F.lit("INFO")).otherwise(F.upper(label))
+    return f"CASE WHEN {label} = 'noise' THEN 'INFO' ELSE upper({label}) END"
 
 
-def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with microseconds and a ``+00:00`` offset."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+# ISO-8601 with microseconds and a ``+00:00`` offset.
+ISO_UTC = r"yyyy-MM-dd\'T\'HH:mm:ss.SSSSSS\'+00:00\'"
 
 
 def log_view(events: DataFrame, key: str = "event_id", time_col: str = "ts", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -180,47 +166,29 @@ def log_view(events: DataFrame, key: str = "event_id", time_col: str = "ts", car
     Three narrow projections: every md5 bucket once, then every slot value
     once, then the message; no shuffle.
     """
-    rid = F.col("rid")
-    salts = slot_salts()
-    b = events.select(
-        F.col(key).alias("rid"), F.col(time_col).alias("event_time"),
-        bucket(rid, "class").alias("_bc"), is_ambiguous(rid).alias("ambiguous"),
-        bucket(rid, "template").alias("_tb"),
-        pick(bucket(rid, "source"), SOURCES).alias("source"), *carry,
-        *[bucket(rid, s).alias(f"_b_{s}") for s in salts])
-    slots = b.select("rid", "event_time",
-                     weighted_pick(F.col("_bc"), CLASSES, CLASS_WEIGHTS).alias("true_label"),
-                     "ambiguous", "_tb", "source", *carry,
-                     *[slot_value(n).alias(f"_s_{n}") for n in slot_names()])
-    return slots.select(
-        "rid",
-        F.sha2(rid.cast("string"), 256).alias("log_id"),
-        "event_time",
-        iso_utc(F.col("event_time")).alias("timestamp"),
-        "source",
-        level_of(F.col("true_label")).alias("level"),
-        message_of(F.col("true_label"), F.col("ambiguous"), F.col("_tb")).alias("message"),
-        "true_label", "ambiguous", *carry)
+    more = [f"`{c}`" for c in carry]
+    b = events.selectExpr(
+        f"`{key}` AS rid", f"`{time_col}` AS event_time", f"{bucket_text(f'`{key}`', 'class')} AS _bc",
+        f"{ambiguous_text(f'`{key}`')} AS ambiguous", f"{bucket_text(f'`{key}`', 'template')} AS _tb",
+        f"{pick_text(bucket_text(f'`{key}`', 'source'), SOURCES)} AS source", *more,
+        *[f"{bucket_text(f'`{key}`', n)} AS _b_{n}" for n in slot_names()])
+    slots = b.selectExpr("rid", "event_time", f"{class_text('_bc')} AS true_label", "ambiguous", "_tb", "source", *more,
+                         *[f"{slot_text(n)} AS _s_{n}" for n in slot_names()])
+    return slots.selectExpr(
+        "rid", "sha2(cast(rid AS string), 256) AS log_id", "event_time",
+        f"date_format(event_time, '{ISO_UTC}') AS timestamp", "source", f"{level_text('true_label')} AS level",
+        f"{message_text('true_label', 'ambiguous', '_tb')} AS message", "true_label", "ambiguous", *more)
 
 
 LABELLED_COLUMNS = ["timestamp", "source", "level", "message", "true_label"]
 
 
-def labelled_logs(events: DataFrame) -> DataFrame:
-    """The five-column labelled log table (S1's schema)."""
-    return log_view(events).select(*LABELLED_COLUMNS)
-
-
 # --- D4 / D5 -------------------------------------------------------------------
 
-def split_of(key: Column, train_share: float = TRAIN_SHARE) -> Column:
+def split_of(key: str, train_share: float = TRAIN_SHARE) -> Column:
     """``train`` / ``test`` by bucket; stable under reruns."""
     cut = int(round(train_share * BUCKETS))
-    return F.when(bucket(key, "split") < F.lit(cut), F.lit("train")).otherwise(F.lit("test"))
-
-
-def with_split(df: DataFrame, key: str = "rid") -> DataFrame:
-    return df.withColumn("split", split_of(F.col(key)))
+    return F.expr(f"CASE WHEN {bucket_text(f'`{key}`', 'split')} < {cut} THEN 'train' ELSE 'test' END")
 
 
 def class_mix_resample(df: DataFrame, label: str, key: str,

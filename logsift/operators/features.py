@@ -105,7 +105,7 @@ def tfidf(counts: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> Dat
     """(key, term, tfidf) of counted documents, L2-normalised per
     document over the in-vocabulary terms; out-of-vocabulary terms are ignored
     and a document without known terms has no rows."""
-    vectors = counts.select(key, vocabulary.vector(F.col("counts"), "idf").alias("_v"))
-    normed = vectors.select(key, "_v", norm(F.col("_v")).alias("_norm"))
-    entries = F.transform("_v", lambda h: F.struct(vocabulary.term(h["i"]).alias("term"), (h["x"] / F.col("_norm")).alias("tfidf")))
-    return normed.select(key, F.inline_outer(entries)).where(F.col("term").isNotNull())
+    vectors = counts.selectExpr(f"`{key}`", f"{vocabulary.vector('counts', 'idf')} AS _v")
+    normed = vectors.selectExpr(f"`{key}`", "_v", f"{norm('_v')} AS _norm")
+    entries = f"transform(_v, h -> named_struct('term', {vocabulary.term('h.i')}, 'tfidf', h.x / _norm))"
+    return normed.selectExpr(f"`{key}`", f"inline_outer({entries})").where(F.col("term").isNotNull())

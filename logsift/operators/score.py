@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.constants import REVIEW_THRESHOLD, UNKNOWN_VERSION
-from logsift.functions.text import term_counts, with_terms
-from logsift.functions.vectors import MAX_TERMS, Vocabulary, norm, total
+from logsift.functions.text import sql_literal, term_counts, with_terms
+from logsift.functions.vectors import MAX_TERMS, Vocabulary, norm
 
 
 @dataclass
@@ -62,43 +62,22 @@ def margins(df: DataFrame, model: TextModel, text: str = "message") -> DataFrame
     """
     vocabulary = model.vocabulary()
     counted = term_counts(with_terms(df, text, "_terms", model.ngram_max), F.col("_terms"), "_counts")
-    hits = counted.select(*df.columns, vocabulary.vector(F.col("_counts"), "idf").alias("_hits"))
-    sums = F.struct(norm(F.col("_hits")).alias("_norm"),
-                    *[total(F.col("_hits"), lambda h, w=w: h["x"] * vocabulary.at(w, h["i"])).alias(f"_d{i}")
-                      for i, w in enumerate(model.weight_cols)])
-    return hits.select(*df.columns, F.inline(F.array(sums))).select(*df.columns, *_margin_cols(model))
-
-
-def _margin_cols(model: TextModel) -> list[Column]:
-    return [
-        (F.lit(float(b)) + F.coalesce(F.try_divide(F.col(f"_d{i}"), F.col("_norm")), F.lit(0.0)))
-        .alias(f"m_{c}")
-        for i, (c, b) in enumerate(zip(model.classes, model.intercepts))
-    ]
-
-
-def sigmoid(m: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-m))
+    own = [f"`{c}`" for c in df.columns]
+    hits = counted.selectExpr(*own, f"{vocabulary.vector('_counts', 'idf')} AS _hits")
+    dots = "".join(f", '_d{i}', {vocabulary.dot('_hits', w)}" for i, w in enumerate(model.weight_cols))
+    sums = hits.selectExpr(*own, f"inline(array(named_struct('_norm', {norm('_hits')}{dots})))")
+    return sums.selectExpr(*own, *[f"{float(b)!r}D + coalesce(try_divide(_d{i}, _norm), 0D) AS `m_{c}`"
+                                   for i, (c, b) in enumerate(zip(model.classes, model.intercepts))])
 
 
 def classify(df: DataFrame, classes: list[str]) -> DataFrame:
     """I2-I4 on margin columns: ``p_<class>``, ``category``, ``confidence``."""
-    sig = {c: sigmoid(F.col(f"m_{c}")) for c in classes}
-    total = None
-    for c in classes:
-        total = sig[c] if total is None else total + sig[c]
-    probs = [(sig[c] / total).alias(f"p_{c}") for c in classes]
-    df = df.select("*", *probs)
-    best = F.greatest(*[F.col(f"m_{c}") for c in classes])
-    cat = None
-    for c in classes:
-        cond = F.col(f"m_{c}") == best
-        cat = F.when(cond, F.lit(c)) if cat is None else cat.when(cond, F.lit(c))
-    conf = None
-    for c in classes:
-        cond = F.col(f"m_{c}") == best
-        conf = F.when(cond, F.col(f"p_{c}")) if conf is None else conf.when(cond, F.col(f"p_{c}"))
-    return df.select("*", cat.alias("category"), conf.cast("double").alias("confidence"))
+    sigmoid = {c: f"1D / (1D + exp(-`m_{c}`))" for c in classes}
+    everything = " + ".join(f"({s})" for s in sigmoid.values())
+    df = df.selectExpr("*", *[f"({sigmoid[c]}) / ({everything}) AS `p_{c}`" for c in classes])
+    best = "greatest(" + ", ".join(f"`m_{c}`" for c in classes) + ")" if len(classes) > 1 else f"`m_{classes[0]}`"
+    first = lambda value: "CASE " + " ".join(f"WHEN `m_{c}` = {best} THEN {value(c)}" for c in classes) + " END"
+    return df.selectExpr("*", f"{first(sql_literal)} AS category", f"cast({first(lambda c: f'`p_{c}`')} AS double) AS confidence")
 
 
 def needs_review(confidence: Column, threshold: float = REVIEW_THRESHOLD) -> Column:

@@ -28,7 +28,7 @@ DEFECT_SHARE = 0.02
 LIFECYCLE_VERSIONS = ["v1", "v2", "v3"]
 
 def logs(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    return log_view(events(spark, sf_dir), carry=carry).withColumn("split", split_of(F.col("rid")))
+    return log_view(events(spark, sf_dir), carry=carry).withColumn("split", split_of("rid"))
 
 
 def scored(spark: SparkSession, sf_dir: str, model: TextModel | None = None,
@@ -136,4 +136,4 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
-    return d.withColumn("split", split_of(F.col("doc_id")))
+    return d.withColumn("split", split_of("doc_id"))
