@@ -194,10 +194,14 @@ class WordIds:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
     def _piece(self, piece: str) -> bytes:
-        shown = "".join(map(self.shown.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        # Printable ASCII stands for itself in the vocabulary.
+        shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.shown.__getitem__, piece.encode()))
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters are one piece
+            return self.parts[word.lower().decode()]
         text = word.decode()
         if self._other(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
