@@ -55,6 +55,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 _units = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 _pieces = regex.compile(SPLIT).findall
+# Words that the library's splitter and the ranks' cut alike.
+_plain = re.compile(" ?[!-~\xa1-\u024f]+").fullmatch
 # Beyond Latin the library's own splitter decides: its Unicode tables may be
 # of another version than the regex module's.
 _beyond_latin = re.compile("[ɐ-\U0010ffff]").search
@@ -72,42 +74,6 @@ def by_width(words: list[bytes], step: int = 4) -> Iterator[tuple[np.ndarray, np
         yield np.array(members), n, rows.reshape(-1, width)
 
 
-class PairRanks:
-    """Ranks of many pairs at once: an open-addressed table over arrays."""
-
-    def __init__(self, ranks: dict[int, int], none: int):
-        keys, values = np.fromiter(ranks, np.int64, len(ranks)), np.fromiter(ranks.values(), np.int32, len(ranks))
-        self.none, self.bits = np.int32(none), max(4, len(ranks).bit_length() + 2)
-        self.mask = (1 << self.bits) - 1
-        self.key = np.full(self.mask + 1, -1, np.int64)
-        self.value = np.full(self.mask + 1, none, np.int32)
-        at, todo = self._home(keys), np.arange(len(keys))
-        while len(todo):
-            slots, asker = np.unique(at[todo], return_index=True)
-            placed = todo[asker[self.key[slots] == -1]]
-            self.key[at[placed]], self.value[at[placed]] = keys[placed], values[placed]
-            todo = np.setdiff1d(todo, placed, assume_unique=True)
-            at[todo] = (at[todo] + 1) & self.mask
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left.astype(np.int64) << 20 | right
-        at = self._home(keys)
-        held = self.key[at]
-        out = np.where(held == keys, self.value[at], self.none)
-        todo = np.flatnonzero((held != keys) & (held != -1))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & self.mask
-            held = self.key[at[todo]]
-            hit = held == keys[todo]
-            out[todo[hit]] = self.value[at[todo[hit]]]
-            todo = todo[~hit & (held != -1)]
-        return out
-
-
 class Vocabulary:
     """Ranks and ids read from a tokenizer file's JSON text."""
 
@@ -132,7 +98,10 @@ class Vocabulary:
             self.rank[vocab[left] << 20 | vocab[right]] = n
             self.merged.append(vocab[left + right])
         self.none = len(self.merged)
-        self._ranks = None
+        # Ids in the order of the merges are ranks themselves.
+        self.ordered, self._by_rank = all(a < b for a, b in zip(self.merged, self.merged[1:])), None
+        size = max(self.bytes_of) + 1
+        self.width = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
         self.special_split = (re.compile("(" + "|".join(map(re.escape, self.specials)) + ")").split
                               if self.specials else None)
         self._text, self._library = text, None
@@ -167,49 +136,33 @@ class Vocabulary:
                 ranks[i - 1] = rank(parts[i - 1] << 20 | parts[i], none)
         return parts
 
-    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of many pieces.  Pieces of similar length are the rows
-        of one matrix; a step merges in every row the pair of lowest rank,
-        leftmost first, which makes each row shorter by one."""
-        if self._ranks is None:
-            self._ranks = PairRanks(self.rank, self.none)
-            self._byte_ids, self._merged = np.array(self.byte_id, np.int32), np.array(self.merged, np.int32)
-        out = [packed(self.merge(p)) if len(p) > HEAP_FROM else b"" for p in pieces]
-        short = [i for i, p in enumerate(pieces) if 0 < len(p) <= HEAP_FROM]
-        at = np.array(short, np.int64)
-        for members, n, rows in by_width([pieces[i] for i in short]):
-            self._merge_rows(rows, n, at[members], out)
+    def many(self, units: list[str]) -> list[bytes]:
+        """Packed ids of many words.  Plain ones are merged in one call by the
+        same ranks: each stands behind a line end, which is a token of its own
+        and never part of another, and is cut out by its bytes."""
+        out = [b""] * len(units)
+        plain = [i for i, u in enumerate(units) if _plain(u)] if self.ordered else []
+        if plain:
+            ends = np.cumsum([len(units[i].encode()) + 1 for i in plain])
+            ids = np.array(self._ranks().encode_ordinary("\n" + "\n".join([units[i] for i in plain])), "<u4")
+            bytes_to = np.cumsum(self.width[ids])
+            last = np.searchsorted(bytes_to, ends) + 1
+            first = np.concatenate([[0], last[:-1]])
+            if last[-1] != len(ids) or (bytes_to[last - 1] != ends).any() or (ids[first] != self.byte_id[10]).any():
+                raise ValueError("a token crosses a line end")
+            data = ids.tobytes()
+            for i, a, z in zip(plain, (4 * first + 4).tolist(), (4 * last).tolist()):
+                out[i] = data[a:z]
+        for i in set(range(len(units))).difference(plain):
+            out[i] = packed(self.unit_ids(units[i]))
         return out
 
-    def _merge_rows(self, rows: np.ndarray, n: np.ndarray, where: np.ndarray, out: list[bytes]) -> None:
-        pad, width = (1 << 20) - 1, rows.shape[1]
-        parts = self._byte_ids[rows]
-        parts[np.arange(width) >= n[:, None]] = pad
-        ranks = self._ranks(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(-1, width - 1)
-
-        def finish(done: np.ndarray) -> None:
-            data, step = parts[done].astype("<u4").tobytes(), 4 * parts.shape[1]
-            for k, (i, size) in enumerate(zip(where[done].tolist(), n[done].tolist())):
-                out[i] = data[k * step:k * step + 4 * size]
-
-        while ranks.shape[1] and len(ranks):
-            at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(at)), at]
-            go = best < self.none
-            if not go.all():
-                finish(~go)
-                parts, ranks, where, n, at, best = parts[go], ranks[go], where[go], n[go], at[go], best[go]
-            rows, columns = np.arange(len(at)), np.arange(parts.shape[1] - 1)
-            parts[rows, at] = self._merged[best]
-            parts = np.where(columns <= at[:, None], parts[:, :-1], parts[:, 1:])
-            ranks = np.where(columns[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
-            n = n - 1
-            r = rows[at < parts.shape[1] - 1]
-            ranks[r, at[r]] = self._ranks(parts[r, at[r]], parts[r, at[r] + 1])
-            r = rows[at > 0]
-            ranks[r, at[r] - 1] = self._ranks(parts[r, at[r] - 1], parts[r, at[r]])
-        if len(parts):
-            finish(np.ones(len(parts), bool))
+    def _ranks(self):
+        if self._by_rank is None:
+            import tiktoken
+            ranks = {b: i for i, b in self.bytes_of.items() if i not in set(self.specials.values())}
+            self._by_rank = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return self._by_rank
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same with a heap, for pieces of many bytes."""
@@ -380,14 +333,12 @@ class Lexicon:
 class Codec:
     """Encoder and decoder of one vocabulary and lexicon."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, memo: int | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.units = Recent(self._unit, MEMO)
-        self.parts = Recent(lambda piece: packed(vocabulary.merge(piece.encode())), MEMO // 2)
-        size = max(vocabulary.bytes_of) + 1
-        bytes_of = [vocabulary.bytes_of.get(i, b"") for i in range(size)]
-        self.letters = np.frombuffer(b"".join(bytes_of), np.uint8)
-        self.width = np.array([len(b) for b in bytes_of], np.int64)
+        self.units = Recent(self._unit, memo or MEMO)
+        self.parts = Recent(lambda piece: packed(vocabulary.merge(piece.encode())), (memo or MEMO) // 2)
+        self.width = vocabulary.width
+        self.letters = np.frombuffer(b"".join(vocabulary.bytes_of.get(i, b"") for i in range(len(self.width))), np.uint8)
         self.begin = np.cumsum(self.width) - self.width
 
     def _unit(self, unit: str) -> bytes:
@@ -399,7 +350,7 @@ class Codec:
 
     def _learn(self, units: Iterable[str]) -> None:
         """Put the ids of the words not met lately into memory: the lexicon's,
-        the others merged together.  Long words are left to ``encode``."""
+        the plain others merged together.  The rest is left to ``encode``."""
         young, longest = self.units, self.units.longest
         units = [u for u in units if u not in young and len(u) <= longest]
         fresh = [u for u in units if u not in young.elder]
@@ -407,13 +358,9 @@ class Codec:
             young.turn()
             fresh = [u for u in units if u not in young.elder]
         found = self.lexicon.get_many([u.encode() for u in fresh])
-        split = self.vocabulary.pieces
-        pieces = {u: split(u) for u, ids in zip(fresh, found) if ids is None}
         young.update((u, ids) for u, ids in zip(fresh, found) if ids is not None)
-        distinct = list(set().union(*pieces.values()))
-        ids_of = dict(zip(distinct, self.vocabulary.merge_many([p.encode() for p in distinct])))
-        young.update((u, ids_of[ps[0]] if len(ps) == 1 else b"".join([ids_of[p] for p in ps]))
-                     for u, ps in pieces.items())
+        unseen = [u for u, ids in zip(fresh, found) if ids is None and _plain(u)]
+        young.update(zip(unseen, self.vocabulary.many(unseen)))
 
     def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
         """``encode`` of every text, whole texts in chunks of at least
@@ -462,11 +409,11 @@ class Codec:
 _LOADED: dict[str, Codec] = {}
 
 
-def _codec(name: str, spec) -> Codec:
+def _codec(name: str, spec, memo: int | None) -> Codec:
     """This worker's codec; the lexicon is the file that Spark fetched."""
     if name not in _LOADED:
         _LOADED.clear()
-        _LOADED[name] = Codec(Vocabulary(spec.value), Lexicon.mapped(SparkFiles.get(name)))
+        _LOADED[name] = Codec(Vocabulary(spec.value), Lexicon.mapped(SparkFiles.get(name)), memo)
     return _LOADED[name]
 
 
@@ -517,23 +464,24 @@ class BpeModel:
     """A tokenizer file with the lexicon of a corpus: ``encode`` and
     ``decode`` are column functions."""
 
-    def __init__(self, spark: SparkSession, tokenizer_path: str, words: Iterable[str]):
+    def __init__(self, spark: SparkSession, tokenizer_path: str, words: Iterable[str], memo: int | None = None):
         with open(tokenizer_path, encoding="utf-8") as f:
             text = f.read()
         vocabulary = Vocabulary(text)
         special = tuple(vocabulary.specials)
-        entries = [(w.encode(), vocabulary.unit_ids(w)) for w in words if w and not any(s in w for s in special)]
+        words = [w for w in words if w and not any(s in w for s in special)]
+        entries = [(w.encode(), np.frombuffer(ids, "<u4").tolist()) for w, ids in zip(words, vocabulary.many(words))]
         self.lexicon = compile_lexicon(entries)
         name, spec = ship(spark, self.lexicon), spark.sparkContext.broadcast(text)
 
         @F.pandas_udf("binary")
         def encode(texts: pd.Series) -> pd.Series:
-            codec = _codec(name, spec)
+            codec = _codec(name, spec, memo)
             return pd.Series(codec.encode_many(texts), dtype=object)
 
         @F.pandas_udf("string")
         def decode(ids: pd.Series) -> pd.Series:
-            codec = _codec(name, spec)
+            codec = _codec(name, spec, memo)
             return pd.Series([codec.decode(i) for i in ids], dtype=object)
 
         self._encode, self._decode = encode, decode
@@ -545,9 +493,12 @@ class BpeModel:
         return self._decode(ids)
 
 
-def fit(docs: DataFrame, tokenizer_path: str, text: str = "text", limit: int = LEXICON_WORDS) -> BpeModel:
+def fit(docs: DataFrame, tokenizer_path: str, text: str = "text", limit: int = LEXICON_WORDS,
+        memo: int | None = None) -> BpeModel:
+    """``memo``: words that a worker remembers in each of two generations, for
+    jobs whose workers need their memory for other stages too."""
     words = [r["unit"] for r in frequent_words(docs, text, limit).select("unit").collect()]
-    return BpeModel(docs.sparkSession, tokenizer_path, words)
+    return BpeModel(docs.sparkSession, tokenizer_path, words, memo)
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", limit: int = LEXICON_WORDS) -> DataFrame:
