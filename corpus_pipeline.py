@@ -15,6 +15,10 @@ from logsift.llm.common import new_path
 from logsift.llm.queries import table, tokenizer
 
 
+# Words that a worker remembers; other stages run in the same workers.
+MEMO = 150_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the row rules and whose host is not rejected."""
     return quality_rules.keep_good(docs)
@@ -38,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, ids`` and the digests of every document; the lexicon
     is compiled from the documents of this stage."""
-    model = lexicon_bpe.fit(docs, tokenizer("byte_bpe_50k.json"))
+    model = lexicon_bpe.fit(docs, tokenizer("byte_bpe_50k.json"), memo=MEMO)
     rows = docs.select("doc_id", "source", model.encode(F.col("text")).alias("ids"))
     rows = rows.select("doc_id", "source", "ids", model.decode(F.col("ids")).alias("decoded"))
     return rows.select("doc_id", "source", "ids", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
