@@ -9,9 +9,10 @@ inverted index: the rules' tokens are joined to the urls' tokens, and a rule
 fires where all its tokens were found.  A fixed list of host and path rules
 goes before; the longest that fits a url decides.
 
-Bounds: FP-growth keeps tokens above ``min_support``, at most (tokens per url)
-/ ``min_support`` of them, and a rule holds no smaller rule, so the rule table
-is small for any input; rules may have any number of tokens.
+Bounds: FP-growth keeps tokens above ``min_support`` and ``min_pages``, at most
+(tokens per url) / ``min_support`` of them.  Tokens that occur in the same urls
+only are one item, so repeated urls of many tokens do not multiply itemsets; a
+rule holds no smaller rule, and may have any number of items.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path;
 it meets no fixed rule; without labels or rules every other url is allowed;
@@ -20,13 +21,14 @@ repeated rows are judged alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import saved
+from logsift.llm.common import join_unique, saved
 
 # Fixed values: (host, path, verdict).
 FIXED_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
@@ -36,8 +38,12 @@ MARK = "\u0000block"
 
 @dataclass(frozen=True)
 class Mining:
+    """A rule needs ``min_support`` of the labelled urls and ``min_pages`` of
+    them, blocked, and ``min_confidence``."""
+
     min_support: float = 0.005
     min_confidence: float = 0.8
+    min_pages: int = 5
 
 
 def host_of(url: Column) -> Column:
@@ -74,15 +80,40 @@ def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
     return name, verdict
 
 
-def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """``rule_id, tokens, n`` from ``tokens, blocked`` rows."""
-    items = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(MARK)))
-                            .otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0)
-    items = saved(items, "transactions")
-    empty = labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, n int")
-    if items.isEmpty():
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=mining.min_support).fit(items)
+def token_names(labelled: DataFrame, least: int) -> DataFrame:
+    """``token, name, n`` of the tokens in ``least`` labelled urls or more, from
+    ``id, tokens``.  Tokens found in exactly the same urls share the name of
+    the first: as items they are one, else every subset of them would be mined."""
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(38,0)"))
+    seen = (labelled.select("id", F.explode("tokens").alias("token")).groupBy("token")
+            .agg(F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).filter(F.col("n") >= least))
+    seen = saved(seen, "tokens")
+    names = seen.groupBy("n", "x", "y").agg(F.min("token").alias("name"))
+    return saved(seen.join(names, ["n", "x", "y"]).select("token", "name", "n"), "names")
+
+
+def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``key, name``: the distinct names of the rows' tokens."""
+    each = rows.select(key, F.explode("tokens").alias("token"))
+    return join_unique(each, names, "token").filter("name IS NOT NULL").select(key, "name").distinct()
+
+
+def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
+    """From ``tokens, blocked`` rows: ``rule_id, tokens (names), n``; and the
+    names."""
+    spark = labelled.sparkSession
+    rows = labelled.filter(F.col("blocked") | (F.size("tokens") > 0))
+    rows = saved(rows.select(F.monotonically_increasing_id().alias("id"), "tokens", "blocked"), "labelled")
+    empty = spark.createDataFrame([], "rule_id long, tokens array<string>, n int")
+    n_rows = rows.count()
+    least = max(math.ceil(mining.min_support * n_rows), mining.min_pages)
+    names = token_names(rows, least)
+    if not n_rows or names.isEmpty():
+        return empty, names
+    marks = rows.filter("blocked").select("id", F.lit(MARK).alias("name"))
+    items = saved(named(rows, names, "id").union(marks).groupBy("id").agg(F.collect_set("name").alias("items")), "transactions")
+    # Half a row below the count, so that rounding does not ask for one more.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / items.count())).fit(items)
     sets = saved(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     whole = sets.filter(~F.array_contains("items", MARK)).select(F.col("items").alias("tokens"), F.col("freq").alias("n"))
     blocked = (sets.filter(F.array_contains("items", MARK) & (F.size("items") > 1))
@@ -95,18 +126,17 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     for k, size in enumerate(sizes):
         more = strong.filter(F.col("n") == size)
         if k:
-            covered = fired(more.select(F.col("tokens").alias("key"), "tokens"), rules)
+            covered = fired(more.select(F.col("tokens").alias("key"), "tokens"), rules, names)
             more = more.join(covered, more["tokens"] == covered["key"], "left_anti")
         rules = saved(rules.union(more) if k else more, "rules")
-    return rules
+    return rules, names
 
 
-def fired(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Keys of rows on which a rule fires, from ``key, tokens`` rows.  A row's
-    tokens are distinct, so a rule's tokens are found as often as they are
-    there; counts are combined before they are shuffled."""
-    index = rules.select("rule_id", F.col("n").alias("rule_n"), F.explode("tokens").alias("token"))
-    found = rows.select("key", F.explode("tokens").alias("token")).join(index, "token")
+def fired(rows: DataFrame, rules: DataFrame, names: DataFrame) -> DataFrame:
+    """Keys of rows on which a rule fires, from ``key, tokens`` rows: all its
+    names are found; counts are combined before they are shuffled."""
+    index = rules.select("rule_id", F.col("n").alias("rule_n"), F.explode("tokens").alias("name"))
+    found = named(rows, names, "key").join(index, "name")
     return (found.groupBy("key", "rule_id").agg(F.count("*").alias("hits"), F.first("rule_n").alias("rule_n"))
             .filter("hits = rule_n").select("key").distinct())
 
@@ -122,9 +152,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, mining: Mining = Mining(),
     urls = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"))
     marked = labels.select(F.col(f"`{key}`").alias("page_id"), "blocked").filter("blocked IS NOT NULL")
     training = urls.join(marked, "page_id").select(tokens_of(F.col("url")).alias("tokens"), "blocked")
-    rules = mine_rules(training, mining)
+    rules, names = mine_rules(training, mining)
     distinct = urls.filter("url IS NOT NULL").select(F.col("url").alias("key")).distinct()
-    bad = saved(fired(distinct.select("key", tokens_of(F.col("key")).alias("tokens")), rules), "fired")
+    bad = saved(fired(distinct.select("key", tokens_of(F.col("key")).alias("tokens")), rules, names), "fired")
     rows = urls.join(bad.withColumn("hit", F.lit(True)), urls["url"] == bad["key"], "left")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"), "hit")
