@@ -4,7 +4,7 @@ Every source gets a word target.  A document's expected number of copies is
 its source's target over the source's words; the whole part is allocated with
 certainty, the rest is its inclusion probability p.  Documents are ranked by
 the Pareto key ``(u / (1 - u)) / (p / (1 - p))`` with u fixed by the
-document's id, and the front of that order is taken until the words still due
+document's id and text, and the front of that order is taken until the words still due
 are reached: a sample whose size in words is fixed.
 
 The cut of a source is found from sums over fixed bins of the key and one
@@ -18,7 +18,8 @@ the common level, and the joins by source are left to the planner.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; a source without words has target 0; rows that share id and
-size share u and are decided alike; an empty table gives an empty result.
+text are decided alike, rows that share only one of them are not; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.llm.common import WORD, saved
+from logsift.llm.common import WORD, saved, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -40,9 +41,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column) -> Column:
-    """u in (0, 1), fixed by the id: the first 48 bits of its md5."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw(doc_id: Column, text: Column) -> Column:
+    """u in (0, 1), fixed by id and text, so that rows without an id, or with
+    the same one, have draws of their own: the first 48 bits of an md5."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(text))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -174,7 +176,7 @@ def copies_taken() -> Column:
 
 def measured(docs: DataFrame, text: str, source: str, *more: Column) -> DataFrame:
     return docs.select(*more, F.col(f"`{source}`").cast("string").alias("source"),
-                       word_count(F.col(f"`{text}`")).alias("size"), draw(F.col("doc_id")).alias("u"))
+                       word_count(F.col(f"`{text}`")).alias("size"), draw(F.col("doc_id"), F.col(f"`{text}`")).alias("u"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, text: str = "text",
