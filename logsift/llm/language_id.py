@@ -4,7 +4,10 @@ Four kinds of evidence meet in one posterior: the likelihood of the text's
 byte trigrams under each language, the language declared in the markup, the
 address suffix, and the host.  Suffix and host enter as priors that grouped
 aggregation counts over the corpus and shrinks along the hierarchy all ->
-suffix -> host, so a host with few documents takes its suffix's prior.
+suffix -> host, so a host with few documents takes its suffix's prior.  A
+record's own text is left out of every sum that its prior is made of, so no
+record is evidence for itself.  A host without a dot has no suffix and hangs
+below all records.
 
 The trigram model is trained on labelled texts, all of them.
 
@@ -14,8 +17,8 @@ things that reach the driver.
 
 Defined cases: a text without trigrams gives no evidence, the priors decide;
 a null or unknown declaration gives none; a null host takes the prior of all;
-an empty table gives an empty result; without any label the model is empty and
-an error is raised.
+repeated rows are records of their own; an empty table gives an empty result;
+without any label there is no language: both are null, with confidence 0.
 """
 
 from __future__ import annotations
@@ -73,10 +76,8 @@ class TextModel:
     """Log probabilities of trigrams by language, smoothed by one half."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
-        if not counts:
-            raise ValueError("no labelled texts")
         self.languages = sorted(counts)
-        c = np.array([counts[x] for x in self.languages], float) + 0.5
+        c = np.array([counts[x] for x in self.languages], float).reshape(-1, TRIGRAMS) + 0.5
         self.logs = np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32)
 
     def evidence(self, text: str | None, most: int) -> np.ndarray:
@@ -111,9 +112,13 @@ def declared_language(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1)), F.lit(""))
 
 
-def _softmax(logs: Column) -> Column:
-    shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, v: s + v))
+def _with_softmax(rows: DataFrame, logs: str, out: str) -> DataFrame:
+    """``rows`` with the probabilities ``out`` of the column ``logs``; each
+    step is a column, as a lambda would repeat it for every element."""
+    rows = rows.withColumn("_most", F.array_max(logs))
+    rows = rows.withColumn("_exp", F.transform(logs, lambda x: F.exp(x - F.col("_most"))))
+    rows = rows.withColumn("_sum", F.aggregate("_exp", F.lit(0.0), lambda s, v: s + v))
+    return rows.withColumn(out, F.transform("_exp", lambda x: x / F.col("_sum"))).drop("_most", "_exp", "_sum")
 
 
 def _best(languages: list[str], values: Column) -> Column:
@@ -132,32 +137,44 @@ def declaration_logs(rows: DataFrame, languages: list[str]) -> dict[str, list[fl
     return {d: [float(np.log((table.get((d, x), 0) + 1) / (of[x] + n))) for x in languages] for d in languages}
 
 
-def _shrunk(sums: str, n: str, parent: str, strength: float) -> Column:
-    return F.zip_with(sums, parent, lambda s, p: (s + strength * p) / (F.col(n) + strength))
+def host_sums(rows: DataFrame, languages: list[str]) -> tuple[DataFrame, list[float], int]:
+    """``host, n, s, suffix_n, suffix_s``: records and summed probabilities of
+    a host and of its suffix (null for hosts without one); and those of all."""
+    places = range(len(languages))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col("p")[i]).alias(f"s{i}") for i in places])
+    suffix = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -1))
+    hosts = saved(hosts.select("host", suffix.alias("suffix"), "n", F.array(*[f"s{i}" for i in places]).alias("s")), "hosts")
+    add = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in places]
+    whole = hosts.agg(F.sum("n").alias("n"), *add).first()
+    known = hosts.filter("host IS NOT NULL")
+    suffixes = known.filter("suffix IS NOT NULL").groupBy("suffix").agg(F.sum("n").alias("suffix_n"), *add)
+    suffixes = suffixes.select("suffix", "suffix_n", F.array(*[f"s{i}" for i in places]).alias("suffix_s"))
+    sums = known.join(suffixes, "suffix", "left").select("host", "n", "s", "suffix_n", "suffix_s")
+    return saved(sums, "sums"), [x or 0.0 for x in whole[1:]], whole["n"] or 0
 
 
-def host_priors(rows: DataFrame, languages: list[str], fusion: Fusion) -> tuple[DataFrame, list[float]]:
-    """``host, prior`` and the prior of all records."""
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(len(languages))]
-    hosts = rows.groupBy("host", "suffix").agg(F.count("*").alias("n"), *sums)
-    hosts = saved(hosts.select("host", "suffix", "n", F.array(*[f"s{i}" for i in range(len(languages))]).alias("s")), "hosts")
-    add = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(languages))]
-    whole = hosts.agg(*add).first()
-    total = sum(x or 0.0 for x in whole) + len(languages)
-    overall = [((x or 0.0) + 1) / total for x in whole]
-    known = hosts.filter("host IS NOT NULL")
-    suffixes = known.groupBy("suffix").agg(F.sum("n").alias("suffix_n"), *add)
-    suffixes = suffixes.select("suffix", "suffix_n", F.array(*[f"s{i}" for i in range(len(languages))]).alias("suffix_s"),
-                               F.array(*[F.lit(x) for x in overall]).alias("top"))
-    suffixes = suffixes.select("suffix", _shrunk("suffix_s", "suffix_n", "top", fusion.strength).alias("parent"))
-    priors = known.join(suffixes, "suffix").select("host", _shrunk("s", "n", "parent", fusion.strength).alias("prior"))
-    return saved(priors, "priors"), overall
+def _with_prior(rows: DataFrame, overall: list[float], n_all: int, strength: float) -> DataFrame:
+    """``rows`` with ``prior``: all -> suffix -> host, each level without the
+    record itself and with its parent as so many records."""
+    def level(sums: str, n: str, parent: str) -> Column:
+        own = F.zip_with(sums, "p", lambda s, p: s - p)
+        return F.coalesce(F.zip_with(own, parent, lambda s, q: (s + strength * q) / (F.col(n) - 1 + strength)), F.col(parent))
+
+    everything = F.array(*[F.lit(x) for x in overall])
+    top = F.zip_with(everything, "p", lambda s, p: (s - p + 1) / F.lit(float(n_all - 1 + len(overall))))
+    rows = rows.withColumn("_top", top)
+    rows = rows.withColumn("_parent", level("suffix_s", "suffix_n", "_top"))
+    return rows.withColumn("prior", level("s", "n", "_parent")).drop("_top", "_parent")
 
 
 def identify(records: DataFrame, model: TextModel, fusion: Fusion = Fusion()) -> DataFrame:
     """``key.*, text_lang, lang, confidence, kept`` for records of ``key
     (struct), text, declared, host``."""
     languages, most = model.languages, fusion.trigrams
+    if not languages:
+        none = F.lit(None).cast("string")
+        return records.select("key.*", none.alias("text_lang"), none.alias("lang"), F.lit(0.0).alias("confidence"),
+                              F.lit(False).alias("kept"))
     shared = records.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
@@ -165,17 +182,17 @@ def identify(records: DataFrame, model: TextModel, fusion: Fusion = Fusion()) ->
         return pd.Series([shared.value.evidence(t, most) for t in texts], dtype=object)
 
     rows = records.select("key", "declared", "host", evidence("text").alias("e"))
-    rows = rows.withColumn("p", _softmax(F.col("e"))).withColumn("text_lang", _best(languages, F.col("e")))
-    rows = saved(rows.withColumn("suffix", F.substring_index("host", ".", -1)), "evidence")
+    rows = _with_softmax(rows, "e", "p").withColumn("text_lang", _best(languages, F.col("e")))
+    rows = saved(rows, "evidence")
     logs = declaration_logs(rows, languages)
-    priors, overall = host_priors(rows, languages, fusion)
+    sums, overall, n_all = host_sums(rows, languages)
     declared = F.array(*[F.lit(0.0)] * len(languages))
     for d, values in logs.items():
         declared = F.when(F.col("declared") == d, F.array(*[F.lit(v) for v in values])).otherwise(declared)
-    prior = F.coalesce("prior", F.array(*[F.lit(x) for x in overall]))
-    rows = rows.join(priors, "host", "left").select("key", "text_lang", "e", declared.alias("d"), prior.alias("prior"))
-    fused = F.zip_with(F.zip_with("e", "d", lambda a, b: a + b), "prior", lambda a, b: a + F.log(b))
-    rows = rows.withColumn("f", fused).withColumn("q", _softmax(F.col("f")))
+    rows = rows.join(sums, "host", "left").withColumn("d", declared)
+    rows = _with_prior(rows, overall, n_all, fusion.strength)
+    rows = rows.withColumn("f", F.zip_with(F.zip_with("e", "d", lambda a, b: a + b), "prior", lambda a, b: a + F.log(b)))
     confidence = F.round(F.array_max("q"), 4)
-    return rows.select("key.*", "text_lang", _best(languages, F.col("f")).alias("lang"), confidence.alias("confidence"),
-                       (confidence >= fusion.min_confidence).alias("kept"))
+    return _with_softmax(rows, "f", "q").select(
+        "key.*", "text_lang", _best(languages, F.col("f")).alias("lang"), confidence.alias("confidence"),
+        (confidence >= fusion.min_confidence).alias("kept"))

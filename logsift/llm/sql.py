@@ -52,11 +52,13 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 
 def op3(rule: Spread = Spread()) -> str:
-    long = rf"len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= {rule.min_words}"
+    words = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))".format
     return f"""
-WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT DISTINCT coalesce(source, chr(0)) AS source, unnest(list_distinct([x FOR x IN lines IF {long}])) AS line FROM d),
-bad AS (SELECT line FROM l GROUP BY line HAVING count(*) >= {rule.min_sites}),
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS site,
+             string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT DISTINCT site, unnest(list_distinct([x FOR x IN lines IF {words('x')} > 0])) AS line FROM d),
+bad AS (SELECT line FROM l GROUP BY line
+        HAVING count(*) >= CASE WHEN {words('line')} >= {rule.min_words} THEN {rule.min_sites} ELSE {rule.short_sites} END),
 every AS (SELECT list(line) AS bad FROM bad),
 o AS (SELECT doc_id, lines, [x FOR x IN lines IF NOT list_contains(coalesce(bad, []), x)] AS kept FROM d, every)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_removed,
@@ -65,7 +67,7 @@ SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept
 
 OP7 = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
-             (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS DOUBLE) + 0.5)
+             (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS DOUBLE) + 0.5)
                / 281474976710656.0 AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
@@ -119,7 +121,7 @@ t AS (SELECT *, list_distinct(list_concat(list_concat(
         ['q:' || string_split(x, '=')[1] FOR x IN string_split(query, '&') IF string_split(x, '=')[1] <> ''])) AS tokens FROM p),
 tr AS (SELECT row_number() OVER () AS id, tokens, toxic = 1 AS blocked FROM t JOIN labels ON page_id = doc_id
        WHERE toxic IS NOT NULL AND (toxic = 1 OR len(tokens) > 0)),
-lim AS (SELECT ceil({mining.min_support} * count(*)) AS least FROM tr),
+lim AS (SELECT greatest(ceil({mining.min_support} * count(*)), {mining.min_pages}) AS least FROM tr),
 x AS (SELECT id, blocked, unnest(tokens) AS token FROM tr),
 one AS (SELECT token FROM (SELECT token, count(*) AS n, count(*) FILTER (blocked) AS nb FROM x GROUP BY token), lim WHERE {strong}),
 two AS (SELECT t1, t2 FROM (SELECT a.token AS t1, b.token AS t2, count(*) AS n, count(*) FILTER (a.blocked) AS nb
@@ -161,5 +163,16 @@ SELECT v.conv_id, depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n, 0)
 FROM v JOIN t USING (p) LEFT JOIN c USING (p) LEFT JOIN (SELECT p, conv_id FROM v) AS u ON depth > 0 AND u.p = v.p[1:depth - 1]"""
 
 
+# Five hexadecimal digits are four digits of base 32.
+OP13 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT *, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('{UPPER}234567', CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 + 1 AS INTEGER), 1)
+                        FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+
 ORACLE_SQL = {"op1_quality_rules": op1(), "op2_exact_dedup": OP2, "op3_line_dedup": op3(), "op7_mixing": OP7,
-              "op9_minhash_tensor": OP9, "op10_url_rules": op10(), "op12_prefix_trie": OP12}
+              "op9_minhash_tensor": OP9, "op10_url_rules": op10(), "op12_prefix_trie": OP12, "op13_warc": OP13}

@@ -91,7 +91,7 @@ def test_exact_dedup_rows(odd, none):
 
 
 def test_line_dedup(spark, none):
-    rule = line_dedup.Spread(min_sites=3, min_words=2)
+    rule = line_dedup.Spread(min_sites=3, min_words=2, short_sites=99)
     rows = [(i, f"own line {i}\nshared by all sites\n\nshared by all sites\nlast {i % 2} two", f"s{i % 4}") for i in range(8)]
     rows += [(90, None, "s1"), (91, "shared by all sites", None), (92, "a\nb", "s2")]
     out = {r.doc.doc_id: r for r in line_dedup.remove_boilerplate(
@@ -101,6 +101,51 @@ def test_line_dedup(spark, none):
     assert line_dedup.remove_boilerplate(none, rule).count() == 0
 
 
+def brute_lines(rows, rule):
+    words = lambda x: len(WORD.findall(x))
+    sites = {}
+    for r in rows:
+        for x in (r.text or "").split("\n"):
+            sites.setdefault(x, set()).add(r.source)
+    bad = {x for x, s in sites.items() if words(x) and len(s) >= (rule.min_sites if words(x) >= rule.min_words else rule.short_sites)}
+    kept = [(r.doc_id, r.text or "", [x for x in (r.text or "").split("\n") if x not in bad]) for r in rows]
+    return Counter((i, t.count("\n") + 1, t.count("\n") + 1 - len(k), "\n".join(k)) for i, t, k in kept)
+
+
+@pytest.mark.parametrize("rule", [line_dedup.Spread(), line_dedup.Spread(min_sites=2, min_words=3, short_sites=2),
+                                  line_dedup.Spread(min_sites=1, min_words=1, short_sites=1)])
+def test_line_dedup_by_brute_force(spark, odd, docs, rule):
+    for table in (odd, docs.select("doc_id", "text", "source")):
+        got = line_dedup.remove_boilerplate(table, rule).select("doc.doc_id", "n_lines", "n_removed", "clean")
+        assert multiset(got.collect()) == brute_lines(table.collect(), rule)
+
+
+def test_short_lines_need_more_sites(spark):
+    rule = line_dedup.Spread(min_sites=3, min_words=3, short_sites=6)
+    rows = [(i, f"All rights reserved here\nOui.\nAll mine\n{i}", f"s{i}") for i in range(5)]
+    rows += [(10 + i, f"All mine\n{i}", f"t{i}") for i in range(3)] + [(20, "Oui.", None), (21, "All mine\n\nAll mine", "\0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc.doc_id: r.clean for r in line_dedup.remove_boilerplate(df, rule).collect()}
+    # "Oui." is on six sites (one of them null), "All mine" on nine.
+    assert out[0] == "0" and out[10] == "0" and out[20] == "" and out[21] == ""
+
+
+def test_many_boilerplate_lines_in_linear_time(spark):
+    """Documents that share thousands of lines."""
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"shared line number {i} of many" for i in range(n))
+        df = spark.createDataFrame([(i, text + f"\nown {i}", f"s{i}") for i in range(8)], "doc_id long, text string, source string")
+        start = time.perf_counter()
+        out = line_dedup.remove_boilerplate(df).collect()
+        assert {(r.n_removed, r.clean) for r in out} == {(n, f"own {i}") for i in range(8)}
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 4 * seconds(4_000) + 5
+
+
 def test_line_dedup_near_threshold_is_exact(spark):
     rule = line_dedup.Spread(min_sites=100, min_words=1)
     rows = [(i, f"edge{n}", f"s{i}") for n in (99, 100, 101) for i in range(n)]
@@ -161,8 +206,75 @@ def test_language_evidence_fuses(spark, docs):
     assert (out[100], out[101], out[102], out[103]) == ("de", "de", "de", "fr")
     empty = df.limit(0).select(F.struct("id").alias("key"), "text", "declared", "host")
     assert language_id.identify(empty, model).count() == 0
-    with pytest.raises(ValueError):
-        language_id.fit(spark.createDataFrame([(None, "x")], "lang string, text string"))
+    nothing = language_id.fit(spark.createDataFrame([(None, "x")], "lang string, text string"))
+    out = language_id.identify(df.select(F.struct("id").alias("key"), "text", "declared", "host"), nothing).collect()
+    assert len(out) == len(rows) and {(r.lang, r.text_lang, r.confidence, r.kept) for r in out} == {(None, None, 0.0, False)}
+
+
+def brute_posterior(labelled, records, fusion=language_id.Fusion()):
+    """Posterior of every record, one by one."""
+    languages = sorted({lang for lang, _ in labelled if lang is not None})
+    counts = {x: np.full(language_id.TRIGRAMS, 0.5) for x in languages}
+    for lang, text in labelled:
+        if lang is not None:
+            np.add.at(counts[lang], language_id.trigram_bins(text), 1)
+    logs = np.array([np.log(counts[x] / counts[x].sum()) for x in languages])
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    evidence = []
+    for _, text, _, _ in records:
+        bins = language_id.trigram_bins(text)
+        evidence.append(logs[:, bins].sum(axis=1) * min(fusion.trigrams, len(bins)) / max(1, len(bins)))
+    own = [softmax(e) for e in evidence]
+    guess = [int(np.argmax(e)) for e in evidence]
+    suffix = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+    out = []
+    for i, (key, _, declared, host) in enumerate(records):
+        def level(members, parent):
+            rest = [own[j] for j in members if j != i]
+            return (sum(rest, np.zeros(len(languages))) + fusion.strength * parent) / (len(rest) + fusion.strength)
+        everyone = [own[j] for j in range(len(records)) if j != i]
+        prior = (sum(everyone, np.zeros(len(languages))) + 1) / (len(everyone) + len(languages))
+        if suffix(host):
+            prior = level([j for j, r in enumerate(records) if suffix(r[3]) == suffix(host)], prior)
+        if host is not None:
+            prior = level([j for j, r in enumerate(records) if r[3] == host], prior)
+        f = evidence[i] + np.log(prior)
+        if declared in languages:
+            for k in range(len(languages)):
+                of = [j for j, r in enumerate(records) if r[2] in languages and guess[j] == k]
+                f[k] += np.log((sum(records[j][2] == declared for j in of) + 1) / (len(of) + len(languages)))
+        q = softmax(f)
+        out.append((key, languages[guess[i]], languages[int(np.argmax(f))], round(float(q.max()), 4)))
+    return out
+
+
+def assert_posteriors(got, want):
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=str), sorted(want, key=str)):
+        assert g[:-1] == w[:-1] and abs(g[-1] - w[-1]) < 2e-4, (g, w)
+
+
+def test_language_posterior_by_brute_force(spark):
+    from logsift.llm.queries import op5_language_id
+    from logsift.llm.url_rules import host_of
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "lang", "text", "source").collect()
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select(
+        "page_id", language_id.visible_text(F.col("html")).alias("text"), language_id.declared_language(F.col("html")).alias("declared"),
+        F.nullif(host_of(F.col("url")), F.lit("")).alias("host")).collect()
+    records = [((r.doc_id, None), r.text, None, r.source) for r in docs] + [((None, r.page_id), r.text, r.declared, r.host) for r in pages]
+    got = [((r.doc_id, r.page_id), r.text_lang, r.lang, r.confidence) for r in op5_language_id(spark, SF_SMALL).collect()]
+    assert_posteriors(got, brute_posterior([(r.lang, r.text) for r in docs], records))
+
+
+def test_language_posterior_of_odd_rows(spark, odd, docs):
+    labelled = [(r.lang, r.text) for r in docs.collect()]
+    hosts = ["a.de", "b.de", "plain", None, "a.de", "x.y.com"]
+    records = [(i, r.text, (None, "de", "zz", "en")[i % 4], hosts[i % 6]) for i, r in enumerate(odd.collect())]
+    df = spark.createDataFrame([(*r, 1, "t") for r in records], "id long, text string, declared string, host string, n int, suffix string")
+    model = language_id.fit(docs.select("lang", "text"))
+    out = language_id.identify(df.select(F.struct("id", "n", "suffix").alias("key"), "text", "declared", "host"), model)
+    assert out.columns == ["id", "n", "suffix", "text_lang", "lang", "confidence", "kept"]
+    assert_posteriors([(r.id, r.text_lang, r.lang, r.confidence) for r in out.collect()], brute_posterior(labelled, records))
 
 
 def test_token_files_round_trip(odd, docs):
@@ -219,6 +331,20 @@ def test_mixing(odd, docs, none):
     assert all(got[d] == n for d, n in want.items())
 
 
+def test_mixing_rows_without_ids(spark):
+    """A third of the rows has no id, a third shares one."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(["w"] * (1 + i % 9)) + f" t{i}", f"s{(i > 400) + (i > 1000) + (i > 1700)}") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    by = {}
+    for r in got:
+        t = by.setdefault((r.source_size, r.target), [0])
+        t[0] += r.taken
+        assert r.taken <= 3 * r["size"]
+    # Within one document of the target, whoever has ids.
+    assert len(by) == 4 and all(abs(taken - target) <= 10 for (_, target), (taken,) in by.items())
+
+
 def test_mixing_more_sources_than_the_driver_plans(spark):
     """No row is refused however many sources there are."""
     n = 10_500
@@ -400,8 +526,34 @@ def test_url_rules_of_three_tokens(spark):
     assert all(out[i] == ("block" if u in bad else "allow") for i, u in rows)
     assert (out[1000], out[1001]) == ("block", "allow")
     training = pages.join(labels, "page_id").select(url_rules.tokens_of(F.col("url")).alias("tokens"), "blocked")
-    assert {tuple(r.tokens) for r in url_rules.mine_rules(training, mining).collect()} == {
-        ("h:a", "p:x", "q:s"), ("h:c",), ("p:w",), ("p:z",), ("q:u",)}
+    rules, names = url_rules.mine_rules(training, mining)
+    assert {tuple(r.tokens) for r in rules.collect()} == {("h:a", "p:x", "q:s"), ("h:c",)}
+    assert {r.token for r in names.filter("name = 'h:c'").collect()} == {"h:c", "p:w", "p:z", "q:u"}
+
+
+def test_url_rules_of_very_many_tokens(spark):
+    """Urls of 40 tokens, alone, repeated, and nearly repeated; one page is not
+    enough for a rule."""
+    import time
+    long = ["http://" + ".".join(f"h{k}" for k in range(12)) + "/" + "/".join(f"p{i}x{k}" for k in range(24)) + "?a=1&b=2&c=3&d=4" for i in range(3)]
+    urls = [long[0]] * 8 + [long[1]] + [long[2] + f"&n{i}=1" for i in range(6)] + [f"http://fine.test/{i}" for i in range(30)]
+    pages = spark.createDataFrame([*enumerate(urls), (1000, "http://x.test/p0x3/"), (1001, "http://x.test/p1x3/"),
+                                   (1002, "http://x.test/p2x3/"), (1003, "")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "fine" not in u) for i, u in enumerate(urls)], "page_id long, blocked boolean")
+    start = time.perf_counter()
+    out = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels).collect()}
+    assert time.perf_counter() - start < 60
+    # Tokens of eight and of six blocked pages are rules; one page's own are not.
+    assert [out[i] for i in (1000, 1001, 1002, 1003)] == ["block", "allow", "block", "allow"]
+    assert {out[i] for i in range(15)} == {"block"} and {out[i] for i in range(15, 45)} == {"allow"}
+
+
+def test_url_rules_with_clashing_columns_and_repeated_labels(spark):
+    rows = [(i % 7, f"http://spam.test/{i % 7}", "n", "t", 1) for i in range(21)] + [(None, "http://spam.test/9", "n", "t", 1), (50, "", "n", "t", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, name string, token string, n int")
+    labels = spark.createDataFrame([(i, True, "x") for i in range(7)] * 2, "page_id long, blocked boolean, name string")
+    out = url_rules.judge_urls(pages, labels).collect()
+    assert len(out) == len(rows) and Counter(r.verdict for r in out) == {"block": 22, "allow": 1}
 
 
 def test_batched_merge_and_lookup_equal_one_by_one():
@@ -411,8 +563,11 @@ def test_batched_merge_and_lookup_equal_one_by_one():
         v = lexicon_bpe.Vocabulary(f.read())
     pieces = [bytes(rng.choices(range(256), k=rng.randint(1, 60))) for _ in range(500)]
     pieces += [b"a" * k for k in range(1, 60)] + [w.encode() for w in ("ll", " the", "hello", "été")]
-    assert v.merge_many(pieces) == [lexicon_bpe.packed(v.merge(p)) for p in pieces]
-    assert v.merge_many([]) == []
+    letters = [chr(c) for c in (*range(33, 127), *range(161, 592), 0x85, 0xa0, 0x3a9, 0x6771, 0x1f600)]
+    units = ["".join(rng.choices(" \n", k=rng.randint(0, 1)) + rng.choices(letters, k=rng.randint(1, 30))) for _ in range(2000)]
+    units += ["a" * k for k in range(1, 90)] + ["'s", " '", "\n", "  ", "\x1c", " the", "hello", "\u00e9t\u00e9", "x" * 5000]
+    assert v.many(units) == [lexicon_bpe.packed(v.unit_ids(u)) for u in units]
+    assert v.many([]) == []
     words = sorted(set(pieces[::2]))
     lexicon = lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon([(w, v.merge(w)) for w in words]))
     asked = pieces + [w[:-1] for w in words if len(w) > 1] + [w + b"x" for w in words]
@@ -436,3 +591,16 @@ def test_word_memory_stays_bounded(monkeypatch):
     # Words of one chunk alone may be more than a generation; the next chunk lets them go.
     codec.encode_many([" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}zq" for i in range(600)), "one two", "three four"])
     assert len(codec.units) <= 200
+
+
+def test_word_ids_equal_the_library():
+    import random
+    rng = random.Random(6)
+    with open(tokenizer("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    together, library = token_ans.WordIds(spec), Tokenizer.from_str(spec)
+    letters = [chr(c) for c in (*range(33, 127), *range(161, 592), 0x85, 0xa0, 0x301, 0x2026, 0x3a9, 0x6771, 0x1f600)]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(40)) for _ in range(60)]
+    texts += [None, "", "\u2026", "one \u2026 two", "<|endoftext|> x", "a" * 100 + " b"]
+    assert [together.text_ids(t) for t in texts] == [
+        np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
