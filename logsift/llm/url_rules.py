@@ -9,10 +9,12 @@ inverted index: the rules' tokens are joined to the urls' tokens, and a rule
 fires where all its tokens were found.  A fixed list of host and path rules
 goes before; the longest that fits a url decides.
 
-Bounds: FP-growth keeps tokens above ``min_support`` and ``min_pages``, at most
-(tokens per url) / ``min_support`` of them.  Tokens that occur in the same urls
-only are one item, so repeated urls of many tokens do not multiply itemsets; a
-rule holds no smaller rule, and may have any number of items.
+Bounds: FP-growth keeps tokens above ``min_support`` (and ``min_pages``, if
+asked for), at most (tokens per url) / ``min_support`` of them.  Tokens that
+occur in the same urls only are one item, tokens that are rules by themselves
+or are in too few blocked urls for any rule are none, so that urls of many
+tokens multiply no itemsets; a rule holds no smaller rule, and may have any
+number of items.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path;
 it meets no fixed rule; without labels or rules every other url is allowed;
@@ -39,7 +41,8 @@ MARK = "\u0000block"
 @dataclass(frozen=True)
 class Mining:
     """A rule needs ``min_support`` of the labelled urls and ``min_pages`` of
-    them, blocked, and ``min_confidence``."""
+    them, blocked, and ``min_confidence``.  The query asks for every supported
+    rule (``min_pages`` 1)."""
 
     min_support: float = 0.005
     min_confidence: float = 0.8
@@ -81,21 +84,23 @@ def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def token_names(labelled: DataFrame, least: int) -> DataFrame:
-    """``token, name, n`` of the tokens in ``least`` labelled urls or more, from
-    ``id, tokens``.  Tokens found in exactly the same urls share the name of
+    """``token, name, n, n_blocked`` of the tokens in ``least`` labelled urls or
+    more, from ``id, tokens, blocked``.  Tokens found in exactly the same urls share the name of
     the first: as items they are one, else every subset of them would be mined."""
     mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(38,0)"))
-    seen = (labelled.select("id", F.explode("tokens").alias("token")).groupBy("token")
-            .agg(F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).filter(F.col("n") >= least))
+    seen = (labelled.select("id", F.explode("tokens").alias("token"), "blocked").groupBy("token")
+            .agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked"), mark(1).alias("x"), mark(2).alias("y"))
+            .filter(F.col("n") >= least))
     seen = saved(seen, "tokens")
     names = seen.groupBy("n", "x", "y").agg(F.min("token").alias("name"))
-    return saved(seen.join(names, ["n", "x", "y"]).select("token", "name", "n"), "names")
+    return saved(seen.join(names, ["n", "x", "y"]).select("token", "name", "n", "n_blocked"), "names")
 
 
-def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """``key, name``: the distinct names of the rows' tokens."""
+def named(rows: DataFrame, names: DataFrame, key: str, where: str = "true") -> DataFrame:
+    """``key, name``: the distinct names of the rows' tokens, of those that
+    ``where`` lets through."""
     each = rows.select(key, F.explode("tokens").alias("token"))
-    return join_unique(each, names, "token").filter("name IS NOT NULL").select(key, "name").distinct()
+    return join_unique(each, names, "token").filter(f"name IS NOT NULL AND {where}").select(key, "name").distinct()
 
 
 def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
@@ -110,15 +115,24 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> tuple[DataFram
     names = token_names(rows, least)
     if not n_rows or names.isEmpty():
         return empty, names
+    # A name that is a rule covers all sets that hold it, and one in too few
+    # blocked urls is in no rule: neither is an item.
+    alone = f"n_blocked / n >= {mining.min_confidence!r}D"
+    single = saved(names.filter(f"n_blocked >= {least} AND {alone} AND token = name").select(F.array("name").alias("tokens")), "single")
     marks = rows.filter("blocked").select("id", F.lit(MARK).alias("name"))
-    items = saved(named(rows, names, "id").union(marks).groupBy("id").agg(F.collect_set("name").alias("items")), "transactions")
+    mixed = named(rows, names, "id", f"n_blocked >= {least} AND NOT {alone}")
+    items = saved(mixed.union(marks).groupBy("id").agg(F.collect_set("name").alias("items")), "transactions")
+    n_items = items.count()
+    if not n_items:
+        return empty, names
     # Half a row below the count, so that rounding does not ask for one more.
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / items.count())).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_items)).fit(items)
     sets = saved(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     whole = sets.filter(~F.array_contains("items", MARK)).select(F.col("items").alias("tokens"), F.col("freq").alias("n"))
     blocked = (sets.filter(F.array_contains("items", MARK) & (F.size("items") > 1))
                .select(F.array_remove("items", MARK).alias("tokens"), F.col("freq").alias("n_blocked")))
     strong = blocked.join(whole, "tokens").filter(F.col("n_blocked") / F.col("n") >= mining.min_confidence)
+    strong = strong.select("tokens").union(single)
     strong = saved(strong.select(F.xxhash64("tokens").alias("rule_id"), "tokens", F.size("tokens").alias("n")), "strong")
     # From the smallest on: a set on which a smaller rule fires is no rule.
     sizes = sorted(r.n for r in strong.select("n").distinct().collect())

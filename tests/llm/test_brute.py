@@ -548,6 +548,20 @@ def test_url_rules_of_very_many_tokens(spark):
     assert {out[i] for i in range(15)} == {"block"} and {out[i] for i in range(15, 45)} == {"allow"}
 
 
+def test_url_rules_query_keeps_rules_of_few_pages(spark, tmp):
+    """One blocked page of twenty is enough support for a rule; urls of many
+    shared tokens, blocked once and once not, end."""
+    from logsift.llm.queries import op10_url_rules
+    shared = "/".join(f"s{k}" for k in range(30))
+    urls = ["http://bad.test/only/", *[f"http://fine.test/{i}" for i in range(17)],
+            *[f"http://m.test/{shared}/{x}" for x in ("e", "f")], "http://new.test/only/", "http://new.test/0"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages.coalesce(1).write.parquet(f"{tmp}/pages.parquet")
+    spark.createDataFrame([(i, int(i in (0, 18))) for i in range(20)], "doc_id long, toxic int").write.parquet(f"{tmp}/labels.parquet")
+    out = {r.page_id: r.verdict for r in op10_url_rules(spark, tmp).collect()}
+    assert [i for i, v in sorted(out.items()) if v == "block"] == [0, 18, 20]
+
+
 def test_url_rules_with_clashing_columns_and_repeated_labels(spark):
     rows = [(i % 7, f"http://spam.test/{i % 7}", "n", "t", 1) for i in range(21)] + [(None, "http://spam.test/9", "n", "t", 1), (50, "", "n", "t", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, name string, token string, n int")
