@@ -91,5 +91,5 @@ def term_counts(df: DataFrame, terms_col: Column, out: str = "term_counts") -> D
               "WHEN i = 1 THEN true ELSE element_at(_tc_sorted, i) != element_at(_tc_sorted, i - 1) END)")
     runs = ("transform(_tc_starts, (i, j) -> named_struct('term', element_at(_tc_sorted, i), 'tf', "
             "cast(coalesce(try_element_at(_tc_starts, j + 2), size(_tc_sorted) + 1) - i AS int)))")
-    return (df.withColumn("_tc_sorted", F.array_sort(terms_col)).selectExpr("*", f"{starts} AS _tc_starts")
+    return (df.withColumn("_tc_sorted", F.sort_array(terms_col)).selectExpr("*", f"{starts} AS _tc_starts")
             .selectExpr("*", f"{runs} AS `{out}`").drop("_tc_sorted", "_tc_starts"))

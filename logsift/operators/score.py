@@ -25,6 +25,11 @@ from pyspark.sql import functions as F
 from logsift.constants import REVIEW_THRESHOLD, UNKNOWN_VERSION
 from logsift.functions.text import sql_literal, term_counts, with_terms
 from logsift.functions.vectors import MAX_TERMS, Vocabulary, norm
+from logsift.operators.features import buckets_of_terms, counted_among
+
+# Terms above which only a record's terms that can be in the model are counted:
+# such models read whole documents.
+WIDE_TERMS = 1000
 
 
 @dataclass
@@ -40,11 +45,16 @@ class TextModel:
     def vocabulary(self) -> Vocabulary:
         """The term table as a constant; read once, at most ``MAX_TERMS`` rows."""
         if "vocabulary" not in self.extra:
-            rows = self.extra.get("rows") or [tuple(r) for r in self.terms.limit(MAX_TERMS + 1).collect()]
-            columns = list(zip(*rows)) or [()] * (2 + len(self.classes))
+            columns = list(zip(*self.rows())) or [()] * (2 + len(self.classes))
             self.extra["vocabulary"] = Vocabulary(columns[0], **dict(zip(["idf", *self.weight_cols], columns[1:])))
         return self.extra["vocabulary"]
 
+    def rows(self) -> list[tuple]:
+        """The term table's rows; read once."""
+        if not self.extra.get("rows"):
+            self.extra["rows"] = [tuple(r) for r in self.terms.limit(MAX_TERMS + 1).collect()]
+        return self.extra["rows"]
+
     @property
     def weight_cols(self) -> list[str]:
         return [f"w_{i}" for i in range(len(self.classes))]
@@ -61,7 +71,11 @@ def margins(df: DataFrame, model: TextModel, text: str = "message") -> DataFrame
     (measured: a filtered query that did not finish).
     """
     vocabulary = model.vocabulary()
-    counted = term_counts(with_terms(df, text, "_terms", model.ngram_max), F.col("_terms"), "_counts")
+    if model.n_terms > WIDE_TERMS:
+        buckets = buckets_of_terms([r[0] for r in model.rows()])
+        counted = counted_among(df, buckets, text, model.ngram_max, "_counts")
+    else:
+        counted = term_counts(with_terms(df, text, "_terms", model.ngram_max), F.col("_terms"), "_counts")
     own = [f"`{c}`" for c in df.columns]
     hits = counted.selectExpr(*own, f"{vocabulary.vector('_counts', 'idf')} AS _hits")
     dots = "".join(f", '_d{i}', {vocabulary.dot('_hits', w)}" for i, w in enumerate(model.weight_cols))

@@ -82,7 +82,8 @@ def wide_weight(term: str, label: str) -> float:
 
 
 def wide_model(docs: DataFrame, key: str = "doc_id", text: str = "text") -> TextModel:
-    terms, idf = features.fitted_idf(features.term_freq(docs, key, text), docs.count(), key=key)
+    counts, dfreq = features.frequent_counts(docs.select(key, text), key, text)
+    terms, idf = features.ranked_idf(dfreq, counts.count())
     rows = [(t, x, *[wide_weight(t, c) for c in WIDE_CLASSES]) for t, x in zip(terms, idf)]
     columns = ", ".join(f"w_{i} double" for i in range(len(WIDE_CLASSES)))
     return TextModel(classes=list(WIDE_CLASSES), terms=docs.sparkSession.createDataFrame(rows, f"term string, idf double, {columns}"),
