@@ -165,9 +165,9 @@ def q_idf(spark, sf):
 
 
 def q_tfidf(spark, sf):
-    """The corpus is tokenised once, into a table of counted documents."""
-    counts = stored(features.counted(_docs(spark, sf)), "counts")
-    return rounded(features.tfidf(counts, features.fit(counts)))
+    """A table of counted documents serves the fit and the vectors."""
+    counts, dfreq = features.frequent_counts(_docs(spark, sf))
+    return rounded(features.tfidf(counts, features.fit_frequencies(dfreq, counts.count())))
 
 
 def q_oov_transform(spark, sf):
