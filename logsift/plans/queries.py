@@ -172,9 +172,9 @@ def q_tfidf(spark, sf):
 
 def q_oov_transform(spark, sf):
     docs = views.documents(spark, sf).select("doc_id", "split", "text")
-    counts = stored(features.counted(docs), "counts")
+    counts, dfreq = features.frequent_counts(docs, fit_on="split = 'train'")
     train, test = (counts.where(F.col("split") == s) for s in ("train", "test"))
-    return rounded(features.tfidf(test, features.fit(train)))
+    return rounded(features.tfidf(test, features.fit_frequencies(dfreq, train.count())))
 
 
 def q_label_index(spark, sf):
