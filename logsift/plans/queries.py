@@ -155,7 +155,8 @@ def q_doc_freq(spark, sf):
 
 
 def q_vocabulary_topk(spark, sf):
-    return features.vocabulary(features.doc_freq(features.term_freq(_docs(spark, sf))))
+    _, dfreq = features.frequent_counts(_docs(spark, sf))
+    return features.vocabulary(dfreq)
 
 
 def q_idf(spark, sf):
