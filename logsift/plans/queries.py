@@ -162,7 +162,8 @@ def q_vocabulary_topk(spark, sf):
 def q_idf(spark, sf):
     docs = _docs(spark, sf)
     n_docs = docs.select(F.count(F.lit(1))).scalar()      # scalar subquery, lazy
-    return rounded(features.idf_table(features.doc_freq(features.term_freq(docs)), n_docs))
+    _, dfreq = features.frequent_counts(docs)
+    return rounded(features.idf_table(dfreq, n_docs))
 
 
 def q_tfidf(spark, sf):
