@@ -9,7 +9,8 @@ A model is a bounded table ``(term, idf, w_0 .. w_{K-1})`` (at most
     category = argmax_k m_k, ties to the first class (I2)
     confidence = p_category                      (I4)
 
-One plan for every size of the table: a record's terms are counted in the row,
+Any size of the table: a record's terms are counted in the row (for a table of
+more than ``WIDE_TERMS`` only those that can be in it, by an Arrow function),
 become a sparse vector of term numbers and values there, and the dot products
 run over that vector and constant arrays of weights (``functions/vectors.py``).
 No join and no shuffle.
